@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideflow.llm import bpe, forest
+from strideflow.llm import bpe, decontaminate, forest, jaccard, langid
 from strideflow.llm.queries import table
 from strideflow.llm.storage import materialise
 
@@ -14,12 +14,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return forest.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those whose language is uncertain."""
+    return langid.keep_identified(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group that links of 0.8 or more hold together."""
+    return jaccard.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with digests of the ids and of the text decoded from them."""
     return bpe.encode_decode_digest(docs)
 
 
-STAGES = [("quality", quality), ("encode", encode)]
+STAGES = [("quality", quality), ("language", language), ("near_copies", near_copies), ("benchmark", benchmark), ("encode", encode)]
 ORACLE_SQL = None
 
 
