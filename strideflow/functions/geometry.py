@@ -146,17 +146,18 @@ def yaw_of_matrix(m: Column) -> Column:
 
 
 def episode_basis(q: Column) -> Column:
-    """Row-major basis (forward, up, right) of the frame anchored on a root rotation: its x axis flattened to the floor; null if that is upright."""
+    """Row-major axes of the frame anchored on a root rotation: z is its x axis flattened to the floor, y is up; null if that is upright."""
     m = parts(to_matrix(q), 9)
     length = F.sqrt(m[0] * m[0] + m[6] * m[6])
     fx, fz = m[0] / length, m[6] / length
     zero, one = F.lit(0.0), F.lit(1.0)
-    return F.when(length > 1e-8, F.array(fx, zero, fz, zero, one, zero, -fz, zero, fx))
+    return F.when(length > 1e-8, F.array(fz, zero, -fx, zero, one, zero, fx, zero, fz))
 
 
 def to_episode(p: Column, origin: Column, basis: Column) -> Column:
-    """A position relative to an anchored frame: components along forward, up and right."""
-    return multiply(basis, F.zip_with(p, origin, lambda a, b: a.cast("double") - b.cast("double")))
+    """A position in an anchored frame whose origin is the root's point on the floor."""
+    o = parts(origin, 3)
+    return multiply(basis, F.zip_with(p, F.array(o[0], F.lit(0.0), o[2]), lambda a, b: a.cast("double") - b))
 
 
 def facing(left: Column, right: Column) -> tuple[Column, Column]:

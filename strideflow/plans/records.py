@@ -341,12 +341,12 @@ def slerp(spark, d):
     return rotations(spark, d).select("vec_id", *listed(G.slerp(F.col("q"), F.col("q1"), F.lit(0.3)), list("xyzw")))
 
 
-@query(f"""WITH {_Q}, {_M}, b AS (SELECT m.vec_id, m0 / sqrt(m0 ** 2 + m6 ** 2) AS fx, m6 / sqrt(m0 ** 2 + m6 ** 2) AS fz, e[9] - e[12] AS dx, e[10] - e[13] AS dy, e[11] - e[14] AS dz
+@query(f"""WITH {_Q}, {_M}, b AS (SELECT m.vec_id, m0 / sqrt(m0 ** 2 + m6 ** 2) AS fx, m6 / sqrt(m0 ** 2 + m6 ** 2) AS fz, e[9] - e[12] AS dx, e[10] AS dy, e[11] - e[14] AS dz
         FROM m JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) USING (vec_id))
-    SELECT vec_id, round(fx * dx + fz * dz, 6) AS forward, round(dy, 6) AS up, round(fx * dz - fz * dx, 6) AS side FROM b""")
+    SELECT vec_id, round(fz * dx - fx * dz, 6) AS side, round(dy, 6) AS up, round(fx * dx + fz * dz, 6) AS forward FROM b""")
 def episode_frame(spark, d):
     r = rotations(spark, d)
-    return r.select("vec_id", *listed(G.to_episode(F.col("p"), F.col("o"), G.episode_basis(F.col("q"))), ["forward", "up", "side"]))
+    return r.select("vec_id", *listed(G.to_episode(F.col("p"), F.col("o"), G.episode_basis(F.col("q"))), ["side", "up", "forward"]))
 
 
 @query(f"""WITH {_Q}, r AS (SELECT *, sqrt(x * x + y * y + z * z) AS s, CASE WHEN w < 0 THEN -1 ELSE 1 END AS g FROM q)
