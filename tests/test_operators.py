@@ -148,3 +148,42 @@ def test_checksums_tell_changes(spark, tmp_path):
     (tmp_path / "a").unlink()
     found = {r.path: r.problem for r in corpus.checksum_differences(before, sinks.checksums(spark, str(tmp_path))).collect()}
     assert found == {"a": "missing", "b": "changed", "c": "unexpected"}
+
+
+def raw_pair(frames=12, **changes):
+    from test_kernels import walk
+
+    t = np.arange(frames)
+    joints = walk(frames) * 0.28
+    root = np.stack([0.01 * t, 0 * t, np.full(frames, 0.8)], 1)
+    row = {"sample_id": "a", "human": joints.ravel().tolist(), "human_fps": 20.0, "root": root.ravel().tolist(), "rotation": np.tile([0.0, 0, 0, 1], (frames, 1)).ravel().tolist(), "dof": np.outer(0.01 * t, np.ones(29)).ravel().tolist(), "robot_fps": 20.0}
+    return row | changes
+
+
+def test_prepared_pairs_and_their_reasons(spark):
+    from strideflow.operators import prepare
+
+    def feet(root, q, dof):
+        return np.stack([root - [0, 0.1, 0.8], root - [0, -0.1, 0.8]], 1)
+
+    jump = np.outer((np.arange(12) > 5) * 2.0, np.ones(29)).ravel().tolist()
+    bent = np.zeros((12, 29))
+    bent[3, 5] = 9.0
+    rows = [raw_pair(), raw_pair(sample_id="jump", dof=jump), raw_pair(sample_id="bent", dof=bent.ravel().tolist()), raw_pair(sample_id="late", robot_fps=10.0), raw_pair(sample_id="norm", rotation=[0.5] * 4 + [1.0] * 44)]
+    nan = raw_pair(sample_id="nan")
+    nan["root"] = [float("nan"), *nan["root"][1:]]
+    tall = raw_pair(sample_id="tall")
+    tall["human"] = [9 * x for x in tall["human"]]
+    schema = "sample_id string, human array<double>, human_fps double, root array<double>, rotation array<double>, dof array<double>, robot_fps double"
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in [*rows, nan, tall]], schema)
+    got = {r.sample_id: r for r in prepare.prepare_pairs(df, [(-3.0, 3.0)] * 29, feet).collect()}
+    assert {k: r.reason for k, r in got.items()} == {"a": None, "jump": "g1_dof_speed", "bent": "g1_dof_limit", "late": "timeline_mismatch", "norm": "g1_quaternion_norm", "nan": "source_nonfinite", "tall": "human_height"}
+    assert got["a"].frames == 12 and len(got["a"].human_features) == 12 * 262 and len(got["a"].robot_features) == 12 * 75 and set(got["a"].quality) == set(prepare.QUALITY)
+
+
+def test_signatures_ignore_place():
+    from test_kernels import walk
+
+    from strideflow.operators import prepare
+
+    assert prepare.motion_signature(walk(5)) == prepare.motion_signature(walk(5) + 0.25) != prepare.motion_signature(walk(5) * 1.1)
