@@ -16,7 +16,9 @@ tokens of either class.
 The documents of a key are not paired with each other. First each is verified against the key's pivot, and the links
 give components. Where all documents of a key are then in one component, the key is done. In the other keys documents of different
 components and compatible sizes are verified against each other. So no link between different components is lost, copies
-cost as many checks as there are copies, and no pair within a component is made after the first round. Sets of the documents to be
+cost as many checks as there are copies, and no pair within a component is made after the first round. Before sets are compared, a
+parity sketch bounds the symmetric difference of a pair from below (each token that one side alone has flips one of `PARITY` bits), which
+rejects most pairs that share a passage only. Sets of the documents to be
 verified are built again from their texts, which a bit map of fixed size selects in the scan.
 
 Null and empty texts and texts without words have no tokens and no links; fewer than five words make one token of the whole
@@ -27,6 +29,7 @@ are read. Hashes have 64 bits.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,7 @@ SHINGLE = 5
 PERCENT = 80
 SMALL = 32
 SLICES = 64
+PARITY = 1024
 TOP = np.uint64(1 << 63)
 
 
@@ -74,7 +78,7 @@ def sketch(tables: DataFrame, bits: int, of: str, at_least: int) -> np.ndarray:
     part = max(1, width // SLICES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(width, np.uint16)
+        counters = np.zeros(width, np.uint8)  # a task counts up to 255, which is over any threshold of a frequent token
         any_value = False
         for batch in batches:
             if of == "text":
@@ -84,7 +88,7 @@ def sketch(tables: DataFrame, bits: int, of: str, at_least: int) -> np.ndarray:
             for values in found:
                 any_value |= len(values) > 0
                 place, n = np.unique(values.astype(np.int64), return_counts=True)
-                counters[place] = np.minimum(counters[place].astype(np.int64) + n, 65535)
+                counters[place] = np.minimum(counters[place].astype(np.int64) + n, 255)
         if not any_value:
             return
         for k in range(0, width, part):
@@ -92,9 +96,9 @@ def sketch(tables: DataFrame, bits: int, of: str, at_least: int) -> np.ndarray:
             place = np.flatnonzero(piece)
             if not len(place):
                 continue
-            sparse = 6 * len(place) < 2 * len(piece)
+            sparse = 5 * len(place) < len(piece)
             body = place.astype("<u4").tobytes() + piece[place].tobytes() if sparse else piece.tobytes()
-            yield pa.RecordBatch.from_pylist([{"slice": k // part, "sparse": sparse, "body": body}], schema=packed)
+            yield pa.RecordBatch.from_pylist([{"slice": k // part, "sparse": sparse, "body": zlib.compress(body, 1)}], schema=packed)
 
     packed = pa.schema([("slice", pa.int32()), ("sparse", pa.bool_()), ("body", pa.binary())])
 
@@ -102,13 +106,13 @@ def sketch(tables: DataFrame, bits: int, of: str, at_least: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                k, sparse, body = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                k, sparse, body = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), zlib.decompress(batch.column(2)[i].as_py())
                 sums = total.setdefault(k, np.zeros(part, np.int64))
                 if sparse:
-                    n = len(body) // 6
-                    sums[np.frombuffer(body, "<u4", n)] += np.frombuffer(body, np.uint16, n, 4 * n)
+                    n = len(body) // 5
+                    sums[np.frombuffer(body, "<u4", n)] += np.frombuffer(body, np.uint8, n, 4 * n)
                 else:
-                    sums += np.frombuffer(body, np.uint16)
+                    sums += np.frombuffer(body, np.uint8)
         for k, sums in total.items():
             bits_set = np.packbits(sums >= at_least).tobytes()
             yield pa.RecordBatch.from_pylist([{"slice": k, "sparse": False, "body": bits_set}], schema=packed)
@@ -172,12 +176,17 @@ def ordered_tokens(value: np.ndarray, frequent: np.ndarray, bits: int) -> np.nda
     return np.where(bit(frequent, (value >> np.uint64(64 - bits)).astype(np.int64)), value | TOP, value & ~TOP)
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """PARITY bits in 64-bit words: whether an odd number of tokens falls on each."""
+    return np.packbits(np.bincount((tokens % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).view(np.uint64)
+
+
 def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
-    """(doc_id, n_shingles, rare_keys, frequent_keys) of each row."""
+    """(doc_id, n_shingles, rare_keys, frequent_keys, parity) of each row."""
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
         offsets = np.cumsum([0, *map(len, parts)])
@@ -192,11 +201,11 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
                 sets = [np.unique(value[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 keys = [prefix_keys(t) if len(t) else (t, t) for t in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows], pa.array([len(t) for t in sets], pa.int64()), lists([k[0] for k in keys]), lists([k[1] for k in keys])],
-                    ["doc_id", "n_shingles", "rare_keys", "frequent_keys"],
+                    [batch.column(0)[rows], pa.array([len(t) for t in sets], pa.int64()), lists([k[0] for k in keys]), lists([k[1] for k in keys]), lists([parity(t) for t in sets])],
+                    ["doc_id", "n_shingles", "rare_keys", "frequent_keys", "parity"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, rare_keys array<long>, frequent_keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, rare_keys array<long>, frequent_keys array<long>, parity array<long>")
 
 
 def _rare_stars(postings: DataFrame) -> DataFrame:
@@ -237,8 +246,18 @@ def _compatible(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose parity sketches allow a link: |x| + |y| - 2 overlap is at least the number of bits that differ."""
+    side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"p_{k}"))
+    differ = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # 100 o >= 80 u with o + u = |x| + |y|, so the difference u - o is at most 20 / 180 of the sum
+    return both.where(differ * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)).select("a", "b").distinct()
+
+
+def verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b), distinct and with a < b, whose sets link."""
+    pairs = materialise(possible(pairs, sketches), "possible")
     bits = 24
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     wanted = sketch(ids, bits, "id", 1)
@@ -286,16 +305,23 @@ def link_components(docs: DataFrame) -> DataFrame:
     def postings(column: str) -> DataFrame:
         return known.select(F.explode(column).alias("key"), "doc_id", F.col("n_shingles").alias("n"))
 
+    sketches = known.select("doc_id", F.col("n_shingles").alias("n"), "parity")
     stars = materialise(_rare_stars(postings("rare_keys")).union(_frequent_stars(postings("frequent_keys"))), "stars")
-    pairs = stars.where(_compatible("pivot_n", "n")).select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    links = materialise(verify(pairs, docs), "links")
+    met = materialise(stars.select("pivot", "doc_id", "pivot_n", "n").distinct(), "met")
+    pairs = met.where(_compatible("pivot_n", "n")).select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+    links = materialise(verify(pairs, docs, sketches), "links")
     roots = materialise(connected_components(links), "roots")
 
-    members = stars.select("key", "doc_id", "n").union(stars.select("key", F.col("pivot").alias("doc_id"), F.col("pivot_n").alias("n")))
-    labelled = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("label"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = materialise(labelled.join(open_keys, "key", "left_semi").distinct(), "open-keys")
+    def root_of(column: str, name: str) -> DataFrame:
+        return roots.select(F.col("node").alias(column), F.col("root").alias(name))
+
+    # keys with a document that is not in its pivot's component, and their documents
+    labelled = met.join(root_of("doc_id", "r"), "doc_id", "left").join(root_of("pivot", "p"), "pivot", "left")
+    apart = labelled.where(F.coalesce("r", "doc_id") != F.coalesce("p", "pivot")).select("pivot", "doc_id")
+    open_keys = stars.join(apart, ["pivot", "doc_id"], "left_semi").select("key").distinct()
+    still = stars.join(open_keys, "key", "left_semi")
+    members = still.select("key", "doc_id", "n").union(still.select("key", F.col("pivot").alias("doc_id"), F.col("pivot_n").alias("n"))).distinct()
+    rest = materialise(members.join(root_of("doc_id", "r"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("r", "doc_id").alias("label")), "open-keys")
     x, y = rest.alias("x"), rest.alias("y")
     crossing = (
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & _compatible("x.n", "y.n"))
@@ -304,7 +330,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     )
     more = materialise(crossing.join(pairs, ["a", "b"], "left_anti"), "crossing")
     if not more.isEmpty():
-        found = materialise(verify(more, docs), "links")
+        found = materialise(verify(more, docs, sketches), "links")
         roots = connected_components(links.union(found))
     return table.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
