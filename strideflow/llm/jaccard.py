@@ -18,7 +18,7 @@ give components. Where all documents of a key are then in one component, the key
 components and compatible sizes are verified against each other. So no link between different components is lost, copies
 cost as many checks as there are copies, and no pair within a component is made after the first round. Before sets are compared, a
 parity sketch bounds the symmetric difference of a pair from below (each token that one side alone has flips one of `PARITY` bits), which
-rejects most pairs that share a passage only. Sets of the documents to be
+rejects most pairs that share a passage only; documents of more than `WIDE_FROM` tokens have a second, wider sketch. Sets of the documents to be
 verified are built again from their texts, which a bit map of fixed size selects in the scan.
 
 Null and empty texts and texts without words have no tokens and no links; fewer than five words make one token of the whole
@@ -45,7 +45,7 @@ SHINGLE = 5
 PERCENT = 80
 SMALL = 32
 SLICES = 64
-PARITY = 1024
+PARITY, WIDE, WIDE_FROM = 1024, 8192, 960
 TOP = np.uint64(1 << 63)
 
 
@@ -176,9 +176,9 @@ def ordered_tokens(value: np.ndarray, frequent: np.ndarray, bits: int) -> np.nda
     return np.where(bit(frequent, (value >> np.uint64(64 - bits)).astype(np.int64)), value | TOP, value & ~TOP)
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    """PARITY bits in 64-bit words: whether an odd number of tokens falls on each."""
-    return np.packbits(np.bincount((tokens % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).view(np.uint64)
+def parity(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Bits in 64-bit words: whether an odd number of tokens falls on each."""
+    return np.packbits(np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
 
 
 def _long(values: np.ndarray) -> pa.Array:
@@ -186,7 +186,7 @@ def _long(values: np.ndarray) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
-    """(doc_id, n_shingles, rare_keys, frequent_keys, parity) of each row."""
+    """(doc_id, n_shingles, rare_keys, frequent_keys, parity, wide) of each row."""
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
         offsets = np.cumsum([0, *map(len, parts)])
@@ -201,11 +201,11 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
                 sets = [np.unique(value[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 keys = [prefix_keys(t) if len(t) else (t, t) for t in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows], pa.array([len(t) for t in sets], pa.int64()), lists([k[0] for k in keys]), lists([k[1] for k in keys]), lists([parity(t) for t in sets])],
-                    ["doc_id", "n_shingles", "rare_keys", "frequent_keys", "parity"],
+                    [batch.column(0)[rows], pa.array([len(t) for t in sets], pa.int64()), lists([k[0] for k in keys]), lists([k[1] for k in keys]), lists([parity(t, PARITY) for t in sets]), lists([parity(t, WIDE) if len(t) > WIDE_FROM else t[:0] for t in sets])],
+                    ["doc_id", "n_shingles", "rare_keys", "frequent_keys", "parity", "wide"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, rare_keys array<long>, frequent_keys array<long>, parity array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, rare_keys array<long>, frequent_keys array<long>, parity array<long>, wide array<long>")
 
 
 def _rare_stars(postings: DataFrame) -> DataFrame:
@@ -246,18 +246,22 @@ def _compatible(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, sketches: DataFrame, column: str) -> DataFrame:
     """The pairs (a, b) whose parity sketches allow a link: |x| + |y| - 2 overlap is at least the number of bits that differ."""
-    side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"p_{k}"))
+    side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col(column).alias(f"p_{k}"))
     differ = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     # 100 o >= 80 u with o + u = |x| + |y|, so the difference u - o is at most 20 / 180 of the sum
-    return both.where(differ * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)).select("a", "b").distinct()
+    comparable = F.size("p_a") == F.size("p_b")
+    return both.where(~comparable | (differ * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT))).select("a", "b").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b), distinct and with a < b, whose sets link."""
-    pairs = materialise(possible(pairs, sketches), "possible")
+    pairs = materialise(possible(pairs, sketches, "parity"), "possible")
+    large = sketches.where(F.size("wide") > 0)
+    wide = pairs.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi").join(large.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
+    pairs = materialise(pairs.join(wide, ["a", "b"], "left_anti").union(possible(wide, sketches, "wide")).distinct(), "possible")
     bits = 24
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     wanted = sketch(ids, bits, "id", 1)
@@ -305,7 +309,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     def postings(column: str) -> DataFrame:
         return known.select(F.explode(column).alias("key"), "doc_id", F.col("n_shingles").alias("n"))
 
-    sketches = known.select("doc_id", F.col("n_shingles").alias("n"), "parity")
+    sketches = known.select("doc_id", F.col("n_shingles").alias("n"), "parity", "wide")
     stars = materialise(_rare_stars(postings("rare_keys")).union(_frequent_stars(postings("frequent_keys"))), "stars")
     met = materialise(stars.select("pivot", "doc_id", "pivot_n", "n").distinct(), "met")
     pairs = met.where(_compatible("pivot_n", "n")).select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
