@@ -66,6 +66,24 @@ def masked_velocity_loss(frames: DataFrame, window, target: str, prediction: str
     return out.withColumn("loss", F.col("reconstruction") + velocity_weight * F.col("velocity"))
 
 
+def component_loss(frames: DataFrame, window, target: str, prediction: str, mask: str, components: list[tuple[int, int, float]], temporal: list[tuple[int, int]], temporal_weight: float = 0.5) -> DataFrame:
+    """One row (reconstruction, temporal, loss) over vectors: smooth L1 of each channel range, weighted, over valid frames; and of the changes of
+    some ranges between adjacent valid frames. All ranges are averaged in one aggregate."""
+
+    def error(a: Column, b: Column, start: int, stop: int) -> Column:
+        part = lambda x: F.transform(F.slice(x, start + 1, stop - start), lambda v: v.cast("double"))
+        return F.aggregate(F.zip_with(part(a), part(b), lambda x, y: smooth_l1(x - y)), F.lit(0.0), lambda s, x: s + x) / (stop - start)
+
+    change = lambda c: F.zip_with(c, F.lag(c).over(window), lambda x, y: x.cast("double") - y.cast("double"))
+    pair = F.col(mask) & F.coalesce(F.lag(mask).over(window), F.lit(False))
+    rows = frames.select(F.col(mask).alias("_m"), target, prediction, F.when(pair, change(F.col(target))).alias("_dt"), F.when(pair, change(F.col(prediction))).alias("_dp"))
+    weights = sum(w for *_, w in components)
+    kept = [F.avg(F.when(F.col("_m"), error(F.col(prediction), F.col(target), a, b))) * (w / weights) for a, b, w in components]
+    moved = [F.avg(error(F.col("_dp"), F.col("_dt"), a, b)) / len(temporal) for a, b in temporal]
+    out = rows.agg(sum(kept[1:], kept[0]).alias("reconstruction"), F.coalesce(sum(moved[1:], moved[0]), F.lit(0.0)).alias("temporal"))
+    return out.withColumn("loss", F.col("reconstruction") + temporal_weight * F.col("temporal"))
+
+
 def wrapped_difference(a: Column, b: Column) -> Column:
     """The difference of two angles in (-pi, pi]."""
     return F.atan2(F.sin(a - b), F.cos(a - b))

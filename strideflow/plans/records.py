@@ -205,6 +205,25 @@ def worst_joint(spark, d):
     return out.select("label", F.col("joint").cast("long").alias("joint"), r6("mae").alias("mae"))
 
 
+_RANGES = [(0, 3, 2.0), (3, 9, 2.0), (9, 38, 1.0), (38, 44, 1.0), (44, 62, 0.5), (62, 64, 1.0)]
+_HUBER = "CASE WHEN abs({0}) < 1 THEN 0.5 * ({0}) ** 2 ELSE abs({0}) - 0.5 END".format
+
+
+@query(f"""WITH {_PAIRS}, c(lo, hi, w) AS (VALUES {", ".join(map(str, _RANGES))}),
+    v AS (SELECT vec_id, label, k, a * 20 AS a, b * 20 AS b, vec_id % 5 <> 0 AS m FROM x),
+    d AS (SELECT *, lag(m) OVER w AS pm, (b - lag(b) OVER w) - (a - lag(a) OVER w) AS q FROM v WINDOW w AS (PARTITION BY label, k ORDER BY vec_id)),
+    r AS (SELECT sum(e * w) / sum(w) AS reconstruction FROM (SELECT w, avg({_HUBER("b - a")}) AS e FROM d JOIN c ON k >= lo AND k < hi WHERE m GROUP BY lo, w)),
+    t AS (SELECT avg(e) AS temporal FROM (SELECT k < 3 AS root, avg({_HUBER("q")}) AS e FROM d WHERE m AND pm AND (k < 3 OR k BETWEEN 9 AND 37) GROUP BY 1))
+    SELECT round(reconstruction, 5) AS reconstruction, round(temporal, 5) AS temporal, round(reconstruction + 0.5 * temporal, 5) AS loss FROM r, t""")
+def robot_component_loss(spark, d):
+    from pyspark.sql import Window
+
+    scaled = lambda c: F.transform(c, lambda x: x.cast("double") * 20)
+    f = self_pairs(spark, d).select("vec_id", "label", scaled("embedding").alias("a"), scaled("other").alias("b"), (F.col("vec_id") % 5 != 0).alias("m"))
+    out = metrics.component_loss(f, Window.partitionBy("label").orderBy("vec_id"), "a", "b", "m", _RANGES, [(0, 3), (9, 38)])
+    return out.select(*[F.round(c, 5).alias(c) for c in ("reconstruction", "temporal", "loss")])
+
+
 _CENTRES = "x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, k, avg(x) AS m, count(*) AS n, sum(x) AS s FROM x GROUP BY 1, 2)"
 _ASSIGNED = _CENTRES + ", q AS (SELECT x.vec_id, x.label, c.label AS code, round(sum((x - m) ** 2), 9) AS d FROM x JOIN c USING (k) GROUP BY 1, 2, 3), a AS (SELECT vec_id, label, code, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, code) AS r FROM q) WHERE r = 1)"
 
