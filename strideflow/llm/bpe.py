@@ -173,6 +173,27 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
+def decode_ids(ids: bytes | None, of) -> str:
+    """The text of ids; of: the piece of an id. Bytes that are no UTF-8 become U+FFFD."""
+    return b"".join(map(of, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
+
+
+def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, ids, text): encode and decode after one another in one worker, so a task needs one Python process."""
+    path = path or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = word_table(path)
+        of = pieces(path).__getitem__
+        for batch in batches:
+            for at, texts in bounded_slices(batch.column(1)):
+                ids = table.encode(texts)
+                decoded = pa.array([decode_ids(i, of) for i in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.binary()), decoded], ["doc_id", "ids", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, text string")
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, text) by the id-to-piece table; bytes that are no UTF-8 become U+FFFD. An id outside the vocabulary raises."""
     path = path or default_vocabulary()
@@ -181,7 +202,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         of = pieces(path).__getitem__
         for batch in batches:
             for at, rows in bounded_slices(batch.column(1), 4 * BATCH_CHARS):
-                texts = [b"".join(map(of, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace") for ids in rows]
+                texts = [decode_ids(ids, of) for ids in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), batch.column(1).slice(at, len(rows)), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
@@ -189,7 +210,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def encode_decode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
-    return decode(encode(docs, path), path).select(
+    return encode_decode(docs, path).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
