@@ -9,3 +9,16 @@ def test_model_keeps_its_members():
     counts = np.arange(5000, 0, -1).astype(float)
     model = lm.Attention(counts)
     assert ((model.slot < lm.SLOTS - 1).sum(), lm.GROUPS, model.w["f"].shape[1]) == (3008, 64, 48)
+
+
+def test_rare_words_get_their_share(spark, monkeypatch):
+    """The bound of the broadcast table decides where a count is looked up, never a score."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 40) % 500) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(lm, "STEPS", 20)
+    scores = []
+    for common in (1 << 17, 5):
+        monkeypatch.setattr(lm, "COMMON", common)
+        scores.append([r.score for r in lm.score_documents(docs).orderBy("doc_id").collect()])
+    np.testing.assert_allclose(scores[0], scores[1], atol=1e-6)
