@@ -3,9 +3,12 @@
 Texts become sequences of canonical tokens: words are stripped of ASCII punctuation at both ends and lower-cased, and
 numbers, units after a number, and names (capitalised words inside a sentence) become typed placeholders that remember what they
 stood for. Windows of `WINDOW` tokens of documents and benchmark items are hash-joined. On each diagonal (place in the
-document less place in the item) the slots must be consistent: equal item values map to equal document values and
-different ones to different ones. The windows on consistent diagonals that cover at least `MIN_COVERAGE` of an item's windows
-make a leak; where a slot's value differs it is a re-parameterised one.
+document less place in the item) windows whose slots are the item's own always count; of the others the largest set counts in
+which equal item values map to equal document values (different ones may become equal). The counted windows that cover at least
+`MIN_COVERAGE` of an item's windows make a leak; where a slot's value differs it is a re-parameterised one.
+
+The search for the largest set is exact unless it takes more than `MAX_SEARCH` steps, which needs many values that occur often
+and are altered in many ways; then the largest consistent set found so far counts.
 
 A window needs `MIN_LITERAL` tokens that are no placeholders (in a shorter item: half of its tokens), so tables of numbers
 match nothing. An item shorter than `WINDOW` makes one window of its length; one shorter than `MIN_TOKENS` matches
@@ -18,6 +21,7 @@ full map only drops fewer. Item windows are broadcast when they are at most `MAX
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,7 @@ MIN_LITERAL = 4
 MIN_COVERAGE = 0.5
 MAP_BITS = 22
 MAX_BROADCAST = 200_000
+MAX_SEARCH = 20_000
 #: Units of measure that become a placeholder after a number.
 UNITS = "% percent mm cm m km in inch inches ft feet foot yd yards mi mile miles mg g kg t lb lbs oz ml l liter liters litre litres gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years c f k w kw kwh v hz khz mhz ghz b kb mb gb tb px usd eur gbp dollar dollars euro euros cents mph kmh".split()
 
@@ -141,6 +146,62 @@ def template_windows(texts: DataFrame, sizes: list[int], bitmap: np.ndarray | No
     return texts.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+def consistent(windows: list[dict[int, int]]) -> list[int]:
+    """Places of the largest set of windows (item value to document value) in which each item value has one document value."""
+    left = MAX_SEARCH
+
+    def search(some: list[int], most: int) -> list[int] | None:
+        """The largest set within `some`, or None if none of more than `most` is found."""
+        nonlocal left
+        left -= 1
+        uses: dict[int, Counter] = defaultdict(Counter)
+        for k in some:
+            for i, d in windows[k].items():
+                uses[i][d] += 1
+        open_values = {i: sum(c.values()) for i, c in uses.items() if len(c) > 1}
+        if not open_values:
+            return some if len(some) > most else None
+        bound, shares = 0, defaultdict(Counter)  # each window counts for one of its open values, of which one document value can stay
+        for k in some:
+            mine = [i for i in windows[k] if i in open_values]
+            if mine:
+                i = max(mine, key=lambda i: (open_values[i], i))
+                shares[i][windows[k][i]] += 1
+            else:
+                bound += 1
+        if bound + sum(max(c.values()) for c in shares.values()) <= most:
+            return None
+        value, best = max(open_values, key=lambda i: (open_values[i], i)), None
+        for d, _ in sorted(uses[value].items(), key=lambda x: (-x[1], x[0])):
+            if best is not None and left <= 0:
+                break
+            found = search([k for k in some if windows[k].get(value, d) == d], most)
+            if found is not None:
+                best, most = found, len(found)
+        return best
+
+    return search(list(range(len(windows))), -1) or []
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each diagonal that count: their places in the item, and whether a value differs in one."""
+    for batch in batches:
+        covered, altered = [], []
+        for windows in batch.column("windows").to_pylist():
+            places = {w["item_pos"] for w in windows if w["pairs"] is None}
+            others, maps = [], []
+            for w in sorted((w for w in windows if w["pairs"] is not None), key=lambda w: (w["item_pos"], str(w["pairs"]))):
+                pairs = {(p["i"], p["d"]) for p in w["pairs"]}
+                if len(pairs) == len({i for i, _ in pairs}):
+                    others.append(w["item_pos"])
+                    maps.append(dict(pairs))
+            kept = {others[k] for k in consistent(maps)}
+            covered.append(sorted(places | kept))
+            altered.append(bool(kept))
+        columns = [batch.column(k) for k in ("doc_id", "item_id", "item_windows")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(covered, pa.list_(pa.int32())), pa.array(altered, pa.bool_())], ["doc_id", "item_id", "item_windows", "covered", "altered"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, reparameterised): one row for each leaked item of each document."""
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text")
@@ -156,19 +217,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         right = F.broadcast(right)
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda p: p["i"] != 0)
     matched = windows.join(right, "hash").where(F.size("slots") == F.size("item_slots"))
+    window = F.struct("item_pos", F.when(F.col("slots") != F.col("item_slots"), pairs).alias("pairs"))
     diagonals = (
         matched.groupBy(F.col("id").alias("doc_id"), "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-        .agg(F.collect_set("item_pos").alias("covered"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-        .where(
-            (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
-            & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))))
-        )
+        .agg(F.collect_set(window).alias("windows"))
+        .select("doc_id", "item_id", "item_windows", "windows")
+        .mapInArrow(_counted, "doc_id long, item_id long, item_windows long, covered array<int>, altered boolean")
     )
     return (
         diagonals.groupBy("doc_id", "item_id", "item_windows")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).cast("long").alias("n_windows"),
-            F.bool_or(F.exists("pairs", lambda p: p["i"] != p["d"])).alias("reparameterised"),
+            F.bool_or("altered").alias("reparameterised"),
         )
         .select("doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), "reparameterised")
         .where(F.col("coverage") >= MIN_COVERAGE)

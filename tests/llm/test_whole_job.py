@@ -1,8 +1,11 @@
 """Tests of whole results: nothing is left out of the input, the model or the output."""
 
+import itertools
+import random
+
 import numpy as np
 
-from strideflow.llm import lm
+from strideflow.llm import decontaminate, lm
 
 
 def test_model_keeps_its_members():
@@ -22,3 +25,26 @@ def test_rare_words_get_their_share(spark, monkeypatch):
         monkeypatch.setattr(lm, "COMMON", common)
         scores.append([r.score for r in lm.score_documents(docs).orderBy("doc_id").collect()])
     np.testing.assert_allclose(scores[0], scores[1], atol=1e-6)
+
+
+def test_partly_altered_copies_leak(spark):
+    """Verbatim windows count although a value is altered once, and different item values may become equal."""
+    item = (
+        "Then Alice Brown has 12 apples and puts all of them in the green basket near the old door of the barn. "
+        "After some time she sells 12 apples there, eats 3 pears and gives 4 plums to Bob, who lives with Tom in the house by the river and never says no."
+    )
+    altered = {1: item.replace("12", "17", 1), 2: item.replace("3 pears", "5 pears").replace("4 plums", "5 plums"), 3: item.replace("to Bob", "to Tom"), 4: item}
+    docs = spark.createDataFrame([*altered.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2].coverage == got[3].coverage == got[4].coverage == 1.0
+    assert [got[k].reparameterised for k in (1, 2, 3, 4)] == [True, True, True, False]
+
+
+def test_largest_consistent_set():
+    rng = random.Random(3)
+    for _ in range(200):
+        windows = [{i: rng.randrange(3) for i in rng.sample(range(4), rng.randint(0, 3))} for _ in range(rng.randint(0, 8))]
+        fits = lambda some: all(a.get(i, d) == d for a, b in itertools.combinations(some, 2) for i, d in b.items())
+        most = max(n for n in range(len(windows) + 1) if any(map(fits, itertools.combinations(windows, n))))
+        got = [windows[k] for k in decontaminate.consistent(windows)]
+        assert fits(got) and len(got) == most
