@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from strideflow.llm import decontaminate, lm
+from strideflow.llm import bpe, decontaminate, lm
 
 
 def test_model_keeps_its_members():
@@ -48,3 +48,13 @@ def test_largest_consistent_set():
         most = max(n for n in range(len(windows) + 1) if any(map(fits, itertools.combinations(windows, n))))
         got = [windows[k] for k in decontaminate.consistent(windows)]
         assert fits(got) and len(got) == most
+
+
+def test_sampled_texts_are_used_whole(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(lm, "SAMPLE_IDS", 10)
+    monkeypatch.setattr(lm.Attention, "train", lambda self, sequences: seen.update(ids=sum(map(len, sequences))))
+    monkeypatch.setattr(lm.Attention, "fit_weight", lambda self, logs, share: seen.update(words=len(logs)))
+    path = bpe.default_vocabulary()
+    lm.fit_model(["a " * 3000, "b " * 500, "c"], np.ones(lm.SubwordTable(path).size + 1), {b"a": 3000, b"b": 500}, 3, 3504, path)
+    assert seen == {"ids": 501, "words": 3001}
