@@ -5,20 +5,24 @@ union. All tokens have one global order: tokens of the rare class first, then th
 of the frequent class when its counter in a sketch of the whole corpus is high; the sketch never counts too little, so a rare
 token is in at most `threshold` documents.
 
+Documents with equal sets are one unit from the start (their rows are grouped by a 128-bit hash of the set), so copies cost no pairs.
 With overlap a(x) = ceil(0.8 |x|) at least, the first L common tokens of a link are within the first |x| - a(x) + L tokens of both.
-Hence, if the first common token is rare, both documents have it among their first |x| - a(x) + 1 tokens, and single rare
-tokens are indexed there. Otherwise all common tokens are frequent: with prefixes extended to L = g + 1 common tokens, and frequent
-tokens dealt to g classes by hash, two of the common tokens fall in one class, so pairs of tokens of one class are indexed.
-g grows with the size, by bands of sizes from 2^k to 2^(k+1); a link is found in the band of its smaller document, so a document
-also uses the rules of the band below while it can link with it. Links of documents of at most `SMALL` tokens are found by single
-tokens of either class.
-
-The documents of a key are not paired with each other. First each is verified against the key's pivot, and the links
-give components. Where all documents of a key are then in one component, the key is done. In the other keys documents of different
-components and compatible sizes are verified against each other. So no link between different components is lost, copies
-cost as many checks as there are copies, and no pair within a component is made after the first round. Before sets are compared, a
+Hence, if the first common token is rare, both units have it among their first |x| - a(x) + 1 tokens, and single rare
+tokens are indexed there with their places: what follows the place bounds the overlap. Otherwise all common tokens are frequent, so a unit has at
+least a(x) frequent ones, and only such units have keys of the frequent class: with prefixes extended to L = (k - 1) g + 1 common tokens, and frequent
+tokens dealt to g classes by hash, k of the common tokens fall in one class, so combinations of k tokens of one class are indexed.
+g grows with the size, by bands of sizes from 2^b to 2^(b+1); a link is found in the band of its smaller unit, so a unit
+also uses the rules of the band below while it can link with it. k is 2, and 1 for links of units of at most `SMALL` tokens. Two units whose common
+tokens are all frequent differ in all their rare tokens, and a link differs in at most a ninth of the two sizes; so 9 r(x) - |x|
+and 9 r(y) - |y| must not sum to more than zero, r being the number of rare tokens. This drops the pairs that a common passage makes.
+
+The units of a key are not paired with each other. First each is verified against the key's pivot (for frequent keys the unit
+with the least 9 r - |x|, so that a unit that cannot link with it can link with no other of the key unless their
+frequent tokens differ), and the links give components. Where all units of a key are then in one component, the key is done. In the other
+keys units of different components that pass the bounds are verified against each other. So no link between different components is lost, and no pair
+within a component is made after the first round. Before sets are compared, a
 parity sketch bounds the symmetric difference of a pair from below (each token that one side alone has flips one of `PARITY` bits), which
-rejects most pairs that share a passage only; documents of more than `WIDE_FROM` tokens have a second, wider sketch. Sets of the documents to be
+rejects most pairs that share a passage only; units of more than `WIDE_FROM` tokens have a second, wider sketch. Sets of the units to be
 verified are built again from their texts, which a bit map of fixed size selects in the scan.
 
 Null and empty texts and texts without words have no tokens and no links; fewer than five words make one token of the whole
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.llm import textops
@@ -45,6 +49,7 @@ SHINGLE = 5
 PERCENT = 80
 SMALL = 32
 SLICES = 64
+FULL = 255
 PARITY, WIDE, WIDE_FROM = 1024, 8192, 960
 TOP = np.uint64(1 << 63)
 
@@ -69,7 +74,7 @@ def shingles(w: textops.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(tables: DataFrame, bits: int, of: str, at_least: int) -> np.ndarray:
-    """A bit map of 2^bits bits: whether at least `at_least` values fall on a counter. `of`: 'text' counts shingles, 'id' values of a long column.
+    """A bit map of 2^bits bits: whether at least `at_least` values (or `FULL` in one task) fall on a counter. `of`: 'text' counts shingles, 'id' values of a long column.
 
     Each task counts in its own array and sends it in slices, sparse where that is shorter; slices are added up as they stream in.
     The driver gets the bit map alone, of 2^bits / 8 bytes.
@@ -78,7 +83,7 @@ def sketch(tables: DataFrame, bits: int, of: str, at_least: int) -> np.ndarray:
     part = max(1, width // SLICES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(width, np.uint8)  # a task counts up to 255, which is over any threshold of a frequent token
+        counters = np.zeros(width, np.uint8)  # up to FULL
         any_value = False
         for batch in batches:
             if of == "text":
@@ -88,7 +93,7 @@ def sketch(tables: DataFrame, bits: int, of: str, at_least: int) -> np.ndarray:
             for values in found:
                 any_value |= len(values) > 0
                 place, n = np.unique(values.astype(np.int64), return_counts=True)
-                counters[place] = np.minimum(counters[place].astype(np.int64) + n, 255)
+                counters[place] = np.minimum(counters[place].astype(np.int64) + n, FULL)
         if not any_value:
             return
         for k in range(0, width, part):
@@ -108,11 +113,10 @@ def sketch(tables: DataFrame, bits: int, of: str, at_least: int) -> np.ndarray:
             for i in range(batch.num_rows):
                 k, sparse, body = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), zlib.decompress(batch.column(2)[i].as_py())
                 sums = total.setdefault(k, np.zeros(part, np.int64))
-                if sparse:
-                    n = len(body) // 5
-                    sums[np.frombuffer(body, "<u4", n)] += np.frombuffer(body, np.uint8, n, 4 * n)
-                else:
-                    sums += np.frombuffer(body, np.uint8)
+                n = len(body) // 5
+                place = np.frombuffer(body, "<u4", n) if sparse else slice(None)
+                value = np.frombuffer(body, np.uint8, offset=4 * n if sparse else 0).astype(np.int64)
+                sums[place] += np.where(value == FULL, at_least, value)
         for k, sums in total.items():
             bits_set = np.packbits(sums >= at_least).tobytes()
             yield pa.RecordBatch.from_pylist([{"slice": k, "sparse": False, "body": bits_set}], schema=packed)
@@ -152,7 +156,7 @@ def prefix_keys(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rare = int(np.searchsorted(tokens, TOP))
     loose = n - overlap(n)
     singles = tokens[: min(loose + 1, rare)]
-    if rare >= n or (rare > loose + 1 and rare > loose + 1 + n // 8 + 2):
+    if rare > loose:  # a link of frequent tokens alone has at least overlap(n) of them
         return singles, tokens[:0]
     frequent = []
     if n <= SMALL * 100 / PERCENT:
@@ -186,13 +190,16 @@ def _long(values: np.ndarray) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
-    """(doc_id, n_shingles, rare_keys, frequent_keys, parity, wide) of each row."""
+    """For each row: its number and doc_id, the size and hash of its set, its rare tokens' number, its keys and its parity sketches."""
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
         offsets = np.cumsum([0, *map(len, parts)])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _long(np.concatenate(parts) if parts else np.zeros(0, np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for rows, w in textops.chunks(batch.column(1)):
                 value, doc = shingles(w)
@@ -200,52 +207,72 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
                 bounds = np.searchsorted(doc, np.arange(rows.stop - rows.start + 1))
                 sets = [np.unique(value[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 keys = [prefix_keys(t) if len(t) else (t, t) for t in sets]
+                count = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows], pa.array([len(t) for t in sets], pa.int64()), lists([k[0] for k in keys]), lists([k[1] for k in keys]), lists([parity(t, PARITY) for t in sets]), lists([parity(t, WIDE) if len(t) > WIDE_FROM else t[:0] for t in sets])],
-                    ["doc_id", "n_shingles", "rare_keys", "frequent_keys", "parity", "wide"],
-                )
+                    [
+                        pa.array(np.arange(number, number + count)), batch.column(0)[rows], pa.array([len(t) for t in sets], pa.int64()),
+                        _long(np.array([textops.mix(t & ~TOP).sum(dtype=np.uint64) for t in sets], np.uint64)), _long(np.array([textops.mix((t & ~TOP) ^ _RULE).sum(dtype=np.uint64) for t in sets], np.uint64)),
+                        pa.array([int(np.searchsorted(t, TOP)) for t in sets], pa.int64()), lists([k[0] for k in keys]), lists([k[1] for k in keys]),
+                        lists([parity(t, PARITY) for t in sets]), lists([parity(t, WIDE) if len(t) > WIDE_FROM else t[:0] for t in sets]),
+                    ],
+                    COLUMNS,
+                )
+                number += count
+
+    return docs.mapInArrow(run, "row long, doc_id long, n long, h1 long, h2 long, rare long, rare_keys array<long>, frequent_keys array<long>, parity array<long>, wide array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, rare_keys array<long>, frequent_keys array<long>, parity array<long>, wide array<long>")
+COLUMNS = ["row", "doc_id", "n", "h1", "h2", "rare", "rare_keys", "frequent_keys", "parity", "wide"]
 
 
 def _rare_stars(postings: DataFrame) -> DataFrame:
-    """(key, pivot, doc_id, pivot_n, n) for keys with more than one document: the first one of each run is the pivot. Runs are short."""
-    names = ["key", "pivot", "doc_id", "pivot_n", "n"]
+    """(key, pivot, doc, pivot_n, n, pivot_at, at) for keys with more than one unit: the first one of each run is the pivot. Runs are short."""
+    names = ["key", "pivot", "doc", "pivot_n", "n", "pivot_at", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, n = (batch.column(k).to_numpy() for k in range(3))
+            key, *own = (batch.column(k).to_numpy() for k in range(4))
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
-            at = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-            pivot, pivot_n = doc[at], n[at]
+            lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+            pivot = [x[lead] for x in own]
             others = ~first
             if last is not None and key[0] == last[0]:  # the run goes on from the batch before
                 run_length = int(np.searchsorted(np.cumsum(first), 2)) if first.sum() > 1 else len(key)
-                pivot[:run_length], pivot_n[:run_length] = last[1], last[2]
+                for x, value in zip(pivot, last[1:], strict=True):
+                    x[:run_length] = value
                 others[0] = True
-            last = (key[-1], pivot[-1], pivot_n[-1])
-            keep = np.flatnonzero(others & (doc != pivot))
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, pivot, doc, pivot_n, n)], names)
+            last = (key[-1], *(x[-1] for x in pivot))
+            keep = np.flatnonzero(others & (own[0] != pivot[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, pivot[0], own[0], pivot[1], own[1], pivot[2], own[2])], names)
 
-    ordered = postings.repartition(shuffle_partitions(postings.sparkSession), "key").sortWithinPartitions("key", F.xxhash64("doc_id"), "doc_id")
-    return ordered.mapInArrow(run, "key long, pivot long, doc_id long, pivot_n long, n long")
+    ordered = postings.repartition(shuffle_partitions(postings.sparkSession), "key").sortWithinPartitions("key", F.xxhash64("doc"), "doc")
+    return ordered.mapInArrow(run, ", ".join(f"{k} long" for k in names))
 
 
 def _frequent_stars(postings: DataFrame) -> DataFrame:
-    """The same where a key may hold a third of all documents: minima are pre-aggregated, and a hot key's join can be split."""
-    pivots = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p"), F.count("*").alias("c")).where("c > 1")
-    joined = postings.join(pivots.select("key", "p.pivot", "p.pivot_n"), "key")
-    return joined.where("doc_id <> pivot").select("key", "pivot", "doc_id", "pivot_n", "n")
+    """The same where a key may hold a third of all units: minima are pre-aggregated, and a hot key's join can be split. at: 9 r - n."""
+    least = F.min(F.struct(F.col("at").alias("pivot_at"), F.xxhash64("doc").alias("h"), F.col("doc").alias("pivot"), F.col("n").alias("pivot_n")))
+    pivots = postings.groupBy("key").agg(least.alias("p"), F.count("*").alias("c")).where("c > 1")
+    joined = postings.join(pivots.select("key", "p.pivot", "p.pivot_n", "p.pivot_at"), "key")
+    return joined.where("doc <> pivot").select("key", "pivot", "doc", "pivot_n", "n", "pivot_at", "at")
 
 
-def _compatible(a: str, b: str):
+def _compatible(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _bounded(rare: bool, a: tuple[str, str], b: tuple[str, str]) -> Column:
+    """Whether two units (size, at) that share a key may link because of it: by the tokens from the common one on, or by 9 r - n."""
+    (n, i), (m, j) = (tuple(map(F.col, x)) for x in (a, b))
+    if rare:
+        return F.least(n - i, m - j) * (100 + PERCENT) >= (n + m) * PERCENT
+    return i + j <= 0
+
+
 def possible(pairs: DataFrame, sketches: DataFrame, column: str) -> DataFrame:
     """The pairs (a, b) whose parity sketches allow a link: |x| + |y| - 2 overlap is at least the number of bits that differ."""
     side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col(column).alias(f"p_{k}"))
@@ -274,75 +301,84 @@ def verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
             for rows, w in textops.chunks(batch.column(1)):
                 value, doc = shingles(w)
                 bounds = np.searchsorted(doc, np.arange(rows.stop - rows.start + 1))
-                sets = [np.unique(value[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(sets, pa.binary())], ["id", "tokens"])
-
-    sets = docs.where("doc_id IS NOT NULL").mapInArrow(run, "id long, tokens binary")
-
-    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+                sets = [np.unique(value[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                offsets = np.cumsum([0, *map(len, sets)])
+                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _long(np.concatenate(sets) if sets else value[:0]))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], tokens], ["id", "tokens"])
 
+    sets = docs.where("doc_id IS NOT NULL").mapInArrow(run, "id long, tokens array<long>")
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = sets.distinct()  # repeated rows of one document
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
+    common = F.size(F.array_intersect("x", "y"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("both"))
+    return joined.where(F.col("common") * (100 + PERCENT) >= F.col("both") * PERCENT).select("a", "b").distinct()
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id reachable by links."""
+def _crossing(stars: DataFrame, roots: DataFrame, rare: bool) -> DataFrame:
+    """Pairs (a, b) of units of different components that share a key which holds more than one component, and may link because of it."""
+
+    def root_of(column: str, name: str) -> DataFrame:
+        return roots.select(F.col("node").alias(column), F.col("root").alias(name))
+
+    labelled = stars.join(root_of("doc", "r"), "doc", "left").join(root_of("pivot", "p"), "pivot", "left")
+    labelled = labelled.withColumns({"r": F.coalesce("r", "doc"), "p": F.coalesce("p", "pivot")})
+    open_keys = materialise(labelled.where("r <> p").select("key").distinct(), "open-keys")
+    still = labelled.join(open_keys, "key", "left_semi")
+    pivots = still.select("key", F.col("pivot").alias("doc"), F.col("pivot_n").alias("n"), F.col("pivot_at").alias("at"), F.col("p").alias("label")).distinct()
+    rest = materialise(still.select("key", "doc", "n", "at", F.col("r").alias("label")).union(pivots), "open-members")
+    x, y = rest.alias("x"), rest.alias("y")
+    differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.label") != F.col("y.label"))
+    may = _compatible("x.n", "y.n") & _bounded(rare, ("x.n", "x.at"), ("y.n", "y.at"))
+    return x.join(y, differ & may).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
+
+def link_components(docs: DataFrame, max_bits: int = 25) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id reachable by links. The sketch has at most 2^max_bits counters."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    count = docs.count()
-    bits = min(25, max(18, math.ceil(math.log2(max(count, 1))) + 6))
-    words = docs.select(F.sum(F.length("text")).alias("c")).first().c or 0
-    threshold = max(16, math.ceil(4 * words / 5 / (1 << bits)))
+    size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    bits = min(max_bits, max(18, math.ceil(math.log2(max(size.rows, 1))) + 6))
+    threshold = max(16, math.ceil(4 * size.chars / 5 / (1 << bits)))
     frequent = sketch(docs.select("text"), bits, "text", threshold + 1)
     table = materialise(prefixes(docs, frequent, bits), "prefixes")
-    known = table.where("doc_id IS NOT NULL")
+    known = table.where("doc_id IS NOT NULL AND n > 0")
+    reps = materialise(known.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.row").alias("row")), "sets")
+    units = materialise(known.join(reps.select("row"), "row", "left_semi"), "units")
 
-    def postings(column: str) -> DataFrame:
-        return known.select(F.explode(column).alias("key"), "doc_id", F.col("n_shingles").alias("n"))
+    at = {"rare_keys": F.col("pos").cast("long"), "frequent_keys": 9 * F.col("rare") - F.col("n")}
 
-    sketches = known.select("doc_id", F.col("n_shingles").alias("n"), "parity", "wide")
-    stars = materialise(_rare_stars(postings("rare_keys")).union(_frequent_stars(postings("frequent_keys"))), "stars")
-    met = materialise(stars.select("pivot", "doc_id", "pivot_n", "n").distinct(), "met")
-    pairs = met.where(_compatible("pivot_n", "n")).select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
-    links = materialise(verify(pairs, docs, sketches), "links")
+    def postings(column: str) -> DataFrame:
+        return units.select("doc_id", "n", "rare", F.posexplode(column).alias("pos", "key")).select("key", F.col("doc_id").alias("doc"), "n", at[column].alias("at"))
+
+    sketches = units.select("doc_id", "n", "parity", "wide")
+    stars = {True: materialise(_rare_stars(postings("rare_keys")), "rare-stars"), False: materialise(_frequent_stars(postings("frequent_keys")), "frequent-stars")}
+    met = [s.where(_compatible("pivot_n", "n") & _bounded(rare, ("pivot_n", "pivot_at"), ("n", "at"))).select(F.least("pivot", "doc").alias("a"), F.greatest("pivot", "doc").alias("b")).distinct() for rare, s in stars.items()]
+    pairs = materialise(met[0].union(met[1]).distinct(), "met")
+    several = known.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("doc_id")  # documents with more than one set
+    own = known.join(several, "doc_id", "left_semi").join(reps, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    links = materialise(verify(pairs, docs, sketches).union(own), "links")
     roots = materialise(connected_components(links), "roots")
-
-    def root_of(column: str, name: str) -> DataFrame:
-        return roots.select(F.col("node").alias(column), F.col("root").alias(name))
-
-    # keys with a document that is not in its pivot's component, and their documents
-    labelled = met.join(root_of("doc_id", "r"), "doc_id", "left").join(root_of("pivot", "p"), "pivot", "left")
-    apart = labelled.where(F.coalesce("r", "doc_id") != F.coalesce("p", "pivot")).select("pivot", "doc_id")
-    open_keys = stars.join(apart, ["pivot", "doc_id"], "left_semi").select("key").distinct()
-    still = stars.join(open_keys, "key", "left_semi")
-    members = still.select("key", "doc_id", "n").union(still.select("key", F.col("pivot").alias("doc_id"), F.col("pivot_n").alias("n"))).distinct()
-    rest = materialise(members.join(root_of("doc_id", "r"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("r", "doc_id").alias("label")), "open-keys")
-    x, y = rest.alias("x"), rest.alias("y")
-    crossing = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label")) & _compatible("x.n", "y.n"))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .distinct()
-    )
-    more = materialise(crossing.join(pairs, ["a", "b"], "left_anti"), "crossing")
+    more = materialise(_crossing(stars[True], roots, True).union(_crossing(stars[False], roots, False)).distinct().join(pairs, ["a", "b"], "left_anti"), "crossing")
     if not more.isEmpty():
-        found = materialise(verify(more, docs, sketches), "links")
-        roots = connected_components(links.union(found))
-    return table.select("doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+        roots = connected_components(links.union(materialise(verify(more, docs, sketches), "links")))
+    found = table.select("doc_id", "n", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of its smallest doc_id (of rows with equal doc_id the least text); rows of null doc_id stay."""
+    """One row of each component, that of its smallest doc_id (of rows with equal doc_id the one with the least text); rows of null doc_id stay."""
     found = link_components(docs)
     others = found.where("component_id <> doc_id").select(F.col("doc_id").alias("other_id")).distinct()
     others = materialise(others, "copies")
+    key = docs["doc_id"].cast("long")
     right = F.broadcast(others) if others.count() <= 1_000_000 else others
-    return docs.join(right, docs["doc_id"].cast("long") == right["other_id"], "left_anti")
+    kept = docs.join(right, key == right["other_id"], "left_anti")
+    repeated = materialise(docs.select(key.alias("repeated_id")).where("repeated_id IS NOT NULL").groupBy("repeated_id").count().where("count > 1").select("repeated_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, key == repeated["repeated_id"], "left_anti")
+    columns = [docs[c] for c in docs.columns]
+    many = kept.join(repeated, key == repeated["repeated_id"], "left_semi").groupBy(key.alias("repeated_id"))
+    least = many.agg(F.min_by(F.struct(*columns), F.struct(docs["text"], F.xxhash64(*columns))).alias("row_kept")).select("row_kept.*")
+    return once.unionByName(least)
