@@ -13,12 +13,11 @@ least a(x) frequent ones, and only such units have keys of the frequent class: w
 tokens dealt to g classes by hash, k of the common tokens fall in one class, so combinations of k tokens of one class are indexed.
 g grows with the size, by bands of sizes from 2^b to 2^(b+1); a link is found in the band of its smaller unit, so a unit
 also uses the rules of the band below while it can link with it. k is 2, and 1 for links of units of at most `SMALL` tokens. Two units whose common
-tokens are all frequent differ in all their rare tokens, and a link differs in at most a ninth of the two sizes; so 9 r(x) - |x|
-and 9 r(y) - |y| must not sum to more than zero, r being the number of rare tokens. This drops the pairs that a common passage makes.
+tokens are all frequent overlap in no more than the lesser number f of frequent tokens, and a link overlaps in 4 / 9 of the two sizes at least; so
+9 min(f(x), f(y)) >= 4 (|x| + |y|). This drops the pairs that a common passage makes, and those of copies that are altered too much.
 
 The units of a key are not paired with each other. First each is verified against the key's pivot (for frequent keys the unit
-with the least 9 r - |x|, so that a unit that cannot link with it can link with no other of the key unless their
-frequent tokens differ), and the links give components. Where all units of a key are then in one component, the key is done. In the other
+with the greatest 9 f - 4 |x|, which the bound lets link with most others), and the links give components. Where all units of a key are then in one component, the key is done. In the other
 keys units of different components that pass the bounds are verified against each other. So no link between different components is lost, and no pair
 within a component is made after the first round. Before sets are compared, a
 parity sketch bounds the symmetric difference of a pair from below (each token that one side alone has flips one of `PARITY` bits), which
@@ -254,8 +253,8 @@ def _rare_stars(postings: DataFrame) -> DataFrame:
 
 
 def _frequent_stars(postings: DataFrame) -> DataFrame:
-    """The same where a key may hold a third of all units: minima are pre-aggregated, and a hot key's join can be split. at: 9 r - n."""
-    least = F.min(F.struct(F.col("at").alias("pivot_at"), F.xxhash64("doc").alias("h"), F.col("doc").alias("pivot"), F.col("n").alias("pivot_n")))
+    """The same where a key may hold a third of all units: minima are pre-aggregated, and a hot key's join can be split. at: f."""
+    least = F.min(F.struct((4 * F.col("n") - 9 * F.col("at")).alias("first"), F.xxhash64("doc").alias("h"), F.col("doc").alias("pivot"), F.col("n").alias("pivot_n"), F.col("at").alias("pivot_at")))
     pivots = postings.groupBy("key").agg(least.alias("p"), F.count("*").alias("c")).where("c > 1")
     joined = postings.join(pivots.select("key", "p.pivot", "p.pivot_n", "p.pivot_at"), "key")
     return joined.where("doc <> pivot").select("key", "pivot", "doc", "pivot_n", "n", "pivot_at", "at")
@@ -266,11 +265,10 @@ def _compatible(a: str, b: str) -> Column:
 
 
 def _bounded(rare: bool, a: tuple[str, str], b: tuple[str, str]) -> Column:
-    """Whether two units (size, at) that share a key may link because of it: by the tokens from the common one on, or by 9 r - n."""
+    """Whether two units (size, at) that share a key may link because of it: by the tokens from the common one on, or by the frequent ones."""
     (n, i), (m, j) = (tuple(map(F.col, x)) for x in (a, b))
-    if rare:
-        return F.least(n - i, m - j) * (100 + PERCENT) >= (n + m) * PERCENT
-    return i + j <= 0
+    most = F.least(n - i, m - j) if rare else F.least(i, j)
+    return most * (100 + PERCENT) >= (n + m) * PERCENT
 
 
 def possible(pairs: DataFrame, sketches: DataFrame, column: str) -> DataFrame:
@@ -316,8 +314,11 @@ def verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
     return joined.where(F.col("common") * (100 + PERCENT) >= F.col("both") * PERCENT).select("a", "b").distinct()
 
 
-def _crossing(stars: DataFrame, roots: DataFrame, rare: bool) -> DataFrame:
-    """Pairs (a, b) of units of different components that share a key which holds more than one component, and may link because of it."""
+def _crossing(stars: DataFrame, roots: DataFrame, sketches: DataFrame, rare: bool) -> DataFrame:
+    """Pairs (a, b) of units of different components that share a key which holds more than one component, and may link because of it.
+
+    The bounds and the parity sketches are tested before a pair is emitted.
+    """
 
     def root_of(column: str, name: str) -> DataFrame:
         return roots.select(F.col("node").alias(column), F.col("root").alias(name))
@@ -327,10 +328,13 @@ def _crossing(stars: DataFrame, roots: DataFrame, rare: bool) -> DataFrame:
     open_keys = materialise(labelled.where("r <> p").select("key").distinct(), "open-keys")
     still = labelled.join(open_keys, "key", "left_semi")
     pivots = still.select("key", F.col("pivot").alias("doc"), F.col("pivot_n").alias("n"), F.col("pivot_at").alias("at"), F.col("p").alias("label")).distinct()
-    rest = materialise(still.select("key", "doc", "n", "at", F.col("r").alias("label")).union(pivots), "open-members")
+    rest = still.select("key", "doc", "n", "at", F.col("r").alias("label")).union(pivots)
+    rest = materialise(rest.join(sketches.select(F.col("doc_id").alias("doc"), "n", "parity"), ["doc", "n"]), "open-members")
     x, y = rest.alias("x"), rest.alias("y")
     differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.label") != F.col("y.label"))
     may = _compatible("x.n", "y.n") & _bounded(rare, ("x.n", "x.at"), ("y.n", "y.at"))
+    apart = sum((F.bit_count(F.col("x.parity")[k].bitwiseXOR(F.col("y.parity")[k])) for k in range(PARITY // 64)), F.lit(0))
+    may &= apart * (100 + PERCENT) <= (F.col("x.n") + F.col("y.n")) * (100 - PERCENT)
     return x.join(y, differ & may).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
@@ -346,7 +350,7 @@ def link_components(docs: DataFrame, max_bits: int = 25) -> DataFrame:
     reps = materialise(known.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.row").alias("row")), "sets")
     units = materialise(known.join(reps.select("row"), "row", "left_semi"), "units")
 
-    at = {"rare_keys": F.col("pos").cast("long"), "frequent_keys": 9 * F.col("rare") - F.col("n")}
+    at = {"rare_keys": F.col("pos").cast("long"), "frequent_keys": F.col("n") - F.col("rare")}
 
     def postings(column: str) -> DataFrame:
         return units.select("doc_id", "n", "rare", F.posexplode(column).alias("pos", "key")).select("key", F.col("doc_id").alias("doc"), "n", at[column].alias("at"))
@@ -359,7 +363,7 @@ def link_components(docs: DataFrame, max_bits: int = 25) -> DataFrame:
     own = known.join(several, "doc_id", "left_semi").join(reps, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     links = materialise(verify(pairs, docs, sketches).union(own), "links")
     roots = materialise(connected_components(links), "roots")
-    more = materialise(_crossing(stars[True], roots, True).union(_crossing(stars[False], roots, False)).distinct().join(pairs, ["a", "b"], "left_anti"), "crossing")
+    more = materialise(_crossing(stars[True], roots, sketches, True).union(_crossing(stars[False], roots, sketches, False)).distinct().join(pairs, ["a", "b"], "left_anti"), "crossing")
     if not more.isEmpty():
         roots = connected_components(links.union(materialise(verify(more, docs, sketches), "links")))
     found = table.select("doc_id", "n", "h1", "h2").join(reps.select("h1", "h2", "rep"), ["h1", "h2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
