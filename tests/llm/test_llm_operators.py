@@ -84,11 +84,12 @@ def test_chat_plan_is_native(spark, data):
 # ---- 2
 
 
-def test_base_score_and_gradients(spark, data, monkeypatch):
+def test_base_score(spark, data, monkeypatch):
     monkeypatch.setattr(lm, "COMMON", 2000)
-    monkeypatch.setattr(lm, "SAMPLE_IDS", 20_000)
+    monkeypatch.setattr(lm, "START_IDS", 20_000)
+    monkeypatch.setattr(lm, "STEPS", 100)
     docs = table(spark, data, "documents").select("doc_id", "text").limit(80).unionByName(odd_documents(spark).select("doc_id", "text"))
-    docs = spark.createDataFrame(docs.collect(), "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, "s", "n", "r") for r in docs.collect()], "doc_id long, text string, score string, n_tokens string, row_id string")
     got = [tuple(r) for r in lm.score_documents(docs).collect()]
     rows = docs.collect()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
@@ -113,6 +114,78 @@ def test_attention_scores_sum_to_one_and_depend_on_the_past_alone():
     np.testing.assert_allclose(model.token_logs(sequences)[-70:], one, atol=1e-4)
 
 
+def brute_logs(model, sequence):
+    """The model's formula, one target after another."""
+    w, inputs, out = model.w, [model.begin, *sequence[:-1]], []
+    for t, target in enumerate(sequence):
+        first = max(0, t // lm.STRIDE * lm.STRIDE - (lm.WINDOW - lm.STRIDE))
+        x = w["e"][inputs[first : t + 1]].astype(float)
+        score = (x @ w["k"]) @ (x[-1] @ w["q"]) / math.sqrt(lm.WIDTH) + w["near"][np.arange(t - first, -1, -1)]
+        weight = np.exp(score - score.max())
+        h = np.concatenate([x[-1], weight @ (x @ w["v"]) / weight.sum()])
+        g = np.concatenate([np.maximum(h @ w["f"] + w["fb"], 0), x[-1]])
+        m, k = model.group[target], model.slot[target]
+        top, part = g @ w["o"] + w["ob"], g @ w["p"][m] + w["pb"][m]
+        out.append(top[m] - np.logaddexp.reduce(top) + part[k] - np.logaddexp.reduce(part) + model.within[target])
+    return np.array(out)
+
+
+def test_scores_equal_the_formula():
+    rng = np.random.default_rng(1)
+    sequences = [rng.integers(0, 60, n).astype(np.int32) for n in (1, 3, 16, 50)]
+    model = lm.Attention(rng.integers(0, 9, 61).astype(float), sequences)
+    model.train(sequences, steps=40)
+    expected = np.concatenate([brute_logs(model, s) for s in sequences])
+    np.testing.assert_allclose(model.token_logs(sequences), expected, atol=1e-3)
+    inputs, targets, _ = model.windows(sequences)
+    np.testing.assert_allclose(model._shifted(inputs, targets.ravel()), expected, atol=1e-3)
+
+
+def test_gradients():
+    rng = np.random.default_rng(2)
+    sequences = [rng.integers(0, 20, 40).astype(np.int32)]
+    model = lm.Attention(np.ones(21), sequences)
+    model.w = {k: x.astype(np.float64) for k, x in model.w.items()}
+    inputs, targets, _ = model.windows(sequences)
+    loss, grad = model.step(inputs, targets)
+    for name, place in (("q", (1, 2)), ("k", (3, 0)), ("v", (2, 2)), ("near", (1,)), ("f", (20, 5)), ("fb", (3,)), ("o", (4, 6)), ("ob", (2,)), ("p", (model.group[sequences[0][5]], 3, model.slot[sequences[0][5]])), ("e", (int(sequences[0][2]), 4))):
+        model.w[name][place] += 1e-4
+        more = model.step(inputs, targets)[0]
+        model.w[name][place] -= 1e-4
+        if name == "e":
+            used, de = grad["e"]
+            own = de[np.flatnonzero(used == place[0])[0], place[1]]
+        else:
+            own = grad[name][place]
+        assert abs((more - loss) / 1e-4 - own) < 2e-3, name
+
+
+def test_every_segment_is_drawn_at_one_rate():
+    draws = [len(lm.drawn_segments([b"x"] * n, key, 8)) for key in range(400) for n in (0, 63, 64, 640)]
+    assert abs(sum(draws) / (400 * 15) - lm.ROUNDS / 8) < 0.03
+    assert sorted(s for _, s in lm.drawn_segments([b"x"] * 700, 5, lm.ROUNDS)) == list(range(11))
+
+
+def test_training_windows_and_rounds(spark, monkeypatch):
+    """With every segment drawn, the targets are the ids of all training texts, and a round lowers the loss."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 150) % 300) for _ in range(40)] + ["", None]
+    train = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    path = bpe.default_vocabulary()
+    tokens = lm.SubwordTable(path)
+    tokens.add({w for t in texts for w in lm.words(t)})
+    sequences = [tokens.sequence(lm.words(t)) for t in texts]
+    model = lm.Attention(np.bincount(np.concatenate(sequences), minlength=tokens.size + 1).astype(float), sequences)
+    rows = lm.training_windows(train, model, path, lm.ROUNDS)
+    targets = np.concatenate([np.frombuffer(r.targets, "<i4") for r in rows.collect()])
+    assert np.array_equal(np.sort(targets[targets < model.pad]), np.sort(np.concatenate(sequences)))
+    before = model.token_logs(sequences).mean()
+    rows = spark.createDataFrame(rows.collect(), rows.schema).repartition(2)
+    for _ in range(3):
+        lm.average_round(rows.select("inputs", "targets"), model)
+    assert model.token_logs(sequences).mean() > before
+
+
 # ---- 3
 
 

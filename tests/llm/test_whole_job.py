@@ -14,7 +14,7 @@ def test_model_keeps_its_members():
     assert ((model.slot < lm.SLOTS - 1).sum(), lm.GROUPS, model.w["f"].shape[1]) == (3008, 64, 48)
 
 
-def test_rare_words_get_their_share(spark, monkeypatch):
+def test_rare_words_get_their_counts(spark, monkeypatch):
     """The bound of the broadcast table decides where a count is looked up, never a score."""
     rng = np.random.default_rng(0)
     texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 40) % 500) for _ in range(120)]
@@ -23,7 +23,7 @@ def test_rare_words_get_their_share(spark, monkeypatch):
     scores = []
     for common in (1 << 17, 5):
         monkeypatch.setattr(lm, "COMMON", common)
-        scores.append([r.score for r in lm.score_documents(docs).orderBy("doc_id").collect()])
+        scores.append([(r.base_score, r.n_known, r.score) for r in lm.score_documents(docs).orderBy("doc_id").collect()])
     np.testing.assert_allclose(scores[0], scores[1], atol=1e-6)
 
 
@@ -50,11 +50,10 @@ def test_largest_consistent_set():
         assert fits(got) and len(got) == most
 
 
-def test_sampled_texts_are_used_whole(monkeypatch):
+def test_start_uses_texts_whole(monkeypatch):
     seen = {}
-    monkeypatch.setattr(lm, "SAMPLE_IDS", 10)
+    monkeypatch.setattr(lm, "START_IDS", 10)
     monkeypatch.setattr(lm.Attention, "train", lambda self, sequences: seen.update(ids=sum(map(len, sequences))))
-    monkeypatch.setattr(lm.Attention, "fit_weight", lambda self, logs, share: seen.update(words=len(logs)))
     path = bpe.default_vocabulary()
-    lm.fit_model(["a " * 3000, "b " * 500, "c"], np.ones(lm.SubwordTable(path).size + 1), {b"a": 3000, b"b": 500}, 3, 3504, path)
-    assert seen == {"ids": 501, "words": 3001}
+    lm.start_model(["a " * 3000, "b " * 500, "c"], np.ones(lm.SubwordTable(path).size + 1), path)
+    assert seen == {"ids": 3001}
