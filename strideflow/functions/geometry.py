@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def to_z_up(p: Column) -> Column:
     return F.array(x, -z, y)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: list[Column], b: list[Column]) -> Column:
     return sum((x * y for x, y in zip(a[1:], b[1:], strict=True)), a[0] * b[0])
 
@@ -84,15 +91,18 @@ def from_matrix(m: Column) -> Column:
 
 def slerp(q0: Column, q1: Column, share: Column) -> Column:
     """Along the shorter arc; linear where the arc is tiny; of length 1 again."""
-    a, b = parts(q0, 4), parts(q1, 4)
-    d = dot(a, b)
-    sign = F.when(d < 0, -1.0).otherwise(1.0)
-    angle = F.acos(F.least(F.abs(d), F.lit(1.0)))
-    flat = F.sin(angle) < 1e-8
-    u = F.when(flat, 1 - share).otherwise(F.sin((1 - share) * angle) / F.sin(angle))
-    v = F.when(flat, share).otherwise(F.sin(share * angle) / F.sin(angle)) * sign
-    mixed = F.array(*[x * u + y * v for x, y in zip(a, b, strict=True)])
-    return normalize(mixed)
+
+    def shares(ends: Column) -> Column:
+        """The weight of each end."""
+        angle, sign = F.acos(F.least(F.abs(ends["d"]), F.lit(1.0))), F.when(ends["d"] < 0, -1.0).otherwise(1.0)
+        flat = F.sin(angle) < 1e-8
+        u = F.when(flat, 1 - share).otherwise(F.sin((1 - share) * angle) / F.sin(angle))
+        v = F.when(flat, share).otherwise(F.sin(share * angle) / F.sin(angle)) * sign
+        return F.struct(ends["a"].alias("a"), ends["b"].alias("b"), u.alias("u"), v.alias("v"))
+
+    ends = let(F.struct(F.array(*parts(q0, 4)).alias("a"), F.array(*parts(q1, 4)).alias("b")), lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), dot(parts(e["a"], 4), parts(e["b"], 4)).alias("d")))
+    mixed = let(let(ends, shares), lambda s: F.zip_with(s["a"], s["b"], lambda x, y: x * s["u"] + y * s["v"]))
+    return let(mixed, lambda m: normalize(m))
 
 
 def matrix_to_6d(m: Column) -> Column:

@@ -11,13 +11,24 @@ def compact(s: Column) -> Column:
     return F.regexp_replace(F.lower(s), "[^a-z0-9]", "")
 
 
-def canonical_motion_key(path: Column, prefix: str = "pose_data/", suffix: str = "_poses") -> tuple[Column, Column]:
-    """(folder, name) of a motion file's path: slashes forward, prefix and suffix dropped once, name compacted."""
-    p = F.regexp_replace(F.regexp_replace(F.trim(path), r"\\", "/"), r"^(\./)+", "")
+def _folder(path: Column) -> Column:
+    """The folders above a path's last part, each compacted."""
+    return F.regexp_replace(F.lower(F.regexp_replace(path, "/?[^/]*$", "")), "[^a-z0-9/]", "")
+
+
+def canonical_motion_key(path: Column, prefix: str = "pose_data/") -> tuple[Column, Column]:
+    """(folder, name) of a motion file's path: slashes forward, a leading "./" and the prefix dropped once, every part compacted."""
+    p = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^\./", "")
     p = F.regexp_replace(p, f"^{prefix}", "")
-    stem = F.regexp_replace(F.regexp_extract(p, r"([^/]*)$", 1), r"\.[^.]*$", "")
-    stem = F.regexp_replace(stem, f"{suffix}$", "")
-    return F.lower(F.regexp_replace(p, r"/?[^/]*$", "")), compact(stem)
+    return _folder(p), compact(F.regexp_replace(F.regexp_extract(p, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", ""))
+
+
+def track_key(path: Column) -> tuple[Column, Column, Column]:
+    """(folder, name, fps) of a track file's path below its root, `<name>_<fps>_jpos.<ext>`; all null for other names."""
+    stem = F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    named = stem.rlike("^.+_[0-9]+_jpos$")
+    own = "^(.+)_([0-9]+)_jpos$"
+    return F.when(named, _folder(path)), F.when(named, compact(F.regexp_extract(stem, own, 1))), F.when(named, F.regexp_extract(stem, own, 2).cast("int"))
 
 
 def person_key(name: Column) -> tuple[Column, Column]:

@@ -50,16 +50,23 @@ def centres(vectors: DataFrame, vector: str, code: str) -> DataFrame:
     return means.groupBy(code).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda r: r["m"]).alias("centre"))
 
 
-def ema_update(codebook: DataFrame, assigned: DataFrame, vector: str, decay: float = 0.99) -> DataFrame:
-    """(code, mass, sums, centre): decayed counts and vector sums of a step. codebook: code, mass, sums. Codes whose mass falls below 1 are dead."""
+def ema_update(codebook: DataFrame, assigned: DataFrame, vector: str, order: str, decay: float = 0.99) -> DataFrame:
+    """(code, mass, sums, centre, dead): decayed counts and vector sums of a step. codebook: code from 0, mass, sums.
+
+    A code whose mass falls below 1 is dead: it starts again at mass 1 from the step's vector that stands at its number in the order of a column,
+    counted round when there are fewer vectors than codes.
+    """
     tall = assigned.select(F.col("token_id").alias("code"), F.posexplode(vector).alias("dim", "x"))
     step = tall.groupBy("code", "dim").agg(F.count("x").alias("n"), F.sum(F.col("x").cast("double")).alias("s"))
     step = step.groupBy("code").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("dim", "s"))), lambda r: r["s"]).alias("s"))
     joined = codebook.join(step, "code", "left")
     mass = decay * F.col("mass") + (1 - decay) * F.coalesce("n", F.lit(0))
     sums = F.when(F.col("s").isNull(), F.transform("sums", lambda x: decay * x)).otherwise(F.zip_with("sums", "s", lambda a, b: decay * a + (1 - decay) * b))
-    out = joined.select("code", mass.alias("mass"), sums.alias("sums"))
-    return out.withColumns({"centre": F.transform("sums", lambda x: x / F.greatest(F.col("mass"), F.lit(1e-5))), "dead": F.col("mass") < 1})
+    size = (codebook.agg(F.max("code").alias("m")).first().m or 0) + 1  # fixed by the model
+    seeds = seed_codes(assigned, vector, order, size).select("code", F.transform("centre", lambda x: x.cast("double")).alias("seed"))
+    out = joined.select("code", mass.alias("mass"), sums.alias("sums")).join(F.broadcast(seeds), "code", "left").withColumn("dead", (F.col("mass") < 1) & F.col("seed").isNotNull())
+    out = out.select("code", F.when(F.col("dead"), 1.0).otherwise(F.col("mass")).alias("mass"), F.when(F.col("dead"), F.col("seed")).otherwise(F.col("sums")).alias("sums"), "dead")
+    return out.withColumn("centre", F.transform("sums", lambda x: x / F.greatest(F.col("mass"), F.lit(1e-5))))
 
 
 def seed_codes(vectors: DataFrame, vector: str, order: str, size: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideflow.constants import SHARD_FRAMES
+from strideflow.operators.ordering import running_total
 
 
 def pack_shards(sequences: DataFrame, split: str, order: str, length: str, cap: int = SHARD_FRAMES) -> DataFrame:
@@ -70,9 +71,7 @@ def checksum_differences(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 def token_offsets(lengths: DataFrame, order: str, tokens: str = "tokens") -> DataFrame:
     """Adds offset_start and offset_end, the running sums of tokens in order."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(tokens).over(w)
-    return lengths.withColumns({"offset_start": end - F.col(tokens), "offset_end": end})
+    return running_total(lengths, order, F.col(tokens), "offset_end").withColumn("offset_start", F.col("offset_end") - F.col(tokens))
 
 
 def statistics_tokens(frames: str, frames_per_token: int = 4):
@@ -97,4 +96,4 @@ def student_examples(tokens: DataFrame, sample: str, k: str, human: str, robot:
 
 def batches(windows: DataFrame, order: str, size: int) -> DataFrame:
     """Adds batch: consecutive windows, `size` to each."""
-    return windows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
+    return running_total(windows, order, F.lit(1), "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("long"))

@@ -22,18 +22,19 @@ def grid(extents: DataFrame, fps: float, first: str = "first_s", last: str = "la
 def resample_linear(points: DataFrame, targets: DataFrame, sample: str, time: str = "s", value: str = "value", at: str = "at") -> DataFrame:
     """(sample, at, value): linear interpolation at each target.
 
-    As-of brackets without a range join: sources and targets are put in one order per sample, and the nearest source on either
-    side is carried along by last() and first() over the same sort.
+    As-of brackets without a range join: each source takes the next one along, sources and targets are put in one order per sample, and
+    one last() carries the bracket to the targets, in time linear in the points.
     """
-    marked = points.select(sample, F.col(time).alias("x"), F.lit(0).alias("is_target"), F.struct(F.col(time).alias("s"), F.col(value).cast("double").alias("v")).alias("p"))
-    wanted = targets.select(sample, F.col(at).alias("x"), F.lit(1).alias("is_target"), F.lit(None).cast("struct<s:double,v:double>").alias("p"))
-    w = Window.partitionBy(sample).orderBy("x", "is_target")
-    left = F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = marked.unionByName(wanted).withColumn("l", left).withColumn("r", right).where("is_target = 1")
-    share = (F.col("x") - F.col("l.s")) / (F.col("r.s") - F.col("l.s"))
-    inside = F.col("l.v") + (F.col("r.v") - F.col("l.v")) * share
-    return both.select(sample, F.col("x").alias(at), F.when(F.col("r").isNull() | (F.col("x") == F.col("l.s")), F.col("l.v")).otherwise(inside).alias(value))
+    w = Window.partitionBy(sample).orderBy(time)
+    number = F.col(value).cast("double")
+    bracket = F.struct(F.col(time).alias("s"), number.alias("v"), F.lead(time).over(w).alias("next_s"), F.lead(number).over(w).alias("next_v"))
+    marked = points.select(sample, F.col(time).alias("x"), F.lit(0).alias("is_target"), bracket.alias("p"))
+    wanted = targets.select(sample, F.col(at).alias("x"), F.lit(1).alias("is_target"), F.lit(None).cast(marked.schema["p"].dataType).alias("p"))
+    before = Window.partitionBy(sample).orderBy("x", "is_target").rowsBetween(Window.unboundedPreceding, 0)
+    both = marked.unionByName(wanted).withColumn("b", F.last("p", ignorenulls=True).over(before)).where("is_target = 1")
+    share = (F.col("x") - F.col("b.s")) / (F.col("b.next_s") - F.col("b.s"))
+    inside = F.col("b.v") + (F.col("b.next_v") - F.col("b.v")) * share
+    return both.select(sample, F.col("x").alias(at), F.when(F.col("b.next_s").isNull() | (F.col("x") == F.col("b.s")), F.col("b.v")).otherwise(inside).alias(value))
 
 
 def duration_tolerance(fps_a: Column, fps_b: Column) -> Column:

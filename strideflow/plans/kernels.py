@@ -79,7 +79,7 @@ def conv_encode(spark, d):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf["value"].to_numpy() / 50
-        v = v[: len(v) // 4 * 4]
+        v = np.pad(v, (0, -len(v) % 4), "edge") if len(v) else v  # the last frame is repeated: a partial group has a token
         x = np.stack([v, np.diff(v, prepend=v[:1])], 1)
         ids = K.nearest_codes(K.conv_encode(x, weights), codes) if len(v) else []
         return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "k": range(len(ids)), "token_id": ids})

@@ -80,9 +80,9 @@ def pair_left_anti(spark, d):
     return joins.unmatched(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id"), ["doc_id"])[0]
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def pair_right_anti(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    orders = table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return joins.unmatched(orders, table(spark, d, "customer").select("c_custkey"), ["c_custkey"])[1]
 
 
@@ -235,15 +235,18 @@ def vq_assign(spark, d):
 
 
 @query(f"""WITH {_ASSIGNED}, t AS (SELECT code, k, count(*) AS n, sum(x) AS s FROM a JOIN x USING (vec_id) GROUP BY 1, 2)
-    SELECT c.label::BIGINT AS code, round(any_value(0.9 * c.n + 0.1 * coalesce(t.n, 0))::DOUBLE, 5) AS mass, round(sum(0.9 * c.s + 0.1 * coalesce(t.s, 0)), 5) AS sums,
-        round(sum((0.9 * c.s + 0.1 * coalesce(t.s, 0)) / (0.9 * c.n + 0.1 * coalesce(t.n, 0))), 5) AS centre FROM c LEFT JOIN t ON t.code = c.label AND t.k = c.k GROUP BY 1""")
+    , o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS vectors FROM embeddings), f AS (SELECT r, vectors, k, x FROM o JOIN x USING (vec_id)),
+    m AS (SELECT c.label, c.k, 0.99::DOUBLE * c.n / (1 + c.label ** 3) + 0.01::DOUBLE * coalesce(t.n, 0) AS mass, 0.99::DOUBLE * c.s / (1 + c.label ** 3) + 0.01::DOUBLE * coalesce(t.s, 0) AS s FROM c LEFT JOIN t ON t.code = c.label AND t.k = c.k),
+    d AS (SELECT label, mass < 1 AS dead, CASE WHEN mass < 1 THEN 1 ELSE mass END AS mass, CASE WHEN mass < 1 THEN x ELSE s END AS s FROM m JOIN f ON f.k = m.k AND f.r = m.label % f.vectors)
+    SELECT label::BIGINT AS code, any_value(dead) AS dead, round(any_value(mass)::DOUBLE, 5) AS mass, round(sum(s), 5) AS sums, round(sum(s / mass), 5) AS centre FROM d GROUP BY 1""")
 def ema_codebook_step(spark, d):
     e = table(spark, d, "embeddings")
     c = codebook.centres(e, "embedding", "label").withColumnRenamed("label", "code").withColumn("code", F.col("code").cast("long"))
     a = codebook.assign(e, "embedding", c)
-    book = c.select("code", F.col("n").cast("double").alias("mass"), F.transform("centre", lambda x: x * F.col("n")).alias("sums"))
+    worn = 1 + F.pow("code", F.lit(3.0))  # some codes are about to die
+    book = c.select("code", (F.col("n") / worn).alias("mass"), F.transform("centre", lambda x: x * F.col("n") / worn).alias("sums"))
     total = lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), 5)
-    return codebook.ema_update(book, a, "embedding", 0.9).select("code", F.round("mass", 5).alias("mass"), total("sums").alias("sums"), total("centre").alias("centre"))
+    return codebook.ema_update(book, a, "embedding", "vec_id", 0.99).select("code", "dead", F.round("mass", 5).alias("mass"), total("sums").alias("sums"), total("centre").alias("centre"))
 
 
 _TURNS = "t AS (SELECT conv_id, turn, length(text) % 256 AS h, (length(text) * 7) % 256 AS g FROM conversations)"
@@ -286,16 +289,16 @@ def epoch_rank_stride(spark, d):
     return splits.epoch_slice(table(spark, d, "documents").select("doc_id"), "doc_id", 11, 3, 1, 4).select("doc_id", "place")
 
 
-@query("""WITH u AS (SELECT page_id, 'url' AS source_field, url AS text FROM pages UNION ALL SELECT page_id, 'head', substr(html, 1, 15) FROM pages UNION ALL SELECT page_id, 'blank', '  ' FROM pages)
+@query("""WITH u AS (SELECT page_id, 'url' AS source_field, url AS text FROM pages UNION ALL SELECT page_id, 'html', html FROM pages UNION ALL SELECT page_id, 'blank', '  ' FROM pages)
     SELECT page_id, source_field, trim(text) AS text FROM u WHERE length(trim(text)) > 0""")
 def caption_unpivot(spark, d):
-    p = table(spark, d, "pages").select("page_id", "url", F.substring("html", 1, 15).alias("head"), F.lit("  ").alias("blank"))
-    return keys.unpivot_captions(p, "page_id", ["url", "head", "blank"])
+    p = table(spark, d, "pages").select("page_id", "url", "html", F.lit("  ").alias("blank"))
+    return keys.unpivot_captions(p, "page_id", ["url", "html", "blank"])
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', './pose_data/'), '[?#].*$', '') || '_poses.npy' AS path FROM pages),
-    q AS (SELECT page_id, regexp_replace(regexp_replace(path, '^(\./)+', ''), '^pose_data/', '') AS p FROM p)
-    SELECT page_id, lower(regexp_replace(p, '/?[^/]*$', '')) AS folder, regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\.[^.]*$', ''), '_poses$', '')), '[^a-z0-9]', '', 'g') AS name FROM q""")
+    q AS (SELECT page_id, regexp_replace(regexp_replace(path, '^\./', ''), '^pose_data/', '') AS p FROM p)
+    SELECT page_id, regexp_replace(lower(regexp_replace(p, '/?[^/]*$', '')), '[^a-z0-9/]', '', 'g') AS folder, regexp_replace(lower(regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\.npy$', '')), '[^a-z0-9]', '', 'g') AS name FROM q""")
 def key_canonicalise(spark, d):
     path = F.concat(F.regexp_replace(F.regexp_replace("url", "^https?://", "./pose_data/"), "[?#].*$", ""), F.lit("_poses.npy"))
     folder, name = keys.canonical_motion_key(path)

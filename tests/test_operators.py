@@ -45,10 +45,11 @@ def test_clip_bounds(spark):
 
 
 def test_keys(spark):
-    folder, name = keys.canonical_motion_key(F.lit("./pose_data/KIT/3/jump_left02_poses.npy"))
+    folder, name = keys.canonical_motion_key(F.lit("./pose_data/KIT_x/3/jump_left02_poses.npy"))
+    track = keys.track_key(F.lit("KIT_x/3/jump_left02_poses_120_jpos.npy"))
     base, person = keys.person_key(F.lit("clip_P3_P12"))
-    r = spark.range(1).select(folder.alias("f"), name.alias("n"), base.alias("b"), person.alias("p")).first()
-    assert tuple(r) == ("kit/3", "jumpleft02", "clip_P3", "12")
+    r = spark.range(1).select(folder.alias("f"), name.alias("n"), base.alias("b"), person.alias("p"), *track).first()
+    assert tuple(r) == ("kitx/3", "jumpleft02poses", "clip_P3", "12", "kitx/3", "jumpleft02poses", 120)
 
 
 def test_group_splits(spark):
@@ -154,7 +155,7 @@ def raw_pair(frames=12, **changes):
     from test_kernels import walk
 
     t = np.arange(frames)
-    joints = walk(frames) * 0.28
+    joints = walk(frames)[..., [0, 2, 1]] * (0.28, -0.28, 0.28)  # z up
     root = np.stack([0.01 * t, 0 * t, np.full(frames, 0.8)], 1)
     row = {"sample_id": "a", "human": joints.ravel().tolist(), "human_fps": 20.0, "root": root.ravel().tolist(), "rotation": np.tile([0.0, 0, 0, 1], (frames, 1)).ravel().tolist(), "dof": np.outer(0.01 * t, np.ones(29)).ravel().tolist(), "robot_fps": 20.0}
     return row | changes
@@ -174,10 +175,19 @@ def test_prepared_pairs_and_their_reasons(spark):
     nan["root"] = [float("nan"), *nan["root"][1:]]
     tall = raw_pair(sample_id="tall")
     tall["human"] = [9 * x for x in tall["human"]]
-    schema = "sample_id string, human array<double>, human_fps double, root array<double>, rotation array<double>, dof array<double>, robot_fps double"
-    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in [*rows, nan, tall]], schema)
+    ankles = np.stack([np.asarray(raw_pair()["root"]).reshape(-1, 3) - [0, y, 0.8] for y in (-0.1, 0.1)], 1)
+    tracked = raw_pair(sample_id="tracked", bodies=ankles.ravel().tolist(), body_names=["right_ankle_roll_link", "left_ankle_roll_link"])
+    odd = [raw_pair(sample_id="no ankles", bodies=ankles.ravel().tolist(), body_names=["a", "b"]), raw_pair(sample_id="cut", dof=[0.0] * 30), raw_pair(sample_id="flat", human=[0.0] * 65), raw_pair(sample_id="short", dof=[0.0] * 29 * 11)]
+    schema = "sample_id string, human array<double>, human_fps double, root array<double>, rotation array<double>, dof array<double>, robot_fps double, bodies array<double>, body_names array<string>"
+    df = spark.createDataFrame([tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in [*rows, nan, tall, tracked, *odd]], schema)
     got = {r.sample_id: r for r in prepare.prepare_pairs(df, [(-3.0, 3.0)] * 29, feet).collect()}
-    assert {k: r.reason for k, r in got.items()} == {"a": None, "jump": "g1_dof_speed", "bent": "g1_dof_limit", "late": "timeline_mismatch", "norm": "g1_quaternion_norm", "nan": "source_nonfinite", "tall": "human_height"}
+    assert {k: r.reason for k, r in got.items()} == {"a": None, "jump": "g1_dof_speed", "bent": "g1_dof_limit", "late": "timeline_mismatch", "norm": "g1_quaternion_norm", "nan": "source_nonfinite", "tall": "human_height", "tracked": None, "no ankles": "g1_body_order", "cut": "g1_dof_shape_or_finite", "flat": "source_shape", "short": "source_shape"}
+    assert got["tracked"].robot_features == got["a"].robot_features and len(got["a"].origin) == 3 and len(got["a"].basis) == 9
+    from strideflow.functions import kernels as K
+    from test_kernels import walk
+
+    direct = K.human_features(K.place_human((walk(12) * 0.28).astype(np.float32))[0])  # the y-up joints that the z-up input stands for
+    np.testing.assert_allclose(np.reshape(got["a"].human_features, direct.shape), direct, atol=1e-4)
     assert got["a"].frames == 12 and len(got["a"].human_features) == 12 * 262 and len(got["a"].robot_features) == 12 * 75 and set(got["a"].quality) == set(prepare.QUALITY)
 
 
@@ -187,3 +197,24 @@ def test_signatures_ignore_place():
     from strideflow.operators import prepare
 
     assert prepare.motion_signature(walk(5)) == prepare.motion_signature(walk(5) + 0.25) != prepare.motion_signature(walk(5) * 1.1)
+
+
+def test_dead_codes_start_again(spark):
+    book = spark.createDataFrame([(0, 5.0, [5.0, 0.0]), (1, 0.1, [1.0, 1.0]), (2, 0.2, [2.0, 2.0])], "code long, mass double, sums array<double>")
+    vectors = spark.createDataFrame([(1, 0, [3.0, 4.0]), (2, 0, [7.0, 8.0])], "id long, token_id long, v array<double>")
+    got = {r.code: r for r in codebook.ema_update(book, vectors, "v", "id", 0.5).collect()}
+    assert not got[0].dead and (got[0].mass, got[0].sums) == (3.5, [7.5, 6.0])
+    assert [(got[c].dead, got[c].mass, got[c].centre) for c in (1, 2)] == [(True, 1.0, [7.0, 8.0]), (True, 1.0, [3.0, 4.0])]
+
+
+def test_running_totals_over_ranges(spark):
+    from strideflow.operators import corpus
+
+    df = spark.createDataFrame([(k * 7919 % 1000, k % 5) for k in range(1000)], "id long, tokens long").repartition(5)
+    rows = sorted(tuple(r) for r in corpus.token_offsets(df, "id").select("id", "tokens", "offset_start", "offset_end").collect())
+    end = 0
+    for _, n, start, stop in rows:
+        assert (start, stop) == (end, end + n)
+        end = stop
+    assert sorted(r.batch for r in corpus.batches(df, "id", 300).collect()) == sorted(k // 300 for k in range(1000))
+    assert corpus.token_offsets(df.limit(0), "id").collect() == []
