@@ -1,20 +1,25 @@
 """BPE encoding and decoding by a distinct-word table.
 
-Texts are split into words on the executors, each distinct word is encoded once per worker, and the ids are joined back
-by position: a lookup table from word to ids stands in for the join, so nothing is shuffled and no key can be hot. The
-table is bounded (`MAX_WORDS`); a full one is dropped and rebuilt, which costs time and changes no result. Decoding looks
-each id up in the id-to-piece table, which has as many rows as the vocabulary.
-
-A word is a space and what follows up to the next space (the first word of a text has no space). The tokenizer's own
-pre-tokenisation never joins characters across such a cut, unless a space stands inside a longer run of white space or
-the text holds the string of a special token; such texts are encoded whole by the library.
+1. Split: every text is cut in words on the executors. A chunk (texts of about `CHUNK_CHARS` characters of one task) numbers its distinct words;
+   the chunk's dictionary is one row for each distinct word, and a text is the list of its words' numbers. Both are written once to the shared folder.
+2. The distinct words of all dictionaries are one table, and each of its words is encoded once.
+3. The dictionaries are joined with that table by word. A word stands once in a chunk, so no key has more rows than there are chunks.
+4. Ids are joined back by position: the dictionary's ids and the texts of a chunk meet in one task, in order, and each number is replaced
+   by its word's ids. A chunk is bounded (a longer text is a chunk alone), so no group grows with the input.
+5. Decoding joins ids with the id-to-piece table. It has one row for each id from 0 on, as many as the vocabulary, so the join is a
+   lookup in a broadcast array.
+
+A word is what lies between two cuts; a cut is before a space. The tokenizer's own pre-tokenisation never joins characters across such
+a cut, unless a space stands inside a longer run of white space: texts with such a run are cut only where one space parts two characters
+that are no white space. The string of a special token is a word by itself.
 
 Distinct words are encoded many at a time, joined by their spaces. Where the vocabulary file is a byte-level BPE whose ids are in
 the order of its merges, the merging runs in tiktoken, which reads that file's vocabulary as ranks and gives the same ids several
-times faster; any other file, and words that are long or hold white space, go through the tokenizers library word by word.
+times faster; any other file, and words that are long or hold further white space, go through the tokenizers library word by word.
+`WordTable.encode` encodes a few texts at once in one process, for callers that want no shuffle.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows, null doc_id and further columns of any name
-are allowed: there is one output row per input row, and only doc_id and text are read.
+are allowed: there is one output row per input row, and only doc_id and text are read. Very long texts and words are handled whole.
 """
 
 from __future__ import annotations
@@ -22,17 +27,20 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideflow.llm.storage import materialise, shuffle_partitions
+
 MAX_WORDS = 250_000
 BATCH_CHARS = 2_000_000
 JOINED_WORDS = 20_000
 LONG_WORD = 1000
+CHUNK_CHARS = 8_000_000
 #: White space, a space inside the run or before the end of the text: there the cut before the space could part what is one token.
 _INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 
@@ -44,6 +52,25 @@ def default_vocabulary() -> str:
 
 
 _SPACE = re.compile(r"\s")
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+
+
+def cut(text: str, special: re.Pattern | None) -> list[str]:
+    """Words of a text, which give the text again when joined; each is encoded by itself."""
+    if special is not None and special.search(text):
+        parts = special.split(text)  # every second one is a special token
+        return [w for k, part in enumerate(parts) if part for w in ([part] if k % 2 else cut(part, None))]
+    if "\0" in text or _INSIDE_RUN.search(text):
+        return _CUT.split(text)
+    return [w for w in text.replace(" ", "\0 ").split("\0") if w]
+
+
+class Index(dict):
+    """Numbers of words in the order of their first use."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 def _ranks(path: str):
@@ -63,6 +90,10 @@ def _ranks(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain, special_tokens={})
 
 
+def special_pattern(special: list[str]) -> re.Pattern | None:
+    return re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
+
 class WordTable:
     """Ids of each distinct word, as little-endian unsigned 32-bit integers."""
 
@@ -74,6 +105,7 @@ class WordTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special_pattern = special_pattern(self.special)
         self.table: dict[str, bytes] = {}
         self.ranks = _ranks(path)
         self.leads = np.array([p[:1] == b" " for p in pieces(path)])  # ids that begin with a space begin a word
@@ -96,28 +128,29 @@ class WordTable:
         out.update(zip(rest, self._encode([" " + w for w in rest]), strict=True))
         return out
 
+    def encode_pieces(self, distinct: list[str]) -> list[bytes]:
+        """Ids of each word of cut()."""
+        plain = self.encode_words([w[1:] for w in distinct if w[:1] == " "])
+        others = [w for w in distinct if w[:1] != " "]
+        found = dict(zip(others, self._encode(others), strict=True))
+        return [plain[w[1:]] if w[:1] == " " else found[w] for w in distinct]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; the table keeps the ids of " " + word."""
         out: list[bytes] = [b""] * len(texts)
         split: dict[int, list[str]] = {}
-        whole, first = [], []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            if _INSIDE_RUN.search(text) or any(s in text for s in self.special):
-                whole.append(i)
-            else:
+            if text and (_INSIDE_RUN.search(text) or any(s in text for s in self.special)):
+                out[i] = b"".join(self.encode_pieces(cut(text, self.special_pattern)))
+            elif text:
                 split[i] = text.split(" ")
-                first.append(i)
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0]
         distinct = set().union(*(w[1:] for w in split.values())) if split else set()
         if len(self.table) + len(distinct - self.table.keys()) > MAX_WORDS:
             self.table = {}
-        new = list(distinct - self.table.keys())
-        self.table.update(self.encode_words(new))
+        self.table.update(self.encode_words(list(distinct - self.table.keys())))
         get = self.table.__getitem__
-        for i, start in zip(first, self._encode([split[i][0] for i in first]), strict=True):
-            out[i] = start + b"".join(map(get, split[i][1:]))
+        for (i, words), start in zip(split.items(), self._encode([w[0] for w in split.values()]), strict=True):
+            out[i] = start + b"".join(map(get, words[1:]))
         return out
 
 
@@ -159,39 +192,130 @@ def bounded_slices(column: pa.Array, chars: int = BATCH_CHARS) -> Iterator[tuple
         yield at, rows
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids): ids is binary, little-endian unsigned 32-bit integers in the order of the text."""
-    path = path or default_vocabulary()
+SPLIT = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("word", pa.string()), ("doc_id", pa.int64()), ("places", pa.binary())])
+
+
+def split_texts(docs: DataFrame, special: list[str], chars: int = CHUNK_CHARS) -> DataFrame:
+    """Rows of two kinds: (chunk, at, word), the dictionary of each chunk, and (chunk, at, doc_id, places), the words of each text by their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pattern = special_pattern(special)
+        chunk, index, size, row = TaskContext.get().partitionId() << 24, Index(), 0, 0
+
+        def dictionary() -> pa.RecordBatch:
+            n = len(index)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(n)), pa.array(list(index), pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=SPLIT)
+
+        for batch in batches:
+            for at, texts in bounded_slices(batch.column(1), chars // 4):
+                places = [np.fromiter(map(index.__getitem__, cut(t, pattern) if t else ()), "<u4").tobytes() for t in texts]
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(row, row + n)), pa.nulls(n, pa.string()), batch.column(0).slice(at, n).cast(pa.int64()), pa.array(places, pa.binary())], schema=SPLIT)
+                size, row = size + sum(map(len, filter(None, texts))), row + n
+                if size >= chars:
+                    yield dictionary()
+                    chunk, index, size, row = chunk + 1, Index(), 0, 0
+        if row:
+            yield dictionary()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "chunk long, at long, word string, doc_id long, places binary")
+
+
+def encode_distinct(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids) of a table of distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(path)
         for batch in batches:
-            for at, texts in bounded_slices(batch.column(1)):
-                ids = pa.array(table.encode(texts), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)).cast(pa.int64()), ids], ["doc_id", "ids"])
+            for at, part in bounded_slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(table.encode_pieces(part), pa.binary())], ["word", "ids"])
+
+    return words.mapInArrow(run, "word string, ids binary")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
+def by_position(split: DataFrame, encoded: DataFrame, finish: Callable[[list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
+    """(doc_id, …): finish() makes columns of the ids of many texts. split: as of split_texts; encoded: (word, ids)."""
+    numbered = split.where("word IS NOT NULL").join(encoded, "word").select("chunk", F.lit(0).alias("kind"), "at", F.lit(None).cast("long").alias("doc_id"), "ids")
+    texts = split.where("word IS NULL").select("chunk", F.lit(1).alias("kind"), "at", "doc_id", F.col("places").alias("ids"))
+    together = numbered.unionByName(texts).repartition(shuffle_partitions(split.sparkSession), "chunk").sortWithinPartitions("chunk", "kind", "at")
+    names = [c.split()[0] for c in schema.split(", ")]
 
-def decode_ids(ids: bytes | None, of) -> str:
-    """The text of ids; of: the piece of an id. Bytes that are no UTF-8 become U+FFFD."""
-    return b"".join(map(of, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts, flat, first = None, [], None, None
+        for batch in batches:
+            chunks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero((np.diff(chunks, prepend=chunks[:1] - 1) != 0) | (np.diff(kinds, prepend=kinds[:1] - 1) != 0)).tolist() + [len(chunks)]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if chunks[s] != last:
+                    last, parts, flat = chunks[s], [], None
+                if kinds[s] == 0:
+                    parts += batch.column(4)[s:e].to_pylist()
+                    continue
+                if flat is None:
+                    flat = np.frombuffer(b"".join(parts), "<u4")
+                    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)])
+                    parts = []
+                for low in range(s, e, 256):
+                    high, out = min(low + 256, e), []
+                    for places in batch.column(4)[low:high]:
+                        at = np.frombuffer(places.as_buffer(), "<u4")
+                        length = first[at + 1] - first[at]
+                        stop = np.cumsum(length)
+                        out.append(flat[np.repeat(first[at] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)])
+                    yield pa.RecordBatch.from_arrays([batch.column(3)[low:high], *finish(out)], names)
+
+    return together.mapInArrow(run, schema)
+
+
+def _word_ids(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The split texts and the ids of each distinct word, both written to the shared folder."""
+    split = materialise(split_texts(docs, WordTable(path).special), "split-texts")
+    return split, materialise(encode_distinct(split.where("word IS NOT NULL").select("word").distinct(), path), "word-ids")
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, ids): ids is binary, little-endian unsigned 32-bit integers in the order of the text."""
+    split, encoded = _word_ids(docs, path or default_vocabulary())
+    return by_position(split, encoded, lambda ids: [pa.array([i.tobytes() for i in ids], pa.binary())], "doc_id long, ids binary")
+
+
+class Pieces:
+    """The id-to-piece table, indexed by id."""
+
+    def __init__(self, path: str):
+        found = pieces(path)
+        self.flat = np.frombuffer(b"".join(found), np.uint8)
+        self.length = np.array([len(p) for p in found], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+
+    def text(self, ids: np.ndarray) -> str:
+        """The text of ids. Bytes that are no UTF-8 become U+FFFD; an id outside the vocabulary raises."""
+        length = self.length[ids]
+        stop = np.cumsum(length)
+        return self.flat[np.repeat(self.first[ids] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)].tobytes().decode("utf-8", "replace")
+
+
+_pieces: dict[str, Pieces] = {}
+
+
+def piece_table(path: str) -> Pieces:
+    """One table per worker process."""
+    if path not in _pieces:
+        _pieces[path] = Pieces(path)
+    return _pieces[path]
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, text): encode and decode after one another in one worker, so a task needs one Python process."""
+    """(doc_id, ids, text): the ids, and the text decoded from them."""
     path = path or default_vocabulary()
+    split, encoded = _word_ids(docs, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(path)
-        of = pieces(path).__getitem__
-        for batch in batches:
-            for at, texts in bounded_slices(batch.column(1)):
-                ids = table.encode(texts)
-                decoded = pa.array([decode_ids(i, of) for i in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.binary()), decoded], ["doc_id", "ids", "text"])
+    def finish(ids: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(list(map(piece_table(path).text, ids)), pa.string())]
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, text string")
+    return by_position(split, encoded, finish, "doc_id long, ids binary, text string")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -199,10 +323,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = pieces(path).__getitem__
+        of = piece_table(path).text
         for batch in batches:
             for at, rows in bounded_slices(batch.column(1), 4 * BATCH_CHARS):
-                texts = [decode_ids(ids, of) for ids in rows]
+                texts = [of(np.frombuffer(ids or b"", "<u4")) for ids in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), batch.column(1).slice(at, len(rows)), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

@@ -160,7 +160,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in (row for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
-                ends = EliasFano(b["ends"]).values()
+                offsets = EliasFano(b["ends"])
+                ends = np.fromiter(map(offsets.select, range(offsets.n)), np.int64, offsets.n)
                 starts = np.concatenate([[0], ends[:-1]])
                 doc_ids = [None] * b["n_null"] + (EliasFano(b["doc_ids"]).values() + b["base_doc_id"]).tolist()
                 ids = np.frombuffer(b["ids"], f"<u{b['id_bytes']}").astype("<u4")
