@@ -35,7 +35,7 @@ MAX_LANGS = 256
 MAX_PIECE = 8  # bytes: a piece is packed in one 64-bit key
 ROUNDS = 4
 SMOOTHING = 0.05
-MAX_WORDS = 400_000  # distinct words whose scores a worker keeps
+MAX_WORDS = 200_000  # distinct words whose scores a worker keeps
 BLOCK = 20_000
 LONGEST = 40  # bytes of a word that goes through the blocks; a longer one goes through the scalar loop
 MIN_SCORE = 0.5

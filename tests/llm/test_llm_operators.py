@@ -177,7 +177,7 @@ def test_training_windows_and_rounds(spark, monkeypatch):
     sequences = [tokens.sequence(lm.words(t)) for t in texts]
     model = lm.Attention(np.bincount(np.concatenate(sequences), minlength=tokens.size + 1).astype(float), sequences)
     rows = lm.training_windows(train, model, path, lm.ROUNDS)
-    targets = np.concatenate([np.frombuffer(r.targets, "<i4") for r in rows.collect()])
+    targets = np.concatenate([np.frombuffer(r.targets, model.kind) for r in rows.collect()])
     assert np.array_equal(np.sort(targets[targets < model.pad]), np.sort(np.concatenate(sequences)))
     before = model.token_logs(sequences).mean()
     rows = spark.createDataFrame(rows.collect(), rows.schema).repartition(2)
