@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.llm.storage import materialise, shuffle_partitions
+from strideflow.llm.storage import materialise, shuffle_partitions, tidy
 
 MAX_WORDS = 250_000
 BATCH_CHARS = 2_000_000
@@ -220,7 +220,7 @@ def split_texts(docs: DataFrame, special: list[str], chars: int = CHUNK_CHARS) -
         if row:
             yield dictionary()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "chunk long, at long, word string, doc_id long, places binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "chunk long, at long, word string, doc_id long, places binary")
 
 
 def encode_distinct(words: DataFrame, path: str) -> DataFrame:
@@ -232,7 +232,7 @@ def encode_distinct(words: DataFrame, path: str) -> DataFrame:
             for at, part in bounded_slices(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(table.encode_pieces(part), pa.binary())], ["word", "ids"])
 
-    return words.mapInArrow(run, "word string, ids binary")
+    return words.mapInArrow(tidy(run), "word string, ids binary")
 
 
 def by_position(split: DataFrame, encoded: DataFrame, finish: Callable[[list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
@@ -266,7 +266,7 @@ def by_position(split: DataFrame, encoded: DataFrame, finish: Callable[[list[np.
                         out.append(flat[np.repeat(first[at] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)])
                     yield pa.RecordBatch.from_arrays([batch.column(3)[low:high], *finish(out)], names)
 
-    return together.mapInArrow(run, schema)
+    return together.mapInArrow(tidy(run), schema)
 
 
 def _word_ids(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
@@ -329,7 +329,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 texts = [of(np.frombuffer(ids or b"", "<u4")) for ids in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), batch.column(1).slice(at, len(rows)), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids binary, text string")
 
 
 def encode_decode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:

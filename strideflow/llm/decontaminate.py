@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.llm import textops
-from strideflow.llm.storage import materialise
+from strideflow.llm.storage import materialise, tidy
 
 WINDOW = 8
 MIN_TOKENS = 4
@@ -143,7 +143,7 @@ def template_windows(texts: DataFrame, sizes: list[int], bitmap: np.ndarray | No
                     if len(at):
                         yield _batch(ids[doc[at]].tolist(), hashes, at - first[doc[at]], slot[at[:, None] + np.arange(size)])
 
-    return texts.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return texts.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), SCHEMA)
 
 
 def consistent(windows: list[dict[int, int]]) -> list[int]:
@@ -222,7 +222,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         matched.groupBy(F.col("id").alias("doc_id"), "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
         .agg(F.collect_set(window).alias("windows"))
         .select("doc_id", "item_id", "item_windows", "windows")
-        .mapInArrow(_counted, "doc_id long, item_id long, item_windows long, covered array<int>, altered boolean")
+        .mapInArrow(tidy(_counted), "doc_id long, item_id long, item_windows long, covered array<int>, altered boolean")
     )
     return (
         diagonals.groupBy("doc_id", "item_id", "item_windows")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideflow.llm import bpe
-from strideflow.llm.storage import shared_dir, shuffle_partitions
+from strideflow.llm.storage import shared_dir, shuffle_partitions, tidy
 
 END_ID = 0
 BLOCK_IDS = 1 << 20
@@ -141,7 +141,7 @@ def write_ids(docs: DataFrame, path: str | None = None, vocabulary: str | None =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranges = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ranges.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
+    ranges.mapInArrow(tidy(run), SCHEMA).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -170,7 +170,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "ids"],
                 )
 
-    return blocks.mapInArrow(run, "doc_id long, start long, ids binary")
+    return blocks.mapInArrow(tidy(run), "doc_id long, start long, ids binary")
 
 
 def write_read_digest(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

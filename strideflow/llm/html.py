@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.llm.storage import shuffle_partitions
+from strideflow.llm.storage import shuffle_partitions, tidy
 
 OUTSIDE, ARTICLE, BOILERPLATE = 0, 1, 2
 
@@ -203,7 +203,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     result = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    lines = rows.mapInArrow(parse, "page_id long, url string, texts array<string>, zones array<tinyint>")
+    lines = rows.mapInArrow(tidy(parse), "page_id long, url string, texts array<string>, zones array<tinyint>")
     address = F.coalesce(F.col("url"), F.lit(""))
     placed = lines.select(
         "page_id",
@@ -214,4 +214,4 @@ def extract(pages: DataFrame) -> DataFrame:
         "zones",
     )
     ordered = placed.repartitionByRange(shuffle_partitions(pages.sparkSession), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ordered.mapInArrow(compare, "page_id long, url string, text string")
+    return ordered.mapInArrow(tidy(compare), "page_id long, url string, text string")

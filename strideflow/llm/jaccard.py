@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from strideflow.llm import textops
 from strideflow.llm.graph import connected_components
-from strideflow.llm.storage import materialise, shuffle_partitions
+from strideflow.llm.storage import materialise, shuffle_partitions, tidy
 
 SHINGLE = 5
 PERCENT = 80
@@ -121,7 +121,7 @@ def sketch(tables: DataFrame, bits: int, of: str, at_least: int) -> np.ndarray:
             yield pa.RecordBatch.from_pylist([{"slice": k, "sparse": False, "body": bits_set}], schema=packed)
 
     schema = "slice int, sparse boolean, body binary"
-    slices = tables.mapInArrow(count, schema).repartition(min(SLICES, shuffle_partitions(tables.sparkSession)), "slice").mapInArrow(add, schema)
+    slices = tables.mapInArrow(tidy(count), schema).repartition(min(SLICES, shuffle_partitions(tables.sparkSession)), "slice").mapInArrow(tidy(add), schema)
     out = np.zeros(width, bool)
     for r in slices.collect():
         out[r.slice * part : (r.slice + 1) * part] = np.unpackbits(np.frombuffer(r.body, np.uint8), count=part).astype(bool)
@@ -218,7 +218,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
                 )
                 number += count
 
-    return docs.mapInArrow(run, "row long, doc_id long, n long, h1 long, h2 long, rare long, rare_keys array<long>, frequent_keys array<long>, parity array<long>, wide array<long>")
+    return docs.mapInArrow(tidy(run), "row long, doc_id long, n long, h1 long, h2 long, rare long, rare_keys array<long>, frequent_keys array<long>, parity array<long>, wide array<long>")
 
 
 COLUMNS = ["row", "doc_id", "n", "h1", "h2", "rare", "rare_keys", "frequent_keys", "parity", "wide"]
@@ -249,7 +249,7 @@ def _rare_stars(postings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, pivot[0], own[0], pivot[1], own[1], pivot[2], own[2])], names)
 
     ordered = postings.repartition(shuffle_partitions(postings.sparkSession), "key").sortWithinPartitions("key", F.xxhash64("doc"), "doc")
-    return ordered.mapInArrow(run, ", ".join(f"{k} long" for k in names))
+    return ordered.mapInArrow(tidy(run), ", ".join(f"{k} long" for k in names))
 
 
 def _frequent_stars(postings: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _long(np.concatenate(sets) if sets else value[:0]))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], tokens], ["id", "tokens"])
 
-    sets = docs.where("doc_id IS NOT NULL").mapInArrow(run, "id long, tokens array<long>")
+    sets = docs.where("doc_id IS NOT NULL").mapInArrow(tidy(run), "id long, tokens array<long>")
     if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         sets = sets.distinct()  # repeated rows of one document
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.llm import textops
+from strideflow.llm.storage import tidy
 
 FOLDS, HELD_OUT = 4, 2
 MAX_FIT = 2048
@@ -154,5 +155,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 score = space.score(space.project(w))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(score)], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideflow.llm.bpe import bounded_slices
+from strideflow.llm.storage import tidy
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_PER_LANG = 600
@@ -228,7 +229,7 @@ def fit(docs: DataFrame, path: str | None = None) -> PieceModel:
 
         limit = max(1000, min(MAX_SAMPLE_WORDS, 20 * MAX_SAMPLE_WORDS // len(counts)))
         drawn = rows.where(draw < F.try_element_at(rates, F.col("lang"))).select("lang", "text")
-        words = drawn.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        words = drawn.mapInArrow(tidy(count), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
         for r in words.withColumn("rank", rank).where(F.col("rank") <= limit).collect():
             samples[r.lang][bytes(r.word)] = r.n
@@ -246,7 +247,7 @@ def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
                 names, score = scorer.predict(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(names), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -263,4 +264,4 @@ def keep_identified(docs: DataFrame, path: str | None = None, min_score: float =
                 kept = [n != "und" and s >= min_score for n, s in zip(names, score, strict=True)]
                 yield batch.slice(at, len(texts)).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
