@@ -7,19 +7,24 @@ lines of the two are aligned by their longest common subsequence, and lines that
 article of both: that is content which two pages carry. What is left of the article is the main text; a page without an article
 element gives what is left outside the boilerplate, and if nothing is left there, as on a copy of its neighbour, what stood there.
 
-Pages are dealt by ranges of (host, path), so a host with a third of all pages is spread over many tasks; a page at the edge of
-a range has one neighbour. Only texts are shuffled, not markup. Null and empty html give the empty text, a null url has the empty
-host. Repeated rows each get their own result. Only page_id, url and html are read.
+Pages are dealt by ranges of (host, path, page_id), so a host with a third of all pages is spread over many tasks; the first and last page of a
+range also go to the range beside it, so every page has both its neighbours and the result does not depend on the ranges. Bounds come from a hash
+sample of addresses and the edges from an aggregate, both of at most a few rows a range. Markup is parsed once, and only texts are shuffled.
+
+Null and empty html give the empty text, a null url has the empty
+host. Repeated rows each get their own result; rows with equal url and page_id are ordered by their lines. An element that is not closed ends with
+the one around it. A long page is handled whole: aligning n and m lines takes memory for n + m. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.llm.storage import shuffle_partitions, tidy
@@ -28,19 +33,21 @@ OUTSIDE, ARTICLE, BOILERPLATE = 0, 1, 2
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|svg|math|iframe|object|canvas|audio|video|select|head\b(?!er))\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<raw>script|style|title|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<closed>noscript|template|svg|math|iframe|object|canvas|audio|video)\b[^>]*>.*?</(?P=closed)\s*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
 _BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button search".split())
+_BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button search select datalist".split())
 _BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+_OWN_PARTS = frozenset("article content entry page post story".split())  # whose header in an article is the article's own
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -56,8 +63,10 @@ def _zone(tag: str, attributes: str, in_article: bool) -> int:
                 if value in _BOILERPLATE_ROLES:
                     return BOILERPLATE
                 zone = ARTICLE if value in ("main", "article") else zone
-            elif tag not in ("html", "body", "main") and not _BOILERPLATE_NAMES.isdisjoint(_PART.findall(value)) and not (tag == "header" and in_article):
-                return BOILERPLATE
+            elif tag not in ("html", "body", "main") and not (tag == "header" and in_article):
+                names = _BOILERPLATE_NAMES.intersection(parts := _PART.findall(value))
+                if names and not (in_article and names == {"header"} and not _OWN_PARTS.isdisjoint(parts)):
+                    return BOILERPLATE
     return zone
 
 
@@ -86,7 +95,7 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
         if m.start() > at:
             buffer.append(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m["tag"] or "").lower()
         if not tag:
             continue
         block = tag in _BLOCKS
@@ -95,9 +104,9 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
                 flush()
             else:
                 buffer.append(" ")
-        if tag in _VOID or m[4].endswith("/"):
+        if tag in _VOID or m["attributes"].endswith("/"):
             continue
-        if m[2]:
+        if m["end"]:
             if any(t == tag for t, _ in stack):
                 flush()
                 while pop() != tag:
@@ -105,7 +114,7 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
             continue
         if block and stack and stack[-1][0] == "p":
             pop()
-        zone = _zone(tag, m[4], depth[ARTICLE] > 0)
+        zone = _zone(tag, m["attributes"], depth[ARTICLE] > 0)
         if zone == BOILERPLATE or block:
             if zone == BOILERPLATE:
                 flush()
@@ -117,8 +126,29 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
     return lines
 
 
+def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a and each beginning of b."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0))
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def _align(a: np.ndarray, b: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, shifted by (i, j), in space linear in both: a is halved, and b where the halves' lengths add up to most."""
+    if not len(a) or not len(b):
+        return []
+    if len(a) == 1:
+        found = np.flatnonzero(b == a[0])
+        return [(i, j + int(found[0]))] if len(found) else []
+    half = len(a) // 2
+    k = int((_last_row(a[:half], b) + _last_row(a[half:][::-1], b[::-1])[::-1]).argmax())
+    return _align(a[:half], b[:k], i, j) + _align(a[half:], b[k:], i + half, j + k)
+
+
 def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence: equal ends first, then dynamic programming over the lines that both hold."""
+    """Index pairs of a longest common subsequence: equal ends first, then an alignment of the lines that both hold."""
     low = 0
     while low < min(len(a), len(b)) and a[low] == b[low]:
         low += 1
@@ -126,23 +156,11 @@ def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
         high += 1
     pairs = [(k, k) for k in range(low)]
-    both = set(a[low : len(a) - high]) & set(b[low : len(b) - high])
+    both = {line: k for k, line in enumerate(sorted(set(a[low : len(a) - high]) & set(b[low : len(b) - high])))}
     if both:
         x = [k for k in range(low, len(a) - high) if a[k] in both]
         y = [k for k in range(low, len(b) - high) if b[k] in both]
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if a[x[i]] == b[y[j]] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < len(x) and j < len(y):
-            if a[x[i]] == b[y[j]]:
-                pairs.append((x[i], y[j]))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+        pairs += [(x[i], y[j]) for i, j in _align(np.array([both[a[k]] for k in x]), np.array([both[b[k]] for k in y]), 0, 0)]
     return pairs + [(len(a) - k, len(b) - k) for k in range(high, 0, -1)]
 
 
@@ -184,15 +202,15 @@ def extract(pages: DataFrame) -> DataFrame:
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
                     part = batch.slice(at, 64).to_pydict()
-                    for row in zip(*(part[k] for k in ("page_id", "url", "host", "path", "texts", "zones")), strict=True):
-                        yield (*row[:4], list(zip(row[4], row[5], strict=True)))
+                    for row in zip(*(part[k] for k in ("page_id", "url", "host", "path", "texts", "zones", "part", "guest")), strict=True):
+                        yield (*row[:4], list(zip(row[4], row[5], strict=True)), *row[6:])
             yield None
 
         out: list[tuple] = []
         before, this = None, None
         for after in rows():
-            if this is not None:
-                near = [(_shared_prefix(this[3], n[3]), k, n[4]) for k, n in ((1, before), (0, after)) if n is not None and n[2] == this[2]]
+            if this is not None and not this[6]:
+                near = [(_shared_prefix(this[3], n[3]), k, n[4]) for k, n in ((1, before), (0, after)) if n is not None and n[2] == this[2] and n[5] == this[5]]
                 out.append((this[0], this[1], main_text(this[4], max(near, key=lambda n: n[:2])[2] if near else None)))
                 if len(out) >= 256:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], schema=result)
@@ -204,14 +222,43 @@ def extract(pages: DataFrame) -> DataFrame:
     result = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     lines = rows.mapInArrow(tidy(parse), "page_id long, url string, texts array<string>, zones array<tinyint>")
-    address = F.coalesce(F.col("url"), F.lit(""))
-    placed = lines.select(
-        "page_id",
-        "url",
-        F.lower(F.regexp_extract(address, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(address, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1).alias("path"),
-        "texts",
-        "zones",
-    )
-    ordered = placed.repartitionByRange(shuffle_partitions(pages.sparkSession), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    n = shuffle_partitions(pages.sparkSession)
+    addresses = rows.select(_address("url", "page_id").alias("address"))
+    drawn = addresses.distinct().orderBy(F.xxhash64("address"), "address").limit(4 * n).collect()  # decides speed alone
+    bounds = sorted((tuple(r.address) for r in drawn), key=_order)[::4]
+    part = _part(bounds)
+    ends = addresses.groupBy(part(F.col("address")).alias("part")).agg(F.min("address").alias("low"), F.max("address").alias("high")).orderBy("part").collect()  # one row for each range
+    guests = [(tuple(r.high), after.part) for r, after in zip(ends, ends[1:], strict=False)] + [(tuple(r.low), before.part) for before, r in zip(ends, ends[1:], strict=False)]
+    extra = pages.sparkSession.createDataFrame([(a, p) for a, p in guests], f"address {ADDRESS}, guest_part int")
+    own = F.struct(part(_address("url", "page_id")).alias("part"), F.lit(False).alias("guest"))
+    placed = lines.select("page_id", "url", "texts", "zones", own.alias("own"), _address("url", "page_id").alias("a")).select("*", "a.host", "a.path")
+    by_page = extra.groupBy("address").agg(F.collect_list(F.struct(F.col("guest_part").alias("part"), F.lit(True).alias("guest"))).alias("guests"))
+    by_page = by_page.select(F.col("address.host").alias("g_host"), F.col("address.path").alias("g_path"), F.col("address.page_id").alias("g_page"), "guests")
+    same = (F.col("host") == F.col("g_host")) & (F.col("path") == F.col("g_path")) & F.col("page_id").eqNullSafe(F.col("g_page"))
+    dealt = placed.join(F.broadcast(by_page), same, "left")  # at most two rows a range
+    dealt = dealt.select("page_id", "url", "host", "path", "texts", "zones", F.explode(F.concat(F.array("own"), F.coalesce("guests", F.array().cast("array<struct<part:int,guest:boolean>>")))).alias("to"))
+    dealt = dealt.select("page_id", "url", "host", "path", "texts", "zones", "to.part", "to.guest")
+    ordered = dealt.repartition(n, "part").sortWithinPartitions("part", "host", "path", "page_id", F.xxhash64("texts"), "guest")
     return ordered.mapInArrow(tidy(compare), "page_id long, url string, text string")
+
+
+ADDRESS = "struct<host:string,path:string,page_id:bigint>"
+
+
+def _address(url: str, page_id: str) -> Column:
+    """Where a page stands in the order."""
+    address = F.coalesce(F.col(url), F.lit(""))
+    host = F.lower(F.regexp_extract(address, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
+    path = F.regexp_extract(address, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return F.struct(host.alias("host"), path.alias("path"), F.col(page_id).alias("page_id"))
+
+
+def _order(address: tuple) -> tuple:
+    """Spark's order: strings by bytes, null first."""
+    return address[0].encode(), address[1].encode(), address[2] is not None, address[2] or 0
+
+
+def _part(bounds: list[tuple]) -> Callable[[Column], Column]:
+    """The number of bounds that are less than an address."""
+    table = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(i).cast("long").alias("page_id")) for h, p, i in bounds])
+    return lambda address: F.size(F.filter(table, lambda b: b < address)) if bounds else F.lit(0)

@@ -340,6 +340,53 @@ def test_article_text():
     assert html.page_lines(None) == html.page_lines("") == [] and html.page_lines("a < b") == [("a < b", 0)]
 
 
+def test_broken_markup():
+    text = lambda page: html.main_text(html.page_lines(page), None)
+    assert text("<html><head><title>x</title><meta charset=utf-8><body><p>One<p>Two") == "One Two"
+    assert text("<article><p>One</p><div><select><option>a</div><p>Two</p></article>") == "One Two"
+    assert text('<article><div class="article-header"><h1>Title</h1></div><p>One</p><div class="site-header">x</div></article>') == "Title One"
+    assert text("<p>a</p><svg><p>b</p>") == "a b" and text("<p>a</p><svg><text>b</text></svg><p>c") == "a c"
+
+
+def brute_extract(rows):
+    """Each page against its nearest neighbour in the order of all pages."""
+    def place(url):
+        m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)", url or "")
+        return (m[1] or "").lower(), m[2]
+
+    rows = sorted(rows, key=lambda r: (*place(r[1]), r[0]))
+    out = {}
+    for k, (i, url, page) in enumerate(rows):
+        near = []
+        for rank, j in ((1, k - 1), (0, k + 1)):
+            if 0 <= j < len(rows) and place(rows[j][1])[0] == place(url)[0]:
+                near.append((html._shared_prefix(place(url)[1], place(rows[j][1])[1]), rank, rows[j][2]))
+        out[i] = html.main_text(html.page_lines(page), html.page_lines(max(near, key=lambda n: n[:2])[2]) if near else None)
+    return out
+
+
+def test_extraction_equals_brute_force_whatever_the_partitions(spark, data):
+    frame = "<div>Site name</div><p>{}</p><p>{}</p><div>All pages say this</div>"
+    rows = [(r.page_id, r.url, r.html) for r in table(spark, data, "pages").collect()] + [(10_000 + k, f"http://h{k % 3}/a/{k // 7}/{k}", frame.format(f"one {k}", f"two {k}")) for k in range(90)]
+    rows += [(20_000, None, None), (20_001, None, ""), (20_002, "http://h1/a", "<p>x" * 3000)]
+    df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
+    expected = brute_extract(rows)
+    for n in ("1", "4", "17"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = html.extract(df).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == expected
+    assert html.extract(df.limit(0)).collect() == []
+    assert len(html.extract(df.where("page_id >= 20000").union(df.where("page_id >= 20000"))).collect()) == 6
+
+
+def test_long_pages_take_little_memory():
+    a, b = ([f"x{k * m % 997}" for k in range(3000)] for m in (5, 7))
+    pairs = html.common_lines(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False)) and len(pairs) > 100
+
+
 def test_shared_lines_go(spark):
     frame = "<div>Site name</div><p>{}</p><p>{}</p><div>All pages say this</div>"
     rows = [(1, "http://h/a/1", frame.format("one", "two")), (2, "http://h/a/2", frame.format("three", "four")), (3, "http://g/a", PAGE), (4, None, None), (5, "http://h/a/3", "")]
