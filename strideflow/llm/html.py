@@ -224,8 +224,8 @@ def extract(pages: DataFrame) -> DataFrame:
     lines = rows.mapInArrow(tidy(parse), "page_id long, url string, texts array<string>, zones array<tinyint>")
     n = shuffle_partitions(pages.sparkSession)
     addresses = rows.select(_address("url", "page_id").alias("address"))
-    drawn = addresses.distinct().orderBy(F.xxhash64("address"), "address").limit(4 * n).collect()  # decides speed alone
-    bounds = sorted((tuple(r.address) for r in drawn), key=_order)[::4]
+    drawn = addresses.distinct().orderBy(F.xxhash64("address"), "address").limit(32 * n).collect()  # decides speed alone
+    bounds = sorted((tuple(r.address) for r in drawn), key=_order)[::4]  # 8 ranges a task, so that tasks are even
     part = _part(bounds)
     ends = addresses.groupBy(part(F.col("address")).alias("part")).agg(F.min("address").alias("low"), F.max("address").alias("high")).orderBy("part").collect()  # one row for each range
     guests = [(tuple(r.high), after.part) for r, after in zip(ends, ends[1:], strict=False)] + [(tuple(r.low), before.part) for before, r in zip(ends, ends[1:], strict=False)]
@@ -260,5 +260,14 @@ def _order(address: tuple) -> tuple:
 
 def _part(bounds: list[tuple]) -> Callable[[Column], Column]:
     """The number of bounds that are less than an address."""
+    if not bounds:
+        return lambda address: F.lit(0)
     table = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(i).cast("long").alias("page_id")) for h, p, i in bounds])
-    return lambda address: F.size(F.filter(table, lambda b: b < address)) if bounds else F.lit(0)
+    between = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    def halve(s: Column, address: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        return F.when(s["low"] >= s["high"], s).when(F.get(table, middle) < address, between(middle + 1, s["high"])).otherwise(between(s["low"], middle))
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return lambda address: F.aggregate(steps, between(F.lit(0), F.lit(len(bounds))), lambda s, _: halve(s, address))["low"]
