@@ -1,12 +1,12 @@
 """BPE encoding and decoding by a distinct-word table.
 
 1. Split: every text is cut in words on the executors. A chunk (texts of about `CHUNK_CHARS` characters of one task) numbers its distinct words;
-   the chunk's dictionary is one row for each distinct word, and a text is the list of its words' numbers. Both are written once to the shared folder.
-2. The distinct words of all dictionaries are one table, and each of its words is encoded once.
-3. The dictionaries are joined with that table by word. A word stands once in a chunk, so no key has more rows than there are chunks.
-4. Ids are joined back by position: the dictionary's ids and the texts of a chunk meet in one task, in order, and each number is replaced
-   by its word's ids. A chunk is bounded (a longer text is a chunk alone), so no group grows with the input.
-5. Decoding joins ids with the id-to-piece table. It has one row for each id from 0 on, as many as the vocabulary, so the join is a
+   the chunk's dictionary is one row for each distinct word, and its texts are the lists of their words' numbers. Both are written once to the shared folder.
+2. The dictionaries are dealt by word and sorted: this is the distinct-word table, each word with the places where it is wanted, and each of its
+   words is encoded once. A word stands once in a chunk, so it has no more rows than there are chunks, and they stream through.
+3. Ids are joined back by position: the ids of a chunk's words (packed by chunk) and the chunk's texts meet in one task, in order, and each number is
+   replaced by its word's ids. A chunk is bounded (a longer text is a chunk alone), so no group grows with the input.
+4. Decoding joins ids with the id-to-piece table. It has one row for each id from 0 on, as many as the vocabulary, so the join is a
    lookup in a broadcast array.
 
 A word is what lies between two cuts; a cut is before a space. The tokenizer's own pre-tokenisation never joins characters across such
@@ -40,7 +40,9 @@ MAX_WORDS = 250_000
 BATCH_CHARS = 2_000_000
 JOINED_WORDS = 20_000
 LONG_WORD = 1000
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 32_000_000
+SLICE_CHARS = 2_000_000
+HELD_WORDS = 400_000  # encoded words that a task holds before it sends them to their chunks
 #: White space, a space inside the run or before the end of the text: there the cut before the space could part what is one token.
 _INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 
@@ -192,93 +194,145 @@ def bounded_slices(column: pa.Array, chars: int = BATCH_CHARS) -> Iterator[tuple
         yield at, rows
 
 
-SPLIT = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("word", pa.string()), ("doc_id", pa.int64()), ("places", pa.binary())])
+SPLIT = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("word", pa.string()), ("body", pa.binary())])
+_RAW = "<u4"
+
+
+def pack(parts: list[np.ndarray]) -> bytes:
+    """Integer arrays in one compressed string: their number, their lengths, then their values in planes of one byte each."""
+    flat = np.concatenate(parts) if parts else np.zeros(0)
+    head = np.array([len(parts), *map(len, parts)], _RAW)
+    planes = np.ascontiguousarray(np.concatenate([head, flat.astype(_RAW)]).view(np.uint8).reshape(-1, 4).T)
+    return len(head).to_bytes(4, "little") + planes.nbytes.to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(body: bytes) -> list[np.ndarray]:
+    n, size = int.from_bytes(body[:4], "little"), int.from_bytes(body[4:12], "little")
+    planes = np.frombuffer(pa.decompress(body[12:], size, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+    values = np.ascontiguousarray(planes.T).view(_RAW).ravel()
+    return np.split(values[n:], np.cumsum(values[1:n])[:-1]) if n > 1 else []
 
 
 def split_texts(docs: DataFrame, special: list[str], chars: int = CHUNK_CHARS) -> DataFrame:
-    """Rows of two kinds: (chunk, at, word), the dictionary of each chunk, and (chunk, at, doc_id, places), the words of each text by their numbers."""
+    """Rows of two kinds: (chunk, at, word), the dictionary of each chunk, and (chunk, at, body), a slice of its texts: their doc_id and the numbers of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         pattern = special_pattern(special)
-        chunk, index, size, row = TaskContext.get().partitionId() << 24, Index(), 0, 0
+        chunk, index, size, slices = TaskContext.get().partitionId() << 24, Index(), 0, 0
 
         def dictionary() -> pa.RecordBatch:
             n = len(index)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(n)), pa.array(list(index), pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=SPLIT)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(n)), pa.array(list(index), pa.string()), pa.nulls(n, pa.binary())], schema=SPLIT)
 
         for batch in batches:
-            for at, texts in bounded_slices(batch.column(1), chars // 4):
-                places = [np.fromiter(map(index.__getitem__, cut(t, pattern) if t else ()), "<u4").tobytes() for t in texts]
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(row, row + n)), pa.nulls(n, pa.string()), batch.column(0).slice(at, n).cast(pa.int64()), pa.array(places, pa.binary())], schema=SPLIT)
-                size, row = size + sum(map(len, filter(None, texts))), row + n
+            for at, texts in bounded_slices(batch.column(1), min(SLICE_CHARS, chars)):
+                ids = batch.column(0).slice(at, len(texts)).cast(pa.int64())
+                known = np.frombuffer(np.array(ids.fill_null(0)).astype("<i8").tobytes(), _RAW)
+                null = np.flatnonzero(np.array(ids.is_null())).astype(_RAW)
+                body = pack([known, null, *(np.fromiter(map(index.__getitem__, cut(t, pattern) if t else ()), _RAW) for t in texts)])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([slices], pa.int64()), pa.nulls(1, pa.string()), pa.array([body], pa.binary())], schema=SPLIT)
+                size, slices = size + sum(map(len, filter(None, texts))), slices + 1
                 if size >= chars:
                     yield dictionary()
-                    chunk, index, size, row = chunk + 1, Index(), 0, 0
-        if row:
+                    chunk, index, size, slices = chunk + 1, Index(), 0, 0
+        if slices:
             yield dictionary()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "chunk long, at long, word string, doc_id long, places binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "chunk long, at long, word string, body binary")
 
 
-def encode_distinct(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of a table of distinct words."""
+def encode_distinct(dictionaries: DataFrame, path: str) -> DataFrame:
+    """(chunk, kind, at, body) of (word, chunk, at): every distinct word is encoded once, and its ids are packed for the chunks that want them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(path)
-        for batch in batches:
-            for at, part in bounded_slices(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(table.encode_pieces(part), pa.binary())], ["word", "ids"])
-
-    return words.mapInArrow(tidy(run), "word string, ids binary")
-
+        table, last, ids = word_table(path), None, b""
+        held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+        size, sent = 0, 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            chunks = np.concatenate([h[0] for h in held])
+            at, found = np.concatenate([h[1] for h in held]), [i for h in held for i in h[2]]
+            order = np.argsort(chunks, kind="stable")
+            edges = np.flatnonzero(np.diff(chunks[order], prepend=-1)).tolist() + [len(order)]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                own = order[s:e]
+                body = pack([at[own].astype(_RAW), *(np.frombuffer(found[k], _RAW) for k in own.tolist())])
+                yield pa.RecordBatch.from_arrays([pa.array([chunks[own[0]]]), pa.array([0], pa.int32()), pa.array([sent], pa.int64()), pa.array([body], pa.binary())], ["chunk", "kind", "at", "body"])
 
-def by_position(split: DataFrame, encoded: DataFrame, finish: Callable[[list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
-    """(doc_id, …): finish() makes columns of the ids of many texts. split: as of split_texts; encoded: (word, ids)."""
-    numbered = split.where("word IS NOT NULL").join(encoded, "word").select("chunk", F.lit(0).alias("kind"), "at", F.lit(None).cast("long").alias("doc_id"), "ids")
-    texts = split.where("word IS NULL").select("chunk", F.lit(1).alias("kind"), "at", "doc_id", F.col("places").alias("ids"))
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            new = list(dict.fromkeys(words))  # sorted: equal words are neighbours
+            rest = new[1:] if new and new[0] == last else new
+            found = dict(zip(rest, table.encode_pieces(rest), strict=True))
+            found.setdefault(last, ids)
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), [found[w] for w in words]))
+            size += len(words)
+            if words:
+                last, ids = words[-1], found[words[-1]]
+            if size >= HELD_WORDS:
+                yield from send()
+                held, size, sent = [], 0, sent + 1
+        if size:
+            yield from send()
+
+    dealt = dictionaries.select("word", "chunk", "at").repartition(shuffle_partitions(dictionaries.sparkSession), "word").sortWithinPartitions("word")
+    return dealt.mapInArrow(tidy(run), "chunk long, kind int, at long, body binary")
+
+
+def by_position(split: DataFrame, path: str, finish: Callable[[list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
+    """(doc_id, …): finish() makes columns of the ids of many texts. split: as of split_texts."""
+    numbered = encode_distinct(split.where("word IS NOT NULL"), path)
+    texts = split.where("word IS NULL").select("chunk", F.lit(1).alias("kind"), "at", "body")
     together = numbered.unionByName(texts).repartition(shuffle_partitions(split.sparkSession), "chunk").sortWithinPartitions("chunk", "kind", "at")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, parts, flat, first = None, [], None, None
+        last, places, lengths, values, flat, first = None, [], [], [], None, None
         for batch in batches:
-            chunks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero((np.diff(chunks, prepend=chunks[:1] - 1) != 0) | (np.diff(kinds, prepend=kinds[:1] - 1) != 0)).tolist() + [len(chunks)]
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if chunks[s] != last:
-                    last, parts, flat = chunks[s], [], None
-                if kinds[s] == 0:
-                    parts += batch.column(4)[s:e].to_pylist()
+            for k in range(batch.num_rows):
+                chunk, kind, body = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(3)[k].as_py()
+                if chunk != last:
+                    last, places, lengths, values, flat = chunk, [], [], [], None
+                if kind == 0:
+                    at, *ids = unpack(body)
+                    places.append(at)
+                    lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                    values.append(np.concatenate(ids))
                     continue
-                if flat is None:
-                    flat = np.frombuffer(b"".join(parts), "<u4")
-                    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)])
-                    parts = []
-                for low in range(s, e, 256):
-                    high, out = min(low + 256, e), []
-                    for places in batch.column(4)[low:high]:
-                        at = np.frombuffer(places.as_buffer(), "<u4")
-                        length = first[at + 1] - first[at]
+                if flat is None and places:
+                    place, length, flat = np.concatenate(places), np.concatenate(lengths), np.concatenate(values)
+                    begin = np.cumsum(length) - length
+                    first, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+                    first[place], size[place] = begin, length
+                    places, lengths, values = [], [], []
+                known, null, *texts = unpack(body)
+                doc_ids = np.frombuffer(known.tobytes(), "<i8")
+                mask = np.zeros(len(doc_ids), bool)
+                mask[null] = True
+                for low in range(0, len(texts), 256):
+                    out = []
+                    for at in texts[low : low + 256]:
+                        if not len(at):
+                            out.append(at)
+                            continue
+                        length = size[at]
                         stop = np.cumsum(length)
-                        out.append(flat[np.repeat(first[at] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)])
-                    yield pa.RecordBatch.from_arrays([batch.column(3)[low:high], *finish(out)], names)
+                        out.append(flat[np.repeat(first[at] - stop + length, length) + np.arange(stop[-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[low : low + 256], pa.int64(), mask=mask[low : low + 256]), *finish(out)], names)
 
     return together.mapInArrow(tidy(run), schema)
 
 
-def _word_ids(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """The split texts and the ids of each distinct word, both written to the shared folder."""
-    split = materialise(split_texts(docs, WordTable(path).special), "split-texts")
-    return split, materialise(encode_distinct(split.where("word IS NOT NULL").select("word").distinct(), path), "word-ids")
+def _split(docs: DataFrame, path: str) -> DataFrame:
+    return materialise(split_texts(docs, WordTable(path).special), "split-texts")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids): ids is binary, little-endian unsigned 32-bit integers in the order of the text."""
-    split, encoded = _word_ids(docs, path or default_vocabulary())
-    return by_position(split, encoded, lambda ids: [pa.array([i.tobytes() for i in ids], pa.binary())], "doc_id long, ids binary")
+    path = path or default_vocabulary()
+    return by_position(_split(docs, path), path, lambda ids: [pa.array([i.tobytes() for i in ids], pa.binary())], "doc_id long, ids binary")
 
 
 class Pieces:
@@ -310,12 +364,10 @@ def piece_table(path: str) -> Pieces:
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, text): the ids, and the text decoded from them."""
     path = path or default_vocabulary()
-    split, encoded = _word_ids(docs, path)
-
     def finish(ids: list[np.ndarray]) -> list[pa.Array]:
         return [pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(list(map(piece_table(path).text, ids)), pa.string())]
 
-    return by_position(split, encoded, finish, "doc_id long, ids binary, text string")
+    return by_position(_split(docs, path), path, finish, "doc_id long, ids binary, text string")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
