@@ -1,9 +1,9 @@
 """BPE encoding and decoding by a distinct-word table.
 
 1. Split: every text is cut in words on the executors. A chunk (texts of about `CHUNK_CHARS` characters of one task) numbers its distinct words;
-   the chunk's dictionary is one row for each distinct word, and its texts are the lists of their words' numbers. Both are written once to the shared folder.
-2. The dictionaries are dealt by word and sorted: this is the distinct-word table, each word with the places where it is wanted, and each of its
-   words is encoded once. A word stands once in a chunk, so it has no more rows than there are chunks, and they stream through.
+   the chunk's dictionary is dealt to buckets by a hash of the word, and its texts are the lists of their words' numbers. Both are written once, packed, to the shared folder.
+2. The dictionaries of all chunks meet by bucket, which gives the distinct-word table: each of its words is encoded once. A word stands once in
+   a chunk, so no word is hot, and there are as many buckets as shuffle partitions, so a bucket is a task's share.
 3. Ids are joined back by position: the ids of a chunk's words (packed by chunk) and the chunk's texts meet in one task, in order, and each number is
    replaced by its word's ids. A chunk is bounded (a longer text is a chunk alone), so no group grows with the input.
 4. Decoding joins ids with the id-to-piece table. It has one row for each id from 0 on, as many as the vocabulary, so the join is a
@@ -31,9 +31,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideflow.llm import textops
 from strideflow.llm.storage import materialise, shuffle_partitions, tidy
 
 MAX_WORDS = 250_000
@@ -42,7 +44,6 @@ JOINED_WORDS = 20_000
 LONG_WORD = 1000
 CHUNK_CHARS = 32_000_000
 SLICE_CHARS = 2_000_000
-HELD_WORDS = 400_000  # encoded words that a task holds before it sends them to their chunks
 #: White space, a space inside the run or before the end of the text: there the cut before the space could part what is one token.
 _INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 
@@ -194,7 +195,8 @@ def bounded_slices(column: pa.Array, chars: int = BATCH_CHARS) -> Iterator[tuple
         yield at, rows
 
 
-SPLIT = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("word", pa.string()), ("body", pa.binary())])
+SPLIT = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("at", pa.int64()), ("body", pa.binary())])
+WORDS, TEXTS = 0, 1
 _RAW = "<u4"
 
 
@@ -213,8 +215,34 @@ def unpack(body: bytes) -> list[np.ndarray]:
     return np.split(values[n:], np.cumsum(values[1:n])[:-1]) if n > 1 else []
 
 
-def split_texts(docs: DataFrame, special: list[str], chars: int = CHUNK_CHARS) -> DataFrame:
-    """Rows of two kinds: (chunk, at, word), the dictionary of each chunk, and (chunk, at, body), a slice of its texts: their doc_id and the numbers of their words."""
+def buckets_of(words: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket for each word, the same in every process."""
+    out = []
+    for at in range(0, len(words), JOINED_WORDS):
+        data, offsets = textops.string_buffers(words.slice(at, JOINED_WORDS))
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        out.append(textops.Words(data, offsets, offsets[:-1], offsets[1:], np.arange(len(offsets) - 1), np.arange(len(offsets))).hashes() % np.uint64(buckets))
+    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+
+
+def pack_words(at: np.ndarray, words: pa.Array) -> bytes:
+    """Words and their numbers in one compressed string."""
+    data, offsets = textops.string_buffers(words)
+    head = pack([at, np.diff(offsets)])
+    text = data[offsets[0] : offsets[-1]].tobytes()
+    return len(head).to_bytes(8, "little") + head + len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+
+
+def unpack_words(body: bytes) -> tuple[np.ndarray, list[str]]:
+    stop = 8 + int.from_bytes(body[:8], "little")
+    at, lengths = unpack(body[8:stop])
+    text = pa.decompress(body[stop + 8 :], int.from_bytes(body[stop : stop + 8], "little"), "zstd")
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int64())
+    return at, pa.LargeStringArray.from_buffers(len(at), offsets.buffers()[1], text).to_pylist()
+
+
+def split_texts(docs: DataFrame, special: list[str], buckets: int, chars: int = CHUNK_CHARS) -> DataFrame:
+    """(chunk, kind, at, body): of kind WORDS a bucket (at) of the chunk's dictionary, of kind TEXTS a slice of its texts: their doc_id and the numbers of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -222,69 +250,65 @@ def split_texts(docs: DataFrame, special: list[str], chars: int = CHUNK_CHARS) -
         pattern = special_pattern(special)
         chunk, index, size, slices = TaskContext.get().partitionId() << 24, Index(), 0, 0
 
-        def dictionary() -> pa.RecordBatch:
-            n = len(index)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(n)), pa.array(list(index), pa.string()), pa.nulls(n, pa.binary())], schema=SPLIT)
+        def row(kind: int, at: int, body: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": kind, "at": at, "body": body}], schema=SPLIT)
+
+        def dictionary() -> Iterator[pa.RecordBatch]:
+            words = pa.array(list(index), pa.large_string())
+            own = pa.table({"bucket": buckets_of(words, buckets), "word": words})
+            order = pc.sort_indices(own, sort_keys=[("bucket", "ascending"), ("word", "ascending")])
+            place, words, bucket = order.to_numpy().astype(np.int64), words.take(order), own["bucket"].to_numpy()[order.to_numpy()]
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                yield row(WORDS, int(bucket[s]), pack_words(place[s:e], words.slice(s, e - s)))
 
         for batch in batches:
             for at, texts in bounded_slices(batch.column(1), min(SLICE_CHARS, chars)):
                 ids = batch.column(0).slice(at, len(texts)).cast(pa.int64())
                 known = np.frombuffer(np.array(ids.fill_null(0)).astype("<i8").tobytes(), _RAW)
                 null = np.flatnonzero(np.array(ids.is_null())).astype(_RAW)
-                body = pack([known, null, *(np.fromiter(map(index.__getitem__, cut(t, pattern) if t else ()), _RAW) for t in texts)])
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([slices], pa.int64()), pa.nulls(1, pa.string()), pa.array([body], pa.binary())], schema=SPLIT)
+                yield row(TEXTS, slices, pack([known, null, *(np.fromiter(map(index.__getitem__, cut(t, pattern) if t else ()), _RAW) for t in texts)]))
                 size, slices = size + sum(map(len, filter(None, texts))), slices + 1
                 if size >= chars:
-                    yield dictionary()
+                    yield from dictionary()
                     chunk, index, size, slices = chunk + 1, Index(), 0, 0
         if slices:
-            yield dictionary()
+            yield from dictionary()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "chunk long, at long, word string, body binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "chunk long, kind int, at long, body binary")
 
 
 def encode_distinct(dictionaries: DataFrame, path: str) -> DataFrame:
-    """(chunk, kind, at, body) of (word, chunk, at): every distinct word is encoded once, and its ids are packed for the chunks that want them."""
+    """(chunk, kind, at, body): every distinct word of a bucket is encoded once, and the ids of each chunk's words are packed for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, last, ids = word_table(path), None, b""
-        held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
-        size, sent = 0, 0
+        table, last, held = word_table(path), None, []
 
         def send() -> Iterator[pa.RecordBatch]:
-            chunks = np.concatenate([h[0] for h in held])
-            at, found = np.concatenate([h[1] for h in held]), [i for h in held for i in h[2]]
-            order = np.argsort(chunks, kind="stable")
-            edges = np.flatnonzero(np.diff(chunks[order], prepend=-1)).tolist() + [len(order)]
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                own = order[s:e]
-                body = pack([at[own].astype(_RAW), *(np.frombuffer(found[k], _RAW) for k in own.tolist())])
-                yield pa.RecordBatch.from_arrays([pa.array([chunks[own[0]]]), pa.array([0], pa.int32()), pa.array([sent], pa.int64()), pa.array([body], pa.binary())], ["chunk", "kind", "at", "body"])
+            found = list(dict.fromkeys(w for _, _, words in held for w in words))
+            ids = dict(zip(found, table.encode_pieces(found), strict=True))
+            for chunk, at, words in held:
+                own = [ids[w] for w in words]
+                body = pack([at, np.fromiter(map(len, own), np.int64, len(own)) // 4, np.frombuffer(b"".join(own), _RAW)])
+                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": WORDS, "at": last, "body": body}], schema=SPLIT)
+            held.clear()
 
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            new = list(dict.fromkeys(words))  # sorted: equal words are neighbours
-            rest = new[1:] if new and new[0] == last else new
-            found = dict(zip(rest, table.encode_pieces(rest), strict=True))
-            found.setdefault(last, ids)
-            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), [found[w] for w in words]))
-            size += len(words)
-            if words:
-                last, ids = words[-1], found[words[-1]]
-            if size >= HELD_WORDS:
-                yield from send()
-                held, size, sent = [], 0, sent + 1
-        if size:
-            yield from send()
-
-    dealt = dictionaries.select("word", "chunk", "at").repartition(shuffle_partitions(dictionaries.sparkSession), "word").sortWithinPartitions("word")
+            for r in batch.to_pylist():
+                if r["at"] != last:
+                    yield from send()
+                    last = r["at"]
+                held.append((r["chunk"], *unpack_words(r["body"])))
+        yield from send()
+
+    dealt = dictionaries.repartition(shuffle_partitions(dictionaries.sparkSession), "at").sortWithinPartitions("at", "chunk")
     return dealt.mapInArrow(tidy(run), "chunk long, kind int, at long, body binary")
 
 
 def by_position(split: DataFrame, path: str, finish: Callable[[list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
     """(doc_id, …): finish() makes columns of the ids of many texts. split: as of split_texts."""
-    numbered = encode_distinct(split.where("word IS NOT NULL"), path)
-    texts = split.where("word IS NULL").select("chunk", F.lit(1).alias("kind"), "at", "body")
+    numbered = encode_distinct(split.where(F.col("kind") == WORDS), path)
+    texts = split.where(F.col("kind") == TEXTS)
     together = numbered.unionByName(texts).repartition(shuffle_partitions(split.sparkSession), "chunk").sortWithinPartitions("chunk", "kind", "at")
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -295,11 +319,11 @@ def by_position(split: DataFrame, path: str, finish: Callable[[list[np.ndarray]]
                 chunk, kind, body = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(3)[k].as_py()
                 if chunk != last:
                     last, places, lengths, values, flat = chunk, [], [], [], None
-                if kind == 0:
-                    at, *ids = unpack(body)
+                if kind == WORDS:
+                    at, length, ids = unpack(body)
                     places.append(at)
-                    lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-                    values.append(np.concatenate(ids))
+                    lengths.append(length.astype(np.int64))
+                    values.append(ids)
                     continue
                 if flat is None and places:
                     place, length, flat = np.concatenate(places), np.concatenate(lengths), np.concatenate(values)
@@ -326,7 +350,7 @@ def by_position(split: DataFrame, path: str, finish: Callable[[list[np.ndarray]]
 
 
 def _split(docs: DataFrame, path: str) -> DataFrame:
-    return materialise(split_texts(docs, WordTable(path).special), "split-texts")
+    return materialise(split_texts(docs, WordTable(path).special, shuffle_partitions(docs.sparkSession)), "split-texts")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -459,13 +459,12 @@ def test_word_table_equals_the_library_on_any_text():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_chunks_and_repeated_words_over_tasks(spark, monkeypatch):
-    """Every word is wanted by many chunks, batches end within a word's rows, and what is held is sent often."""
-    monkeypatch.setattr(bpe, "HELD_WORDS", 7)
+def test_chunks_and_repeated_words_over_tasks(spark):
+    """Every word is wanted by many chunks, and batches end within a bucket's rows."""
     t = Tokenizer.from_file(bpe.default_vocabulary())
     texts = ["a b  c", "", None, "x\0 y z", "a <|endoftext|> b ", " lead", "\n\n q"] + [" ".join(f"w{j % 40}" for j in range(k)) for k in range(60)]
     docs = spark.createDataFrame([(None if k % 9 == 4 else -k, x) for k, x in enumerate(texts)], "doc_id long, text string").repartition(3)
-    split = spark.createDataFrame(bpe.split_texts(docs, ["<|endoftext|>"], 50).collect(), "chunk long, at long, word string, body binary")
+    split = spark.createDataFrame(bpe.split_texts(docs, ["<|endoftext|>"], 5, 50).collect(), "chunk long, kind int, at long, body binary")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     got = bpe.by_position(split, bpe.default_vocabulary(), lambda ids: [pa.array([i.tobytes() for i in ids], pa.binary())], "doc_id long, ids binary").collect()
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
