@@ -198,6 +198,7 @@ def bounded_slices(column: pa.Array, chars: int = BATCH_CHARS) -> Iterator[tuple
 SPLIT = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("at", pa.int64()), ("body", pa.binary())])
 WORDS, TEXTS = 0, 1
 _RAW = "<u4"
+_LEVEL = 6
 
 
 def pack(parts: list[np.ndarray]) -> bytes:
@@ -205,7 +206,7 @@ def pack(parts: list[np.ndarray]) -> bytes:
     flat = np.concatenate(parts) if parts else np.zeros(0)
     head = np.array([len(parts), *map(len, parts)], _RAW)
     planes = np.ascontiguousarray(np.concatenate([head, flat.astype(_RAW)]).view(np.uint8).reshape(-1, 4).T)
-    return len(head).to_bytes(4, "little") + planes.nbytes.to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    return len(head).to_bytes(4, "little") + planes.nbytes.to_bytes(8, "little") + pa.Codec("zstd", _LEVEL).compress(planes.tobytes(), asbytes=True)
 
 
 def unpack(body: bytes) -> list[np.ndarray]:
@@ -215,6 +216,18 @@ def unpack(body: bytes) -> list[np.ndarray]:
     return np.split(values[n:], np.cumsum(values[1:n])[:-1]) if n > 1 else []
 
 
+def code_new(numbers: np.ndarray, before: int) -> np.ndarray:
+    """Numbers given in the order of first use, of which `before` were given earlier: 0 for the next new one, else the number + 1, so that rare words cost little."""
+    highest = np.maximum.accumulate(np.concatenate([[before - 1], numbers.astype(np.int64)]))
+    return np.where(numbers > highest[:-1], 0, numbers.astype(np.int64) + 1)
+
+
+def number_new(codes: np.ndarray, before: int) -> np.ndarray:
+    """The inverse of code_new."""
+    new = codes == 0
+    return np.where(new, before + np.cumsum(new) - 1, codes.astype(np.int64) - 1)
+
+
 def buckets_of(words: pa.Array, buckets: int) -> np.ndarray:
     """A bucket for each word, the same in every process."""
     out = []
@@ -230,7 +243,7 @@ def pack_words(at: np.ndarray, words: pa.Array) -> bytes:
     data, offsets = textops.string_buffers(words)
     head = pack([at, np.diff(offsets)])
     text = data[offsets[0] : offsets[-1]].tobytes()
-    return len(head).to_bytes(8, "little") + head + len(text).to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+    return len(head).to_bytes(8, "little") + head + len(text).to_bytes(8, "little") + pa.Codec("zstd", _LEVEL).compress(text, asbytes=True)
 
 
 def unpack_words(body: bytes) -> tuple[np.ndarray, list[str]]:
@@ -267,7 +280,10 @@ def split_texts(docs: DataFrame, special: list[str], buckets: int, chars: int =
                 ids = batch.column(0).slice(at, len(texts)).cast(pa.int64())
                 known = np.frombuffer(np.array(ids.fill_null(0)).astype("<i8").tobytes(), _RAW)
                 null = np.flatnonzero(np.array(ids.is_null())).astype(_RAW)
-                yield row(TEXTS, slices, pack([known, null, *(np.fromiter(map(index.__getitem__, cut(t, pattern) if t else ()), _RAW) for t in texts)]))
+                before = len(index)
+                numbers = [np.fromiter(map(index.__getitem__, cut(t, pattern) if t else ()), _RAW) for t in texts]
+                codes = np.split(code_new(np.concatenate(numbers), before), np.cumsum([len(x) for x in numbers])[:-1])
+                yield row(TEXTS, slices, pack([known, null, np.array([before]), *codes]))
                 size, slices = size + sum(map(len, filter(None, texts))), slices + 1
                 if size >= chars:
                     yield from dictionary()
@@ -331,7 +347,8 @@ def by_position(split: DataFrame, path: str, finish: Callable[[list[np.ndarray]]
                     first, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
                     first[place], size[place] = begin, length
                     places, lengths, values = [], [], []
-                known, null, *texts = unpack(body)
+                known, null, before, *codes = unpack(body)
+                texts = np.split(number_new(np.concatenate(codes), int(before[0])), np.cumsum([len(x) for x in codes])[:-1])
                 doc_ids = np.frombuffer(known.tobytes(), "<i8")
                 mask = np.zeros(len(doc_ids), bool)
                 mask[null] = True

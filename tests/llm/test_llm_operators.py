@@ -473,6 +473,10 @@ def test_chunks_and_repeated_words_over_tasks(spark):
 
 
 def test_pack():
+    numbers = np.array([0, 0, 1, 2, 1, 3, 0, 4], "<u4")
+    assert bpe.code_new(numbers, 0).tolist() == [0, 1, 0, 0, 2, 0, 1, 0]
+    for before in (0, 2, 5):
+        assert bpe.number_new(bpe.code_new(numbers, before), before).tolist() == numbers.tolist()
     parts = [np.array(x, "<u4") for x in ([], [1, 2**32 - 1], [], [7])]
     assert [x.tolist() for x in bpe.unpack(bpe.pack(parts))] == [x.tolist() for x in parts] and bpe.unpack(bpe.pack([])) == []
 
