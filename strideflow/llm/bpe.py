@@ -31,7 +31,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,19 +238,19 @@ def buckets_of(words: pa.Array, buckets: int) -> np.ndarray:
 
 
 def pack_words(at: np.ndarray, words: pa.Array) -> bytes:
-    """Words and their numbers in one compressed string."""
+    """Words and their ascending numbers in one compressed string."""
     data, offsets = textops.string_buffers(words)
-    head = pack([at, np.diff(offsets)])
+    head = pack([np.diff(at.astype(np.int64), prepend=0), np.diff(offsets)])
     text = data[offsets[0] : offsets[-1]].tobytes()
     return len(head).to_bytes(8, "little") + head + len(text).to_bytes(8, "little") + pa.Codec("zstd", _LEVEL).compress(text, asbytes=True)
 
 
 def unpack_words(body: bytes) -> tuple[np.ndarray, list[str]]:
     stop = 8 + int.from_bytes(body[:8], "little")
-    at, lengths = unpack(body[8:stop])
+    steps, lengths = unpack(body[8:stop])
     text = pa.decompress(body[stop + 8 :], int.from_bytes(body[stop : stop + 8], "little"), "zstd")
     offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int64())
-    return at, pa.LargeStringArray.from_buffers(len(at), offsets.buffers()[1], text).to_pylist()
+    return np.cumsum(steps, dtype=np.int64), pa.LargeStringArray.from_buffers(len(steps), offsets.buffers()[1], text).to_pylist()
 
 
 def split_texts(docs: DataFrame, special: list[str], buckets: int, chars: int = CHUNK_CHARS) -> DataFrame:
@@ -268,9 +267,9 @@ def split_texts(docs: DataFrame, special: list[str], buckets: int, chars: int =
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             words = pa.array(list(index), pa.large_string())
-            own = pa.table({"bucket": buckets_of(words, buckets), "word": words})
-            order = pc.sort_indices(own, sort_keys=[("bucket", "ascending"), ("word", "ascending")])
-            place, words, bucket = order.to_numpy().astype(np.int64), words.take(order), own["bucket"].to_numpy()[order.to_numpy()]
+            bucket = buckets_of(words, buckets)
+            place = np.argsort(bucket, kind="stable")  # numbers ascend within a bucket, so their steps are short
+            words, bucket = words.take(pa.array(place)), bucket[place]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 yield row(WORDS, int(bucket[s]), pack_words(place[s:e], words.slice(s, e - s)))
@@ -305,7 +304,7 @@ def encode_distinct(dictionaries: DataFrame, path: str) -> DataFrame:
             ids = dict(zip(found, table.encode_pieces(found), strict=True))
             for chunk, at, words in held:
                 own = [ids[w] for w in words]
-                body = pack([at, np.fromiter(map(len, own), np.int64, len(own)) // 4, np.frombuffer(b"".join(own), _RAW)])
+                body = pack([np.diff(at.astype(np.int64), prepend=0), np.fromiter(map(len, own), np.int64, len(own)) // 4, np.frombuffer(b"".join(own), _RAW)])
                 yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": WORDS, "at": last, "body": body}], schema=SPLIT)
             held.clear()
 
@@ -336,8 +335,8 @@ def by_position(split: DataFrame, path: str, finish: Callable[[list[np.ndarray]]
                 if chunk != last:
                     last, places, lengths, values, flat = chunk, [], [], [], None
                 if kind == WORDS:
-                    at, length, ids = unpack(body)
-                    places.append(at)
+                    steps, length, ids = unpack(body)
+                    places.append(np.cumsum(steps, dtype=np.int64))
                     lengths.append(length.astype(np.int64))
                     values.append(ids)
                     continue
