@@ -198,6 +198,29 @@ SPLIT = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("at", pa.int64(
 WORDS, TEXTS = 0, 1
 _RAW = "<u4"
 _LEVEL = 6
+_NEAR = 128  # codes below it take one byte
+
+
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", _LEVEL).compress(raw, asbytes=True)
+
+
+def expand(body: bytes) -> bytes:
+    return pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True)
+
+
+def framed(*parts: bytes) -> bytes:
+    """Strings in one, each after its length."""
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def unframed(body: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(body):
+        size = int.from_bytes(body[at : at + 8], "little")
+        out.append(body[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
 
 
 def pack(parts: list[np.ndarray]) -> bytes:
@@ -205,12 +228,12 @@ def pack(parts: list[np.ndarray]) -> bytes:
     flat = np.concatenate(parts) if parts else np.zeros(0)
     head = np.array([len(parts), *map(len, parts)], _RAW)
     planes = np.ascontiguousarray(np.concatenate([head, flat.astype(_RAW)]).view(np.uint8).reshape(-1, 4).T)
-    return len(head).to_bytes(4, "little") + planes.nbytes.to_bytes(8, "little") + pa.Codec("zstd", _LEVEL).compress(planes.tobytes(), asbytes=True)
+    return len(head).to_bytes(4, "little") + squeeze(planes.tobytes())
 
 
 def unpack(body: bytes) -> list[np.ndarray]:
-    n, size = int.from_bytes(body[:4], "little"), int.from_bytes(body[4:12], "little")
-    planes = np.frombuffer(pa.decompress(body[12:], size, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+    n = int.from_bytes(body[:4], "little")
+    planes = np.frombuffer(expand(body[4:]), np.uint8).reshape(4, -1)
     values = np.ascontiguousarray(planes.T).view(_RAW).ravel()
     return np.split(values[n:], np.cumsum(values[1:n])[:-1]) if n > 1 else []
 
@@ -237,24 +260,54 @@ def buckets_of(words: pa.Array, buckets: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
-def pack_words(at: np.ndarray, words: pa.Array) -> bytes:
-    """Words and their ascending numbers in one compressed string."""
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Codes in one compressed string. A small code is one byte; a greater one has a byte of its own range, so that its two bytes share what they tell, and a lower byte apart."""
+    far = codes >= _NEAR
+    high, head = (codes[far] - _NEAR) >> 8, codes.copy()
+    head[far] = _NEAR + np.minimum(high, 255 - _NEAR)
+    tail = (codes[far] - _NEAR) & 255
+    return framed(squeeze(head.astype(np.uint8).tobytes()), squeeze(tail.astype(np.uint8).tobytes()), pack([high[high >= 255 - _NEAR]]))
+
+
+def unpack_codes(body: bytes) -> np.ndarray:
+    head, tail, beyond = unframed(body)
+    codes = np.frombuffer(expand(head), np.uint8).astype(np.int64)
+    far = codes >= _NEAR
+    high = codes[far] - _NEAR
+    high[high == 255 - _NEAR] = unpack(beyond)[0]
+    codes[far] = _NEAR + (high << 8) + np.frombuffer(expand(tail), np.uint8)
+    return codes
+
+
+def pack_ids(ids: list[bytes]) -> bytes:
+    """The ids of many words in one compressed string, two bytes to an id where all fit."""
+    flat = np.frombuffer(b"".join(ids), _RAW)
+    width = 2 if not len(flat) or flat.max() < 1 << 16 else 4
+    return framed(pack([np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.array([width])]), squeeze(flat.astype(f"<u{width}").tobytes()))
+
+
+def unpack_ids(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The number of ids of each word, and all ids."""
+    head, flat = unframed(body)
+    lengths, width = unpack(head)
+    return lengths.astype(np.int64), np.frombuffer(expand(flat), f"<u{width[0]}").astype(_RAW)
+
+
+def pack_words(words: pa.Array) -> bytes:
     data, offsets = textops.string_buffers(words)
-    head = pack([np.diff(at.astype(np.int64), prepend=0), np.diff(offsets)])
-    text = data[offsets[0] : offsets[-1]].tobytes()
-    return len(head).to_bytes(8, "little") + head + len(text).to_bytes(8, "little") + pa.Codec("zstd", _LEVEL).compress(text, asbytes=True)
+    return framed(pack([np.diff(offsets)]), squeeze(data[offsets[0] : offsets[-1]].tobytes()))
 
 
-def unpack_words(body: bytes) -> tuple[np.ndarray, list[str]]:
-    stop = 8 + int.from_bytes(body[:8], "little")
-    steps, lengths = unpack(body[8:stop])
-    text = pa.decompress(body[stop + 8 :], int.from_bytes(body[stop : stop + 8], "little"), "zstd")
+def unpack_words(body: bytes) -> list[str]:
+    head, text = unframed(body)
+    lengths = unpack(head)[0].astype(np.int64)
     offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int64())
-    return np.cumsum(steps, dtype=np.int64), pa.LargeStringArray.from_buffers(len(steps), offsets.buffers()[1], text).to_pylist()
+    return pa.LargeStringArray.from_buffers(len(lengths), offsets.buffers()[1], pa.py_buffer(expand(text))).to_pylist()
 
 
 def split_texts(docs: DataFrame, special: list[str], buckets: int, chars: int = CHUNK_CHARS) -> DataFrame:
-    """(chunk, kind, at, body): of kind WORDS a bucket (at) of the chunk's dictionary, of kind TEXTS a slice of its texts: their doc_id and the numbers of their words."""
+    """(chunk, kind, at, body): of kind WORDS a bucket (at) of the chunk's dictionary; of kind TEXTS a slice of its texts (their doc_id and the numbers of
+    their words) and, at -1, the bucket of each number. Words of one bucket stand in the order of their numbers, so no number is written beside a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -268,11 +321,12 @@ def split_texts(docs: DataFrame, special: list[str], buckets: int, chars: int =
         def dictionary() -> Iterator[pa.RecordBatch]:
             words = pa.array(list(index), pa.large_string())
             bucket = buckets_of(words, buckets)
-            place = np.argsort(bucket, kind="stable")  # numbers ascend within a bucket, so their steps are short
+            yield row(TEXTS, -1, pack([bucket]))
+            place = np.argsort(bucket, kind="stable")
             words, bucket = words.take(pa.array(place)), bucket[place]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
             for s, e in zip(edges[:-1], edges[1:], strict=True):
-                yield row(WORDS, int(bucket[s]), pack_words(place[s:e], words.slice(s, e - s)))
+                yield row(WORDS, int(bucket[s]), pack_words(words.slice(s, e - s)))
 
         for batch in batches:
             for at, texts in bounded_slices(batch.column(1), min(SLICE_CHARS, chars)):
@@ -281,8 +335,8 @@ def split_texts(docs: DataFrame, special: list[str], buckets: int, chars: int =
                 null = np.flatnonzero(np.array(ids.is_null())).astype(_RAW)
                 before = len(index)
                 numbers = [np.fromiter(map(index.__getitem__, cut(t, pattern) if t else ()), _RAW) for t in texts]
-                codes = np.split(code_new(np.concatenate(numbers), before), np.cumsum([len(x) for x in numbers])[:-1])
-                yield row(TEXTS, slices, pack([known, null, np.array([before]), *codes]))
+                head = pack([known, null, np.array([before]), np.array([len(x) for x in numbers])])
+                yield row(TEXTS, slices, framed(head, pack_codes(code_new(np.concatenate(numbers), before))))
                 size, slices = size + sum(map(len, filter(None, texts))), slices + 1
                 if size >= chars:
                     yield from dictionary()
@@ -300,12 +354,10 @@ def encode_distinct(dictionaries: DataFrame, path: str) -> DataFrame:
         table, last, held = word_table(path), None, []
 
         def send() -> Iterator[pa.RecordBatch]:
-            found = list(dict.fromkeys(w for _, _, words in held for w in words))
+            found = list(dict.fromkeys(w for _, words in held for w in words))
             ids = dict(zip(found, table.encode_pieces(found), strict=True))
-            for chunk, at, words in held:
-                own = [ids[w] for w in words]
-                body = pack([np.diff(at.astype(np.int64), prepend=0), np.fromiter(map(len, own), np.int64, len(own)) // 4, np.frombuffer(b"".join(own), _RAW)])
-                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": WORDS, "at": last, "body": body}], schema=SPLIT)
+            for chunk, words in held:
+                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": WORDS, "at": last, "body": pack_ids([ids[w] for w in words])}], schema=SPLIT)
             held.clear()
 
         for batch in batches:
@@ -313,7 +365,7 @@ def encode_distinct(dictionaries: DataFrame, path: str) -> DataFrame:
                 if r["at"] != last:
                     yield from send()
                     last = r["at"]
-                held.append((r["chunk"], *unpack_words(r["body"])))
+                held.append((r["chunk"], unpack_words(r["body"])))
         yield from send()
 
     dealt = dictionaries.repartition(shuffle_partitions(dictionaries.sparkSession), "at").sortWithinPartitions("at", "chunk")
@@ -328,26 +380,28 @@ def by_position(split: DataFrame, path: str, finish: Callable[[list[np.ndarray]]
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, places, lengths, values, flat, first = None, [], [], [], None, None
+        last, lengths, values, flat, first, size = None, [], [], None, None, None
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, kind, body = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(3)[k].as_py()
                 if chunk != last:
-                    last, places, lengths, values, flat = chunk, [], [], [], None
+                    last, lengths, values, flat = chunk, [], [], None
                 if kind == WORDS:
-                    steps, length, ids = unpack(body)
-                    places.append(np.cumsum(steps, dtype=np.int64))
-                    lengths.append(length.astype(np.int64))
+                    length, ids = unpack_ids(body)
+                    lengths.append(length)
                     values.append(ids)
                     continue
-                if flat is None and places:
-                    place, length, flat = np.concatenate(places), np.concatenate(lengths), np.concatenate(values)
-                    begin = np.cumsum(length) - length
-                    first, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-                    first[place], size[place] = begin, length
-                    places, lengths, values = [], [], []
-                known, null, before, *codes = unpack(body)
-                texts = np.split(number_new(np.concatenate(codes), int(before[0])), np.cumsum([len(x) for x in codes])[:-1])
+                if batch.column(2)[k].as_py() < 0:  # ids stand by bucket and number, as the buckets' words did
+                    place = np.argsort(unpack(body)[0], kind="stable")
+                    if len(place):
+                        length, flat = np.concatenate(lengths), np.concatenate(values)
+                        first, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+                        first[place], size[place] = np.cumsum(length) - length, length
+                    lengths, values = [], []
+                    continue
+                head, codes = unframed(body)
+                known, null, before, counts = unpack(head)
+                texts = np.split(number_new(unpack_codes(codes), int(before[0])), np.cumsum(counts.astype(np.int64))[:-1])
                 doc_ids = np.frombuffer(known.tobytes(), "<i8")
                 mask = np.zeros(len(doc_ids), bool)
                 mask[null] = True

@@ -479,6 +479,13 @@ def test_pack():
         assert bpe.number_new(bpe.code_new(numbers, before), before).tolist() == numbers.tolist()
     parts = [np.array(x, "<u4") for x in ([], [1, 2**32 - 1], [], [7])]
     assert [x.tolist() for x in bpe.unpack(bpe.pack(parts))] == [x.tolist() for x in parts] and bpe.unpack(bpe.pack([])) == []
+    for codes in ([], [0], [127, 128, 255, 256, 32639, 32640, 394_000, 2**31 - 1, 0]):
+        assert bpe.unpack_codes(bpe.pack_codes(np.array(codes, np.int64))).tolist() == codes
+    for words in ([], ["a", "", " \u00df"]):
+        assert bpe.unpack_words(bpe.pack_words(pa.array(words, pa.large_string()))) == words
+    for ids in ([], [b""], [b"\1\0\0\0", b""], [b"\1\0\1\0\2\0\0\0", b"\0\0\0\0"]):
+        lengths, flat = bpe.unpack_ids(bpe.pack_ids(ids))
+        assert (lengths * 4).tolist() == list(map(len, ids)) and flat.tobytes() == b"".join(ids)
 
 
 def test_files_hold_all_ids(spark, data):
