@@ -152,15 +152,19 @@ def shaped(values: list, *shape: int, reason: str = "source_shape") -> np.ndarra
 def prepare_pairs(pairs: DataFrame, limits: list[tuple[float, float]], feet_of: Callable) -> DataFrame:
     """pairs: sample_id, human (flat), human_fps, root, rotation (x, y, z, w), dof, robot_fps; see SCHEMA for the result.
 
-    Optional columns bodies (flat) and body_names (array<string>) give tracks of robot bodies, of which the ankles are used.
+    Optional columns bodies (flat) and body_names (array<string>) give tracks of robot bodies, of which the ankles are used;
+    a row with an optional reason was rejected before and keeps it.
     """
     table = np.array(limits, float)
-    columns = ["sample_id", "human", "human_fps", "root", "rotation", "dof", "robot_fps", *(c for c in ("bodies", "body_names") if c in pairs.columns)]
+    columns = ["sample_id", "human", "human_fps", "root", "rotation", "dof", "robot_fps", *(c for c in ("bodies", "body_names", "reason") if c in pairs.columns)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
+                if getattr(r, "reason", None):
+                    rows.append((r.sample_id, r.reason, None, 0, None, None, None, None, None))
+                    continue
                 try:
                     names = getattr(r, "body_names", None)
                     names = None if names is None else list(names)

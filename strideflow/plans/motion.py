@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideflow import constants as C
-from strideflow.operators import codebook, corpus, frames, joins, metrics, quality, splits, timeline
+from strideflow.operators import codebook, containers, corpus, frames, joins, metrics, quality, splits, timeline
 from strideflow.sources.tables import event_frames
 
 FPS, HOURLY = 20.0, 1.0 / 3600
@@ -286,6 +286,23 @@ def human_contact_count(spark, d):
     return f.groupBy("sample_id").agg(F.count_if(quality.human_contact(F.col("disp") * F.col("disp"), 100.0)).alias("contacts"))
 
 
+@query("""+ x AS (SELECT n.sample_id, n, CASE WHEN n.sample_id % 4 = 3 THEN 'source_dataset' WHEN n.sample_id % 5 = 0 THEN 'source_locator' WHEN n < 10 THEN 'source_frame_range' END AS reason FROM n)
+    SELECT x.sample_id, reason, (CASE WHEN reason IS NULL THEN 8 END)::BIGINT AS frames,
+        round(CASE WHEN reason IS NULL THEN sum(value) FILTER (t >= 2 AND t < 10) * 3 END, 4) AS total FROM x JOIN f ON f.sample_id = x.sample_id GROUP BY 1, 2""")
+def source_pairs(spark, d):
+    """Records of two sources over one row container, which lacks every fifth sequence."""
+    s = frames.sequence_arrays(event_frames(spark, d), "value")
+    each = lambda k: F.flatten(F.transform("values", lambda v: F.array_repeat(v.cast("double"), k)))
+    dof = F.flatten(F.transform("values", lambda v: F.array(v.cast("double"), v.cast("double") * 2)))
+    arrays = F.create_map(*[c for k, a in (("joints", each(66)), ("root_pos", each(3)), ("root_rot", each(4)), ("dof_pos", dof)) for c in (F.lit(k), a)])
+    rows = s.where("sample_id % 5 <> 0").select(F.lit("rows").alias("path"), F.col("sample_id").cast("string").alias("locator"), F.lit(0).cast("long").alias("row"), arrays.alias("arrays"), F.create_map().cast("map<string,array<string>>").alias("names"))
+    ref = F.struct(F.lit("rows").alias("path"), F.col("sample_id").cast("string").alias("locator"), F.lit(20.0).alias("fps"), F.lit(2).alias("frame_start"), F.lit(10).alias("frame_end"))
+    source = F.when(F.col("sample_id") % 4 == 3, "other").otherwise("Inter-X").alias("source_dataset")
+    out = containers.load_pairs(s.select("sample_id", source, ref.alias("human"), ref.alias("g1")), rows, ("first", "second"))
+    total = F.aggregate("dof", F.lit(0.0), lambda a, x: a + x)
+    return out.select("sample_id", "reason", (F.size("dof") / 2).cast("long").alias("frames"), F.round(total, 4).alias("total"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Frames, causal speed, contacts, gates, hash split and a summary of each split: the pipeline in one query."""
     f = event_frames(spark, d)
