@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideflow import constants as C
-from strideflow.operators import codebook, containers, corpus, frames, joins, metrics, quality, splits, timeline
+from strideflow.operators import codebook, containers, contracts, corpus, frames, joins, metrics, quality, splits, timeline
 from strideflow.sources.tables import event_frames
 
 FPS, HOURLY = 20.0, 1.0 / 3600
@@ -303,6 +303,30 @@ def source_pairs(spark, d):
     return out.select("sample_id", "reason", (F.size("dof") / 2).cast("long").alias("frames"), F.round(total, 4).alias("total"))
 
 
+@query("""+ g AS (SELECT sample_id, s <= lag(s) OVER (PARTITION BY sample_id ORDER BY t) AS falls FROM f), o AS (SELECT sample_id, bool_or(coalesce(falls, false)) AS falls FROM g GROUP BY 1)
+    SELECT n.sample_id, CASE WHEN n % 2 <> 0 THEN 'width' WHEN n % 4 <> 0 THEN 'alignment' END AS sequence, CASE WHEN n < 2 THEN 'length' WHEN falls THEN 'order' END AS timeline,
+        CASE WHEN n - 8 <= 0 THEN 'dimension' WHEN n % 4 <> 0 THEN 'alignment' END AS windows FROM n JOIN o ON o.sample_id = n.sample_id""")
+def sequence_contracts(spark, d):
+    rows = F.sort_array(F.collect_list(F.struct("t", "value", "s")))
+    s = event_frames(spark, d).groupBy("sample_id").agg(rows.alias("rows"))
+    n, mask = F.size("rows"), F.transform("rows.t", lambda t: t > -1)
+    half = F.transform(F.sequence(F.lit(1), F.ceil(F.size(mask) / 2)), lambda k: k > 0)
+    return s.select(
+        "sample_id", contracts.sequence_reason(F.col("rows.value"), 2, half, 2).alias("sequence"), contracts.timeline_reason(F.col("rows.s"), 2).alias("timeline"), contracts.window_reason(n, n - 8).alias("windows")
+    )
+
+
+@query("""+ q AS (SELECT sample_id, n, ceil(n / 4.0)::BIGINT + CASE WHEN sample_id % 7 = 0 THEN 1 ELSE 0 END AS tokens, ceil(n / 4.0)::BIGINT AS held FROM n),
+    o AS (SELECT sample_id, count_if((sample_id * 31 + k) % 260 > 255) AS outside FROM (SELECT DISTINCT sample_id, t // 4 AS k FROM f) GROUP BY 1)
+    SELECT q.sample_id AS sequence_id, CASE WHEN tokens <> held THEN 'tokens' WHEN outside > 0 THEN 'token_range' END AS problem FROM q JOIN o ON o.sample_id = q.sample_id WHERE tokens <> held OR outside > 0""")
+def cache_contract(spark, d):
+    f = event_frames(spark, d)
+    tokens = frames.token_groups(f).select(F.col("sample_id").alias("sequence_id"), "k", ((F.col("sample_id") * 31 + F.col("k")) % 260).alias("token_id"))
+    count = F.ceil(F.col("n") / 4) + F.when(F.col("sample_id") % 7 == 0, 1).otherwise(0)
+    stated = lengths(f).select(F.col("sample_id").alias("sequence_id"), F.col("n").alias("frames"), count.alias("tokens"), (F.ceil(F.col("n") / 4) * 4 - F.col("n")).alias("padding"))
+    return contracts.cache_problems(stated, tokens)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Frames, causal speed, contacts, gates, hash split and a summary of each split: the pipeline in one query."""
     f = event_frames(spark, d)
