@@ -51,13 +51,17 @@ def sequence_arrays(frames: DataFrame, value: str, sample: str = "sample_id", t:
     return frames.groupBy(sample).agg(F.transform(collected, lambda r: r[value]).alias("values")).withColumn("n", F.size("values"))
 
 
-def windowed(sequences: DataFrame, size: int, stride: int) -> DataFrame:
-    """(…, start, frames, frame_mask): windows sliced out of `values`; the last frame is repeated where the sample has ended."""
+def windowed(sequences: DataFrame, size: int, stride: int, mask: str | None = None) -> DataFrame:
+    """(…, start, frames, frame_mask): windows sliced out of `values`; the last frame is repeated where the sample has ended.
+
+    A frame is valid if it is in the sample and, where the sample has a mask, set there.
+    """
     slots = F.sequence(F.lit(0), F.lit(size - 1))
+    valid = lambda k: F.coalesce(F.get(mask, F.col("start") + k), F.lit(False)) if mask else F.lit(True)
     return (
         window_starts(sequences, size, stride)
         .withColumn("frames", F.transform(slots, lambda k: F.get("values", F.least(F.col("start") + k, F.col("n") - 1))))
-        .withColumn("frame_mask", F.transform(slots, lambda k: F.col("start") + k < F.col("n")))
+        .withColumn("frame_mask", F.transform(slots, lambda k: (F.col("start") + k < F.col("n")) & valid(k)))
     )
 
 

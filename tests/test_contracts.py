@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from strideflow.operators import contracts as K
+from strideflow.operators.frames import windowed
 
 
 def reasons(spark, reason, schema, *rows):
@@ -53,3 +54,11 @@ def test_choice(spark):
     assert sorted(got) == sorted(tuple(r) for r in K.bounded_choice(rows.repartition(5), "stratum", "k", "seconds", 1.0, 3.0, 4, 7).collect())
     with pytest.raises(PySparkException, match="too few rows"):
         K.bounded_choice(rows, "stratum", "k", "seconds", 1.0, 1.2, 4, 7).collect()
+
+
+def test_windows_keep_a_mask(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0, 3.0, 4.0, 5.0], 5, [True, False, True, True, None]), ("b", [1.0], 1, None)], "id string, values array<double>, n int, own array<boolean>")
+    got = {(r.id, r.start): r.frame_mask for r in windowed(rows, 4, 4, "own").collect()}
+    assert got == {("a", 0): [True, False, True, True], ("a", 4): [False] * 4, ("b", 0): [False] * 4}
+    plain = {(r.id, r.start): r.frame_mask for r in windowed(rows, 4, 4).collect()}
+    assert plain == {("a", 0): [True] * 4, ("a", 4): [True, False, False, False], ("b", 0): [True, False, False, False]}
