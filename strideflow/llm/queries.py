@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideflow.llm import bpe, chat, decontaminate, eliasfano, forest, html, jaccard, knn, langid, lm
+from strideflow.llm import bpe, chat, decontaminate, eliasfano, forest, html, jaccard, knn, langid, lm, merkle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_lm_score": op2_lm_score,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_language_id": op10_language_id,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +92,41 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(text_chars + CASE WHEN merged THEN 6 ELSE 9 + role_chars + 8 + 5 END)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE fields AS (
+            SELECT doc_id, source, list_transform(range(2), lambda k: sha256(array_to_string(list_transform(
+                    [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, CASE WHEN k = 1 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END],
+                    lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END), ''))) AS made,
+                list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+                    lambda c, b: list_reduce([xor(c, b)] || range(8), lambda d, k: CASE WHEN d % 2 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)) AS crc
+            FROM documents),
+        leaves AS (
+            SELECT doc_id, source, made[1] AS leaf, CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN made[2] ELSE made[1] END AS folded,
+                row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, made[1]) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+            FROM fields),
+        nodes AS (
+            SELECT source, 0 AS level, idx, leaf AS digest, n FROM leaves
+            UNION ALL
+            SELECT source, level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 15) // 16 FROM nodes WHERE n > 1 GROUP BY source, level, idx // 16),
+        members AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        over_them AS (
+            SELECT 0 AS level, idx, subroot AS digest, n FROM members
+            UNION ALL
+            SELECT level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 15) // 16 FROM over_them WHERE n > 1 GROUP BY level, idx // 16),
+        runs AS (SELECT source, level, idx // 16 AS parent, list(digest ORDER BY idx) AS run FROM nodes WHERE n > 1 GROUP BY ALL),
+        over_runs AS (SELECT level, idx // 16 AS parent, list(digest ORDER BY idx) AS run FROM over_them WHERE n > 1 GROUP BY ALL),
+        steps AS (
+            SELECT l.source, l.idx, r.level, r.run, (l.idx >> (4 * r.level)) % 16 AS place
+            FROM leaves l JOIN runs r ON l.source IS NOT DISTINCT FROM r.source AND r.parent = l.idx >> (4 * (r.level + 1))
+            UNION ALL
+            SELECT l.source, l.idx, 100 + r.level, r.run, (m.idx >> (4 * r.level)) % 16
+            FROM leaves l JOIN members m ON l.source IS NOT DISTINCT FROM m.source JOIN over_runs r ON r.parent = m.idx >> (4 * (r.level + 1))),
+        ways AS (
+            SELECT source, idx, list([array_to_string(run[:place], ''), array_to_string(run[place + 2:], '')] ORDER BY level) AS way
+            FROM steps GROUP BY source, idx)
+        SELECT l.doc_id, l.leaf, m.subroot, t.digest AS root, sha256(array_to_string(flatten(coalesce(w.way, [])), '')) AS proof_sha256,
+            list_reduce([[l.folded]] || coalesce(w.way, []), lambda d, s: [sha256(s[1] || d[1] || s[2])])[1] AS folded_root,
+            list_reduce([[l.folded]] || coalesce(w.way, []), lambda d, s: [sha256(s[1] || d[1] || s[2])])[1] = t.digest AS verified
+        FROM leaves l JOIN members m ON l.source IS NOT DISTINCT FROM m.source CROSS JOIN (SELECT digest FROM over_them WHERE n = 1) t
+        LEFT JOIN ways w ON l.source IS NOT DISTINCT FROM w.source AND l.idx = w.idx""",
 }
