@@ -58,12 +58,12 @@ def overlap(n: np.ndarray | int) -> np.ndarray | int:
     return (PERCENT * n + 99) // 100
 
 
-def shingles(w: textops.Words) -> tuple[np.ndarray, np.ndarray]:
+def shingles(w: textops.Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Token and text of each shingle of a chunk, repeated ones included."""
     hashes = w.hashes()
-    value, at = textops.windows(w, hashes, SHINGLE)
+    value, at = textops.windows(w, hashes, size)
     count = np.diff(w.first)
-    short = np.flatnonzero((count > 0) & (count < SHINGLE))
+    short = np.flatnonzero((count > 0) & (count < size))
     if not len(short):
         return value, w.doc[at]
     alone = np.array([textops.sequence_hash(hashes[w.first[k] : w.first[k + 1]]) for k in short], np.uint64)
@@ -281,8 +281,8 @@ def possible(pairs: DataFrame, sketches: DataFrame, column: str) -> DataFrame:
     return both.where(~comparable | (differ * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT))).select("a", "b").distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b), distinct and with a < b, whose sets link."""
+def verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The pairs (a, b), distinct and with a < b, whose sets of shingles of `size` words link."""
     pairs = materialise(possible(pairs, sketches, "parity"), "possible")
     large = sketches.where(F.size("wide") > 0)
     wide = pairs.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi").join(large.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
@@ -297,7 +297,7 @@ def verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
             place = (textops.mix(np.asarray(ids).astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
             batch = batch.filter(pa.array(bit(wanted, place)))
             for rows, w in textops.chunks(batch.column(1)):
-                value, doc = shingles(w)
+                value, doc = shingles(w, size)
                 bounds = np.searchsorted(doc, np.arange(rows.stop - rows.start + 1))
                 sets = [np.unique(value[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 offsets = np.cumsum([0, *map(len, sets)])

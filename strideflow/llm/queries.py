@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideflow.llm import bpe, chat, decontaminate, eliasfano, forest, html, jaccard, knn, langid, lm, merkle
+from strideflow.llm import bpe, chat, decontaminate, eliasfano, forest, html, jaccard, knn, langid, lm, merkle, minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link_components(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
@@ -73,10 +77,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_language_id": op10_language_id,
+    "op12_minhash_dedup": op12_minhash_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+
+def near_copies_sql(words: int, more: str = "") -> str:
+    """All pairs of documents that share a shingle of `words` words, those that link, and the smallest doc_id that each reaches."""
+    return rf"""
+        WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) BETWEEN 1 AND {words - 1} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda k: array_to_string(w[k:k + {words - 1}], ' '))) END AS s FROM texts),
+        sizes AS (SELECT doc_id, coalesce(len(s), 0) AS n FROM sets),
+        tokens AS (SELECT doc_id, unnest(s) AS t FROM sets),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+            JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 180 * count(*) >= 80 * (x.n + y.n)),
+        reach AS (SELECT doc_id, doc_id AS r FROM sizes UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a)
+        SELECT s.doc_id, s.n AS n_shingles, min(r.r) AS component_id{more} FROM sizes s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.n"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_jaccard": near_copies_sql(5),
+    "op12_minhash_dedup": near_copies_sql(2, ", s.doc_id = min(r.r) AS kept"),
     "op1_chat_format": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
