@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideflow.llm import bpe, chat, decontaminate, eliasfano, forest, html, jaccard, knn, langid, lm, merkle, minhash
+from strideflow.llm import bpe, chat, decontaminate, eliasfano, forest, html, jaccard, knn, langid, lm, merkle, minhash, negatives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link_components(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_minhash_dedup": op12_minhash_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -99,6 +104,18 @@ def near_copies_sql(words: int, more: str = "") -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard": near_copies_sql(5),
+    "op11_hard_negatives": """
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+            SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS (SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+        SELECT p.anchor AS anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other)::INT AS rank,
+            n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scores n ON p.anchor = n.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+        QUALIFY rank <= 5""",
     "op12_minhash_dedup": near_copies_sql(2, ", s.doc_id = min(r.r) AS kept"),
     "op1_chat_format": r"""
         WITH t AS (
