@@ -9,8 +9,8 @@ with 7e-10, which is the chance that a link is not found (0.8 is the worst case:
 
 Documents with equal sets are one unit from the start, by a 128-bit hash of the set, so copies cost no pairs. The units of a band's key are
 not paired with each other. In each of `TURNS` turns a key's units are verified against one of them, drawn by a hash that is the same for all
-keys, so that the bands of a group of copies give the same pairs; the links give components. Keys whose units are then all in one component are done, and in the
-next turn the others have another unit to be verified against, of a component of its own. What is left after the turns is paired, units of different
+keys, so that the bands of a group of copies give the same pairs; the links give components. Keys whose units are then all in one component are done; in the
+others, those outside the component that has most units there are verified against another unit of that one in the next turn. What is left after the turns is paired, units of different
 components only, after parity sketches have bounded their symmetric difference. Every candidate is confirmed on full sets; each text
 is read whole. A hot key's minimum is pre-aggregated, and its join can be split by adaptive execution.
 
@@ -106,10 +106,17 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 def stars(postings: DataFrame, turn: int) -> DataFrame:
-    """(key, pivot, doc, pivot_n, n): for keys with more than one label, its units and one of them, drawn by a hash of its label."""
-    drawn = F.min(F.struct(F.xxhash64("label", F.lit(turn)).alias("draw"), F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label")))
-    pivots = postings.groupBy("key").agg(drawn.alias("p"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    joined = postings.join(pivots.select("key", "p.pivot", "p.pivot_n", "p.pivot_label"), "key")
+    """(key, pivot, doc, pivot_n, n, label, pivot_label): for keys with more than one label, its units and one of them, drawn by a hash.
+
+    In the first turn every unit is its own label, and the draw is among all. Later it is among the units of the key's most frequent label.
+    """
+    drawn = F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))).alias("p")
+    if turn:
+        labels = postings.groupBy("key", "label").agg(F.count("*").alias("c"), drawn)
+        pivots = labels.groupBy("key").agg(F.max(F.struct("c", "p"))["p"].alias("p"), F.count("*").alias("labels"))
+    else:
+        pivots = postings.groupBy("key").agg(drawn, F.count("*").alias("labels"))
+    joined = postings.join(pivots.where("labels > 1").select("key", "p.pivot", "p.pivot_n", "p.pivot_label"), "key")
     return joined.select("key", "pivot", "doc", "pivot_n", "n", "label", "pivot_label")
 
 
@@ -118,13 +125,17 @@ def relabelled(postings: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def crossing(postings: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of units of different labels that share a key and that their sizes and parity sketches allow to link; both are tested before a pair is emitted."""
+    """Pairs (a, b) of units of different labels that share a key and that their sizes and parity sketches allow to link.
+
+    All is tested before a pair is emitted, and of the keys that a pair shares only the first emits it.
+    """
     several = postings.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    units = materialise(postings.join(several, "key", "left_semi").join(sketches.select(F.col("doc_id").alias("doc"), "n", "parity"), ["doc", "n"]), "open-units")
+    units = materialise(postings.join(several, "key", "left_semi").join(sketches.select(F.col("doc_id").alias("doc"), "n", "parity", "keys"), ["doc", "n"]), "open-units")
+    shared = F.filter(F.zip_with("x.keys", "y.keys", lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull())
     apart = sum((F.bit_count(F.col("x.parity")[k].bitwiseXOR(F.col("y.parity")[k])) for k in range(jaccard.PARITY // 64)), F.lit(0))
     may = jaccard._compatible("x.n", "y.n") & (apart * (100 + jaccard.PERCENT) <= (F.col("x.n") + F.col("y.n")) * (100 - jaccard.PERCENT))
     differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.label") != F.col("y.label"))
-    return units.alias("x").join(units.alias("y"), differ & may).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    return units.alias("x").join(units.alias("y"), differ & may & (shared[0] == F.col("x.key"))).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -134,7 +145,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     known = table.where("doc_id IS NOT NULL AND n > 0")
     reps = materialise(known.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.row").alias("row")), "sets")
     units = known.join(reps.select("row"), "row", "left_semi")
-    sketches = units.select("doc_id", "n", "parity", "wide")
+    sketches = units.select("doc_id", "n", "parity", "wide", "keys")
     several = known.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("doc_id")  # documents with more than one set
     links = materialise(known.join(several, "doc_id", "left_semi").join(reps, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct(), "links")
     tried, roots = None, None
