@@ -134,5 +134,5 @@ def ankle_positions(tree: BodyTree) -> Callable:
 
 
 def prepare_corpus(records: DataFrame, containers: DataFrame, limits: list[tuple[float, float]], tree: BodyTree, dof_names: tuple[str, ...]) -> DataFrame:
-    """The batch job: load, then prepare. One row a record, see prepare.SCHEMA; write it with sinks.write_corpus after quality.route."""
+    """The batch job: load, then prepare. One row a record, see prepare.SCHEMA; write it with sources.corpus.write after quality.route."""
     return prepare_pairs(load_pairs(records, containers, dof_names), limits, ankle_positions(tree))

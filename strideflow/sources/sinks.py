@@ -1,4 +1,4 @@
-"""Sinks: corpus tables, JSON lines, checksums, normalisers, token caches, deployment archives."""
+"""Sinks: JSON lines, checksums, normalisers, token caches, deployment archives."""
 
 from __future__ import annotations
 
@@ -6,20 +6,17 @@ import hashlib
 import io
 import json
 import os
+import re
 import zipfile
+from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def write_corpus(accepted: DataFrame, quarantined: DataFrame, path: str, max_records: int = 0) -> None:
-    """sequences (one folder for each split, so that a reader of one split scans nothing else) and quarantine; an existing target fails."""
-    w = accepted.write.mode("errorifexists").partitionBy("split")
-    (w.option("maxRecordsPerFile", max_records) if max_records else w).parquet(f"{path}/sequences")
-    quarantined.write.mode("errorifexists").json(f"{path}/quarantine")
-
-
 def write_jsonl(df: DataFrame, path: str, order: str) -> int:
     """Sorted JSON lines; the number of rows comes from the write itself."""
     from pyspark.sql import Observation
@@ -29,11 +26,40 @@ def write_jsonl(df: DataFrame, path: str, order: str) -> int:
     return seen.get["n"]
 
 
+PIECE = 1 << 20
+
+
 def checksums(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, sha256) of every file below root, paths relative to it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace("path", "^.*" + root.rstrip("/").replace(".", r"\.") + "/", "")
-    return files.select(relative.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of every file below root, paths relative to it (a root that is a file gives its own name).
+
+    Spark lists the files without reading them (its scan leaves empty ones out, so these come from the listing); files whose names begin with _ or . do not count. Executors read each by path in pieces of 1 MiB, so a file of any size takes the memory of a
+    piece. Files are dealt to tasks by size: those of one size class are spread evenly, so no task has all the large ones.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = listed.select("path", "length")
+    named = spark.createDataFrame([(unquote(p),) for p in listed.inputFiles()], "path string").join(files.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path")), "path", "left_anti")
+    files = files.unionByName(named.withColumn("length", F.lit(0).cast("long")))
+    spread = F.row_number().over(Window.partitionBy(F.floor(F.log2(F.col("length") + 1))).orderBy("length", "path"))
+    dealt = files.withColumn("deal", spread).repartition(spark.sparkContext.defaultParallelism, "deal")
+    below = re.compile("^.*" + re.escape(re.sub("^[a-z0-9]+:/+", "/", root).rstrip("/")) + "/")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": [below.sub("", p) if below.match(p) else p.rsplit("/", 1)[-1] for p in batch["path"]], "length": batch["length"], "sha256": [file_digest(p) for p in batch["path"]]})
+
+    return dealt.mapInPandas(run, "path string, length long, sha256 string")
+
+
+def file_digest(uri: str) -> str:
+    """sha256 of a file by its URI, read in pieces: local folders by path, other stores by the file system that Arrow has for them."""
+    import pyarrow.fs as stores
+
+    store, path = (stores.LocalFileSystem(), re.sub("^file:/+", "/", uri)) if uri.startswith(("file:", "/")) else stores.FileSystem.from_uri(uri)
+    out = hashlib.sha256()
+    with store.open_input_stream(path, buffer_size=PIECE) as stream:
+        while piece := stream.read(PIECE):
+            out.update(piece)
+    return out.hexdigest()
 
 
 def content_digest(mean: list[float], std: list[float]) -> str:
