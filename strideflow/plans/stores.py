@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strideflow.operators import corpus as assembly
 from strideflow.operators import frames, splits
 from strideflow.plans.motion import FPS, SIZE, SQL_FRAMES, STRIDE
-from strideflow.sources import corpus
+from strideflow.sources import cache, corpus
 from strideflow.sources.shared import scratch
 from strideflow.sources.tables import event_frames
 
@@ -106,3 +106,27 @@ def corpus_reports(spark, d):
     rows += [("normalizer", f"{s} {k} {p}", round(x, 4)) for s, n in c.report("normalizers").items() for p in ("mean", "std") for k, x in enumerate(n[p])]
     rows += [(p, s, round(v["quality_metrics"]["mean_value"][p], 4)) for s, v in sources.items() for p in ("median", "p95")]
     return spark.createDataFrame([(a, b, float(v)) for a, b, v in rows], "report string, name string, value double")
+
+
+def manifest(mark: str) -> dict:
+    return {k: mark * 64 for k in cache.DIGESTS}
+
+
+@query(f"""{SQL_SPLITS}, c AS (SELECT sample_id, n, sum(ceil(n / 4.0)::BIGINT) OVER (ORDER BY sample_id)::BIGINT AS offset_end, ceil(n / 4.0)::BIGINT AS tokens FROM u WHERE split = 'train'),
+    g AS (SELECT c.sample_id, k, least(4 * k + j, n - 1) AS t FROM (SELECT *, unnest(generate_series(0, tokens - 1)) AS k FROM c) c, (SELECT unnest(generate_series(0, 3)) AS j)),
+    x AS (SELECT g.sample_id, g.k, floor(round(sum(f.value::FLOAT::DOUBLE), 4))::BIGINT % 256 AS token_id FROM g JOIN f ON f.sample_id = g.sample_id AND f.t = g.t GROUP BY 1, 2)
+    SELECT x.sample_id AS sequence_id, k, token_id, offset_end - tokens + k AS "offset", 4 * k + 4 <= n AS in_statistics, tokens * 4 - n AS padding FROM x JOIN c USING (sample_id)""")
+def token_cache_transaction(spark, d):
+    """The cache job over a written corpus, read back after a version that replaced it, one that was refused, and a rollback."""
+    c, root = written(spark, d), scratch(spark, "tokens")
+    total = F.aggregate(F.transform("frames", lambda f: f[0].cast("double")), F.lit(0.0), lambda a, x: a + x)
+    token = F.floor(F.round(total, 4)) % 256
+    cache.tokenise(c, "train", "human", token, root, manifest("a"))
+    cache.tokenise(c, "train", "human", F.lit(7), root, manifest("b"), replace=True)
+    try:
+        cache.tokenise(c, "train", "human", token + 256, root, manifest("c"), replace=True)
+    except cache.CacheError:
+        cache.rollback(spark, root)
+    sequences, tokens = cache.read(spark, root, manifest("a"))
+    out = cache.statistics_tokens(sequences, tokens).join(sequences.select("sequence_id", "padding"), "sequence_id")
+    return out.select("sequence_id", "k", F.col("token_id").cast("long").alias("token_id"), "offset", "in_statistics", "padding")

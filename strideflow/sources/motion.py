@@ -1,4 +1,4 @@
-"""Motion sources: pair files, manifests, split files, captions, normalisers, token caches. Pickle files are never opened."""
+"""Motion sources: pair files, manifests, split files, captions, normalisers. Pickle files are never opened."""
 
 from __future__ import annotations
 
@@ -107,9 +107,3 @@ def normalizer(path: str, schema_id: str) -> dict:
     if stats["schema_id"] != schema_id or stats["content_sha256"] != content_digest(stats["mean"], stats["std"]):
         raise ValueError("normaliser does not fit")
     return stats
-
-
-def token_cache(spark: SparkSession, path: str) -> DataFrame:
-    """(sequence_id, k, token_id, complete) of a token cache; a token outside the codebook fails the read."""
-    rows = spark.read.parquet(path)
-    return rows.withColumn("token_id", F.when(F.col("token_id").between(0, 255), F.col("token_id")).otherwise(F.raise_error(F.lit("token outside the codebook")).cast("int")))

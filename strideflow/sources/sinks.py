@@ -1,4 +1,4 @@
-"""Sinks: JSON lines, checksums, normalisers, token caches, deployment archives."""
+"""Sinks: JSON lines, checksums, normalisers, deployment archives."""
 
 from __future__ import annotations
 
@@ -81,11 +81,6 @@ def write_normalizer(stats: DataFrame, path: str, schema_id: str, source: str, f
     os.replace(f"{path}.part", path)
 
 
-def write_token_cache(tokens: DataFrame, path: str, replace: bool = False) -> None:
-    """(sequence_id, k, token_id, complete) in order of each sequence; an existing cache fails unless it is to be replaced."""
-    tokens.sortWithinPartitions("sequence_id", "k").write.mode("overwrite" if replace else "errorifexists").parquet(path)
-
-
 def motion_archive(arrays: dict[str, np.ndarray], fps: float) -> bytes:
     """A deflated archive of one .npy member for each array, and fps."""
     out = io.BytesIO()
