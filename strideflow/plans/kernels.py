@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from strideflow.functions import kernels as K
+from strideflow.plans.streams import in_parts
 from strideflow.sources.sinks import checksums
 from strideflow.sources.tables import event_frames, table
 from strideflow.streaming import tokens
@@ -103,25 +104,9 @@ def batch_tokens(spark, d):
 
 @query(_TOKENS)
 def stream_tokens_equals_batch(spark, d):
-    """The same tokens from a stream of the frames in three parts, by way of the state store."""
-    import uuid
-
-    at = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
+    """The same tokens from a stream of the frames in three parts, each taken by a query that is started anew and goes on from the state store."""
     frames = event_frames(spark, d).select("sample_id", F.col("t").cast("long").alias("t"), "value")
-    for k, part in enumerate((F.col("t") < 5, (F.col("t") >= 5) & (F.col("t") < 8), F.col("t") >= 8)):
-        frames.where(part).coalesce(1).write.parquet(f"{at}/in/part={k}")
-    stream = spark.readStream.schema("sample_id long, t long, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{at}/in")
-    out = tokens.encode_stream(stream, _group_token, 0)
-    run = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
-    run.awaitTermination()
-    return spark.read.schema(tokens.OUTPUT).parquet(f"{at}/out")
-
-
-def _scratch(spark) -> str:
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return shared.rstrip("/") if shared else "file://" + tempfile.mkdtemp(prefix="strideflow-stream-")
+    return in_parts(frames, lambda s: tokens.encode_stream(s, _group_token, 0), tokens.OUTPUT, F.col("t") < 5, F.col("t").between(5, 7), F.col("t") >= 8)
 
 
 @query()

@@ -53,23 +53,3 @@ def encode_batch(frames: DataFrame, encode: Callable[[np.ndarray], np.ndarray],
         return pd.DataFrame(rows, columns=["sample_id", "k", "token_id"])
 
     return frames.select("sample_id", "t", "value").groupBy("sample_id").applyInPandas(run, OUTPUT)
-
-
-def prefix_stream(pairs: DataFrame, codes: int = 256) -> DataFrame:
-    """(sample_id, k, human_prefix, robot_prefix) of a stream of (sample_id, k, human, robot): both prefixes grow by a pair at a time.
-
-    A pair with a token outside 0..codes-1 is dropped whole, so the prefixes stay aligned.
-    """
-    schema = "sample_id long, k long, human_prefix array<long>, robot_prefix array<long>"
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        human, robot = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = []
-        for r in pd.concat(list(chunks)).sort_values("k").itertuples():
-            if 0 <= r.human < codes and 0 <= r.robot < codes:
-                human, robot = [*human, int(r.human)], [*robot, int(r.robot)]
-                rows.append((key[0], r.k, human, robot))
-        state.update((human, robot))
-        yield pd.DataFrame(rows, columns=["sample_id", "k", "human_prefix", "robot_prefix"])
-
-    return pairs.groupBy("sample_id").applyInPandasWithState(step, schema, "human array<long>, robot array<long>", "append", GroupStateTimeout.NoTimeout)
