@@ -47,7 +47,22 @@ def unpivot_captions(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return tall.where(F.length("text") > 0)
 
 
-def normalise_labels(labels: Column, kind: str, field: str) -> Column:
-    """Label strings as caption structs: trimmed, blanks dropped."""
-    kept = F.filter(F.transform(labels, F.trim), lambda x: F.length(x) > 0)
-    return F.transform(kept, lambda x: F.struct(x.alias("text"), F.lit(kind).alias("kind"), F.lit(field).alias("source_field")))
+CAPTION = "array<struct<text:string,kind:string,source_field:string,start_t:double,end_t:double,problem:string>>"
+
+
+def captions(labels: Column, kind: str, field: str) -> Column:
+    """A JSON list of labels as caption structs. A label is a string, or an object whose `proc_label` is the text and whose start_t and end_t, where there, are its times in seconds.
+
+    Texts are trimmed and blank ones left out; so are labels of any other type, null and a text that is not a JSON list. A time that is no number is null, with the problem `start_t` or `end_t`.
+    """
+    items = F.coalesce(F.try_variant_get(F.try_parse_json(labels), "$", "array<variant>"), F.array().cast("array<variant>"))
+    time = lambda v, key: F.try_variant_get(v, f"$.{key}", "double")
+    bad = lambda v, key: F.when(F.coalesce(F.try_variant_get(v, f"$.{key}", "string").isNotNull(), F.lit(False)) & time(v, key).isNull(), key)
+
+    def caption(v: Column) -> Column:
+        plain = F.schema_of_variant(v) == "STRING"
+        text = F.trim(F.when(plain, F.try_variant_get(v, "$", "string")).when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$.proc_label", "string")))
+        start, end = (F.when(~plain, time(v, k)) for k in ("start_t", "end_t"))
+        return F.struct(text.alias("text"), F.lit(kind).alias("kind"), F.lit(field).alias("source_field"), start.alias("start_t"), end.alias("end_t"), F.when(~plain, F.coalesce(bad(v, "start_t"), bad(v, "end_t"))).alias("problem"))
+
+    return F.filter(F.transform(items, caption), lambda c: F.length(c["text"]) > 0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideflow import constants as C
+from strideflow.operators.selection import percentiles
 
 
 def first_failure(gates: list[tuple[str, Column]]) -> Column:
@@ -86,9 +87,13 @@ def route(df: DataFrame, reason: str = "reason") -> tuple[DataFrame, DataFrame]:
 
 
 def summary(df: DataFrame, group: list[str], metrics: list[str]) -> DataFrame:
-    """(group, metric, n, minimum, median, p95, maximum), percentiles with linear interpolation."""
-    tall = df.select(*group, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("m"))
-    p = F.percentile("m.v", F.array(F.lit(0.5), F.lit(0.95)))
-    return tall.groupBy(*group, F.col("m.metric").alias("metric")).agg(
-        F.count("m.v").alias("n"), F.min("m.v").alias("minimum"), p[0].alias("median"), p[1].alias("p95"), F.max("m.v").alias("maximum")
-    )
+    """(group, metric, n, minimum, median, p95, maximum), percentiles with linear interpolation.
+
+    There are few groups and each may be large, so percentiles are selected in rounds and not by an aggregate that holds a group's values. A metric
+    without a value in a group has n 0 and nulls.
+    """
+    tall = df.select(*group, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("m")).select(*group, "m.metric", "m.v")
+    keys = [*group, "metric"]
+    found = percentiles(tall, keys, "v", [0.5, 0.95]).select(*keys, "n", "minimum", F.col("p0").alias("median"), F.col("p1").alias("p95"), "maximum")
+    empty = tall.groupBy(*keys).agg(F.count("v").alias("n")).where("n = 0")
+    return found.unionByName(empty, allowMissingColumns=True)

@@ -68,6 +68,43 @@ def leakage_audit(df: DataFrame, group: str, split: str, dataset: str) -> DataFr
     )
 
 
+def motion_signature(frames: Column, joints: int, places: int = 64) -> Column:
+    """sha256 of a motion that does not change when it is moved: of at most `places` evenly spaced frames, each relative to its first joint, in whole millimetres as little-endian 32-bit integers.
+
+    frames: an array of frames, each an array<float> of 3 * joints numbers in metres. Spacing and rounding go to the even neighbour of a half. Differences are of single precision. No frames give null.
+    """
+    n = F.size(frames)
+    count = F.least(n, F.lit(places))
+    step = (n - 1).cast("double") / F.greatest(count - 1, F.lit(1))
+    at = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.rint(F.when(k == count - 1, (n - 1).cast("double")).otherwise(k * step)).cast("int"))
+    axes = F.sequence(F.lit(0), F.lit(3 * joints - 1))
+
+    def word(x: Column) -> Column:
+        """Eight hexadecimal digits, the lowest byte first."""
+        digits = F.lpad(F.hex(x.cast("long").bitwiseAND((1 << 32) - 1)), 8, "0")
+        return F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)])
+
+    def frame(f: Column) -> Column:
+        relative = F.transform(axes, lambda k: F.get(f, k).cast("float") - F.get(f, k % 3).cast("float"))
+        return F.array_join(F.transform(relative, lambda x: word(F.rint((x * F.lit(1000.0).cast("float")).cast("double")))), "")
+
+    body = F.array_join(F.transform(at, lambda i: frame(F.get(frames, i))), "")
+    return F.when(n > 0, F.sha2(F.unhex(body), 256))
+
+
+def leakage_examples(df: DataFrame, group: str, split: str, dataset: str, key: str, groups: int = 20, members: int = 10) -> DataFrame:
+    """(group, members, datasets, final_split) of the first `groups` shared groups by their least key, each with its first `members` keys.
+
+    Bounded whatever a group holds: the groups are a top-k by pre-aggregated minima, and members are limited by rank in each task before the shuffle and again after it.
+    """
+    shared = df.groupBy(group).agg(F.count("*").alias("_n"), F.min(key).alias("_first"), F.max(split_priority(F.col(split))).alias("_p"), F.collect_set(dataset).alias("_d"))
+    top = shared.where("_n > 1").orderBy("_first", group).limit(groups)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(key, dataset))
+    few = df.select(group, key, dataset).join(F.broadcast(top), group).withColumn("_k", rank).where(F.col("_k") <= members)
+    out = few.groupBy(group).agg(F.sort_array(F.collect_list(key)).alias("members"), F.first("_d").alias("_d"), F.first("_p").alias("_p"))
+    return out.select(group, "members", F.sort_array("_d").alias("datasets"), priority_split(F.col("_p")).alias("final_split"))
+
+
 def hash_order(key: Column, seed: int | str) -> Column:
     """A seeded order that any engine can repeat."""
     return F.sha2(F.concat_ws(":", key.cast("string"), F.lit(str(seed))), 256)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideflow.constants import TIMELINE_TOLERANCE_S
+from strideflow.functions import geometry
 
 
 def grid_size(first: Column, last: Column, fps: float) -> Column:
@@ -19,24 +20,42 @@ def grid(extents: DataFrame, fps: float, first: str = "first_s", last: str = "la
     return extents.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("at", F.col(first) + F.col("i") / F.lit(float(fps)))
 
 
-def resample_linear(points: DataFrame, targets: DataFrame, sample: str, time: str = "s", value: str = "value", at: str = "at") -> DataFrame:
-    """(sample, at, value): linear interpolation at each target.
+def brackets(points: DataFrame, targets: DataFrame, sample: str, time: str, value: Column, at: str) -> DataFrame:
+    """(sample, x, b): for each target the source at or before it and the one after that, as b (s, v, next_s, next_v).
 
-    As-of brackets without a range join: each source takes the next one along, sources and targets are put in one order per sample, and
-    one last() carries the bracket to the targets, in time linear in the points.
+    As-of brackets without a range join: sources and targets are put in one order per sample, and one last() in either direction carries a source to the
+    targets, in time linear in the points. Both windows are by sample, so the merge shuffles once. value may be of any type.
     """
-    w = Window.partitionBy(sample).orderBy(time)
-    number = F.col(value).cast("double")
-    bracket = F.struct(F.col(time).alias("s"), number.alias("v"), F.lead(time).over(w).alias("next_s"), F.lead(number).over(w).alias("next_v"))
-    marked = points.select(sample, F.col(time).alias("x"), F.lit(0).alias("is_target"), bracket.alias("p"))
-    wanted = targets.select(sample, F.col(at).alias("x"), F.lit(1).alias("is_target"), F.lit(None).cast(marked.schema["p"].dataType).alias("p"))
+    marked = points.select(sample, F.col(time).alias("x"), F.lit(0).alias("is_target"), value.alias("v"))
+    wanted = targets.select(sample, F.col(at).alias("x"), F.lit(1).alias("is_target"), F.lit(None).cast(marked.schema["v"].dataType).alias("v"))
+    merged = marked.unionByName(wanted).withColumn("source", F.when(F.col("is_target") == 0, F.struct(F.col("x").alias("s"), "v")))
     before = Window.partitionBy(sample).orderBy("x", "is_target").rowsBetween(Window.unboundedPreceding, 0)
-    both = marked.unionByName(wanted).withColumn("b", F.last("p", ignorenulls=True).over(before)).where("is_target = 1")
+    after = Window.partitionBy(sample).orderBy(F.desc("x"), F.desc("is_target")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last("source", ignorenulls=True)
+    merged = merged.withColumn("p", carried.over(before)).withColumn("q", carried.over(after)).where("is_target = 1")
+    return merged.select(sample, "x", F.struct(F.col("p.s").alias("s"), F.col("p.v").alias("v"), F.col("q.s").alias("next_s"), F.col("q.v").alias("next_v")).alias("b"))
+
+
+def resample_linear(points: DataFrame, targets: DataFrame, sample: str, time: str = "s", value: str = "value", at: str = "at") -> DataFrame:
+    """(sample, at, value): linear interpolation at each target; the last value from the last source on."""
+    both = brackets(points, targets, sample, time, F.col(value).cast("double"), at)
     share = (F.col("x") - F.col("b.s")) / (F.col("b.next_s") - F.col("b.s"))
     inside = F.col("b.v") + (F.col("b.next_v") - F.col("b.v")) * share
     return both.select(sample, F.col("x").alias(at), F.when(F.col("b.next_s").isNull() | (F.col("x") == F.col("b.s")), F.col("b.v")).otherwise(inside).alias(value))
 
 
+def resample_rotations(points: DataFrame, targets: DataFrame, sample: str, time: str = "s", rotation: str = "rotation", at: str = "at") -> DataFrame:
+    """(sample, at, rotation): quaternions (x, y, z, w) at each target, along the shorter arc between those on either side; the last one from the last source on.
+
+    Sources are brought to length 1 first, so results have length 1.
+    """
+    both = brackets(points, targets, sample, time, geometry.normalize(F.col(rotation)), at)
+    share = (F.col("x") - F.col("b.s")) / (F.col("b.next_s") - F.col("b.s"))
+    both = both.withColumns({"share": share, "ends": F.when(F.col("b.next_s").isNotNull() & (F.col("x") != F.col("b.s")), F.col("b"))})
+    turned = geometry.slerp(F.col("ends.v"), F.col("ends.next_v"), F.col("share"))
+    return both.select(sample, F.col("x").alias(at), F.when(F.col("ends").isNull(), F.col("b.v")).otherwise(turned).alias(rotation))
+
+
 def duration_tolerance(fps_a: Column, fps_b: Column) -> Column:
     """How far two durations may differ: a fixed time, or a frame of each where that is longer."""
     return F.greatest(F.lit(TIMELINE_TOLERANCE_S), 1.0 / fps_a + 1.0 / fps_b)
