@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strideflow.functions.kernels import BodyTree
 from strideflow.operators.prepare import ANKLES, prepare_pairs
+from strideflow.sources.prepared import ARCHIVE_ERRORS
 
 CONTAINER = "path string, locator string, row bigint, arrays map<string,array<double>>, names map<string,array<string>>"
 _FLAT = "array<double>"
@@ -38,7 +39,7 @@ def npz_containers(spark: SparkSession, root: str) -> DataFrame:
                                 names[key] = z[key].astype(str).ravel().tolist()
                             else:
                                 arrays[key] = z[key].astype(float).ravel().tolist()
-                except (ValueError, OSError):
+                except ARCHIVE_ERRORS:
                     arrays, names = {}, {}
                 rows.append((path, "", 0, arrays, names))
             yield pd.DataFrame(rows, columns=["path", "locator", "row", "arrays", "names"])

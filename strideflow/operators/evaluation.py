@@ -48,7 +48,7 @@ def _contacts(prefix: str, channels: int) -> tuple[list[Column], dict[str, Colum
 
 
 def robot_reconstruction(frames: DataFrame, group: list[str], t: str, target: str, prediction: str, mask: str) -> DataFrame:
-    """(group, n, mae, rmse, max_abs, joint_mae, worst_joint, worst_joint_mae, ade, fde, rotation, local_velocity, world_velocity, angular_velocity,
+    """(group, n, mae, rmse, max_abs, joint_mae, joint_degrees, worst_joint, worst_joint_mae, ade, fde, rotation, local_velocity, world_velocity, angular_velocity,
     joint_velocity, yaw, height, contact scores). The worst joint is the first of the greatest error; fde is the last valid frame's."""
     rows = frames.where(mask).select(*group, F.col(t).alias("_t"), F.col(target).cast("array<double>").alias("_a"), F.col(prediction).cast("array<double>").alias("_b"))
     rows = rows.withColumns({"_ma": matrix_from_6d(_cut(F.col("_a"), ROTATION)), "_mb": matrix_from_6d(_cut(F.col("_b"), ROTATION)), "_d": _distances(F.col("_a"), F.col("_b"))})
@@ -65,7 +65,7 @@ def robot_reconstruction(frames: DataFrame, group: list[str], t: str, target: st
     averages = [F.avg(k).alias(k) for k in (*mean_of, "ade", "rotation", "yaw", "height")]
     out = rows.groupBy(*group).agg(F.count("*").alias("n"), *averages, F.sqrt(F.avg("_square")).alias("rmse"), F.max("_max").alias("max_abs"), F.max_by("ade", "_t").alias("fde"), joints, *counts)
     worst = F.array_max("joint_mae")
-    return out.withColumns({"worst_joint_mae": worst, "worst_joint": (F.array_position("joint_mae", worst) - 1).cast("int"), **scores}).drop("tp", "fp", "fn")
+    return out.withColumns({"joint_degrees": F.transform("joint_mae", F.degrees), "worst_joint_mae": worst, "worst_joint": (F.array_position("joint_mae", worst) - 1).cast("int"), **scores}).drop("tp", "fp", "fn")
 
 
 def human_reconstruction(frames: DataFrame, group: list[str], target: str, prediction: str, mask: str, position: tuple[int, int], rotation: tuple[int, int], contact: tuple[int, int]) -> DataFrame:

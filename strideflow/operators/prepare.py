@@ -19,7 +19,7 @@ QUALITY = (
     "max_human_joint_speed_m_s", "max_g1_root_speed_m_s", "max_g1_root_angular_speed_rad_s", "max_g1_dof_speed_rad_s", "energy_correlation", "g1_foot_floor_y_m", "max_g1_foot_penetration_m",
     "g1_near_floor_slide_p95_m_s", "root_quaternion_norm_error",
 )
-SCHEMA = "sample_id string, reason string, detail double, frames int, human_features array<float>, robot_features array<double>, quality map<string,double>, origin array<double>, basis array<double>"
+SCHEMA = "sample_id string, reason string, detail double, frames int, human_features array<float>, robot_features array<float>, quality map<string,double>, origin array<double>, basis array<double>"
 ANKLES = ("left_ankle_roll_link", "right_ankle_roll_link")
 #: Parent of each human joint.
 PARENTS = [0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 9, 12, 13, 14, 16, 17, 18, 19]
@@ -171,7 +171,7 @@ def prepare_pairs(pairs: DataFrame, limits: list[tuple[float, float]], feet_of:
                     dof = shaped(r.dof, len(table), reason="g1_dof_shape_or_finite")
                     bodies = None if names is None or r.bodies is None else shaped(r.bodies, len(names), 3)
                     h, g, m, a = prepare_one(shaped(r.human, 22, 3), r.human_fps, shaped(r.root, 3), shaped(r.rotation, 4), dof, r.robot_fps, table, feet_of, bodies, names)
-                    rows.append((r.sample_id, None, None, len(h), h.ravel().tolist(), g.ravel().tolist(), m, a.origin.tolist(), a.basis.ravel().tolist()))
+                    rows.append((r.sample_id, None, None, len(h), h.ravel().tolist(), g.astype(np.float32).ravel().tolist(), m, a.origin.tolist(), a.basis.ravel().tolist()))
                 except Rejected as e:
                     rows.append((r.sample_id, e.reason, e.detail, 0, None, None, None, None, None))
                 except ValueError as e:  # what an encoder refuses, such as a root that faces up

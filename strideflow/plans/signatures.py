@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideflow.functions import keys
-from strideflow.operators import splits, timeline
+from strideflow.operators import evaluation, splits, timeline
 from strideflow.plans.motion import HOURLY, SQL_FRAMES
 from strideflow.plans.records import BUCKET, SPLIT
 from strideflow.sources.tables import event_frames, table
@@ -111,3 +111,41 @@ def mixed_captions(spark, d):
     listed = F.concat(F.lit('[null, 5, ["x"], "  ", {"other": 1}, '), label, F.lit("]"))
     out = c.select("conv_id", "turn", F.explode(keys.captions(listed, "dialogue", "turns")).alias("c"))
     return out.select("conv_id", "turn", "c.text", "c.kind", "c.source_field", "c.start_t", "c.end_t", "c.problem")
+
+
+_EVALUATED = """WITH e AS (SELECT vec_id, label, list_transform(embedding || embedding[1:11], lambda x: 5 * x::DOUBLE) AS a FROM embeddings WHERE vec_id % 5 <> 0 AND label IS NOT NULL),
+    b AS (SELECT vec_id, label, a, list_transform(a, lambda x: x * 0.9 + 0.1) AS b FROM e), d AS (SELECT *, list_transform(range(1, 76), lambda k: abs(b[k] - a[k])) AS d FROM b)"""
+
+
+def evaluated(spark, d) -> DataFrame:
+    """Embeddings as frames of 75 channels by label, and a reconstruction of them that is off by a known rule."""
+    e = table(spark, d, "embeddings").where("label IS NOT NULL")
+    a = F.transform(F.concat("embedding", F.slice("embedding", 1, 11)), lambda x: x.cast("double") * 5)
+    return e.select("vec_id", "label", a.alias("a"), F.transform(a, lambda x: x * 0.9 + 0.1).alias("b"), (F.col("vec_id") % 5 != 0).alias("m"))
+
+
+@query(_EVALUATED + """, j AS (SELECT label, k, avg(d[k]) AS x FROM d, (SELECT unnest(generate_series(10, 38)) AS k) GROUP BY 1, 2), w AS (SELECT label, max(x) AS x, arg_max(x, (x, -k)) AS y, sum(x) AS total FROM j GROUP BY 1),
+    c AS (SELECT label, sum((a[74] >= 0.5 AND b[74] >= 0.5)::INT + (a[75] >= 0.5 AND b[75] >= 0.5)::INT) AS tp, sum((a[74] >= 0.5)::INT + (a[75] >= 0.5)::INT + (b[74] >= 0.5)::INT + (b[75] >= 0.5)::INT) AS pos FROM d GROUP BY 1)
+    SELECT d.label, count(*) AS n, round(avg(list_sum(d) / 75), 6) AS mae, round(sqrt(avg(list_inner_product(d, d) / 75)), 6) AS rmse, round(max(list_max(d)), 6) AS max_abs,
+        (SELECT min(k) - 10 FROM j WHERE j.label = d.label AND j.x = any_value(w.x)) AS worst_joint, round(any_value(w.x), 6) AS worst_joint_mae, round(degrees(any_value(w.total)), 4) AS degrees_total,
+        round(avg(sqrt(d[1] ** 2 + d[2] ** 2 + d[3] ** 2)), 6) AS ade, round(arg_max(sqrt(d[1] ** 2 + d[2] ** 2 + d[3] ** 2), vec_id), 6) AS fde, round(avg(d[2]), 6) AS height,
+        round(avg((d[39] + d[40] + d[41]) / 3), 6) AS local_velocity, round(avg((d[42] + d[43] + d[44]) / 3), 6) AS angular_velocity, round(avg(list_sum(d[45:73]) / 29), 6) AS joint_velocity,
+        round(coalesce(2 * any_value(c.tp) / nullif(any_value(c.pos), 0), 0), 6) AS contact_f1
+    FROM d JOIN w USING (label) JOIN c USING (label) GROUP BY d.label""")
+def robot_evaluation(spark, d):
+    """The evaluation record of a robot reconstruction for each label."""
+    out = evaluation.robot_reconstruction(evaluated(spark, d), ["label"], "vec_id", "a", "b", "m")
+    total = F.aggregate("joint_degrees", F.lit(0.0), lambda s, x: s + x)
+    rounded = ["mae", "rmse", "max_abs", "worst_joint_mae", "ade", "fde", "height", "local_velocity", "angular_velocity", "joint_velocity", "contact_f1"]
+    return out.select("label", "n", F.col("worst_joint").cast("long").alias("worst_joint"), F.round(total, 4).alias("degrees_total"), *[F.round(c, 6).alias(c) for c in rounded])
+
+
+@query(_EVALUATED + """, p AS (SELECT *, list_transform(range(0, 4), lambda k: sqrt(d[3 * k + 1] ** 2 + d[3 * k + 2] ** 2 + d[3 * k + 3] ** 2)) AS far FROM d),
+    c AS (SELECT label, k, a[k] >= 0.5 AS x, b[k] >= 0.5 AS y FROM d, (SELECT unnest([72, 73, 74, 75]) AS k)), s AS (SELECT label, count_if(x AND y) AS tp, count_if(x) AS t, count_if(y) AS p FROM c GROUP BY 1)
+    SELECT p.label, count(*) AS n, round(avg(list_sum(p.d) / 75), 6) AS mae, round(sqrt(avg(list_inner_product(p.d, p.d) / 75)), 6) AS rmse, round(max(list_max(p.d)), 6) AS max_abs, round(avg(list_sum(far) / 4), 6) AS mpjpe,
+        round(coalesce(any_value(s.tp) / nullif(any_value(s.p), 0), 0), 6) AS contact_precision, round(coalesce(any_value(s.tp) / nullif(any_value(s.t), 0), 0), 6) AS contact_recall
+    FROM p JOIN s USING (label) GROUP BY p.label""")
+def human_evaluation(spark, d):
+    """The evaluation record of a human reconstruction of four joints for each label."""
+    out = evaluation.human_reconstruction(evaluated(spark, d), ["label"], "a", "b", "m", (0, 12), (12, 36), (71, 75))
+    return out.select("label", "n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "max_abs", "mpjpe", "contact_precision", "contact_recall")])

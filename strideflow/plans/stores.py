@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strideflow.operators import corpus as assembly
 from strideflow.operators import frames, splits
 from strideflow.plans.motion import FPS, SIZE, SQL_FRAMES, STRIDE
-from strideflow.sources import cache, corpus
+from strideflow.sources import cache, corpus, prepared
 from strideflow.sources.shared import scratch
 from strideflow.sources.tables import event_frames
 
@@ -130,3 +130,27 @@ def token_cache_transaction(spark, d):
     sequences, tokens = cache.read(spark, root, manifest("a"))
     out = cache.statistics_tokens(sequences, tokens).join(sequences.select("sequence_id", "padding"), "sequence_id")
     return out.select("sequence_id", "k", F.col("token_id").cast("long").alias("token_id"), "offset", "in_statistics", "padding")
+
+
+@query("""x AS (SELECT f.sample_id, n, (-n % 4 + 4) % 4 AS pad, sum(value::FLOAT::DOUBLE) AS total, arg_max(value::FLOAT::DOUBLE, t) AS last FROM f JOIN n USING (sample_id) GROUP BY 1, 2)
+    SELECT sample_id::VARCHAR AS sequence_id, CASE sample_id % 6 WHEN 1 THEN 'unreadable' WHEN 3 THEN 'source_fps' WHEN 4 THEN 'source_format' WHEN 5 THEN 'nonfinite' END AS reason,
+        CASE WHEN sample_id % 6 IN (0, 2) THEN n END AS valid_frames, CASE WHEN sample_id % 6 IN (0, 2) THEN n + pad END AS frames,
+        CASE WHEN sample_id % 6 IN (0, 2) THEN round(total + pad * last, 3) END AS robot_total, CASE WHEN sample_id % 6 IN (0, 2) THEN round(2 * (total + pad * last), 2) END AS human_total FROM x""")
+def prepared_motion(spark, d):
+    """Events as prepared archives, written and read back. Of six users, one's archive is cut short, and three have a rate, a format or a feature that the contract refuses."""
+    s = frames.sequence_arrays(event_frames(spark, d), "value")
+    wide = lambda c, k: F.flatten(F.transform(c, lambda v: F.array_repeat(v.cast("double"), k)))
+    kind = F.col("sample_id") % 6
+    robot = F.when(kind == 5, F.transform("values", lambda v, i: F.when(i == 0, F.lit(float("nan"))).otherwise(v))).otherwise(F.col("values"))
+    pairs = s.select(
+        F.col("sample_id").cast("string").alias("sequence_id"), F.when(kind == 3, -1.0).otherwise(50.0).alias("source_fps"), F.when(kind == 4, "odd").otherwise("safe_npz").alias("source_format"),
+        wide(F.transform("values", lambda v: v * 2), 262).alias("human_features"), wide(robot, 75).alias("g1_features"), wide("values", 3).alias("human_space"), wide("values", 3).alias("g1_space"),
+        F.array(*[F.lit(0.0)] * 3).alias("anchor_origin"), F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)]).alias("anchor_basis"),
+    )
+    at = scratch(spark, "prepared")
+    prepared.write(pairs, at)
+    contents = spark.read.parquet(at)
+    cut = F.when(F.col("sequence_id").cast("long") % 6 == 1, F.expr("substring(content, 1, 300)")).otherwise(F.col("content"))
+    out = prepared.load(contents.select("sequence_id", cut.alias("content")))
+    total = lambda c, w: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x) / w
+    return out.select("sequence_id", "reason", F.col("valid_frames").cast("long").alias("valid_frames"), F.col("frames").cast("long").alias("frames"), F.round(total("g1_features", 75), 3).alias("robot_total"), F.round(total("human_features", 262), 2).alias("human_total"))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strideflow.sources.prepared import ARCHIVE_ERRORS
+
 PAIR_NAME = r"(G\d{3}T\d{3}A\d{3}R\d{3})_(actor|reactor)\.(npz|pkl)$"
 _REF = "path string, format string, locator string, fps double, frame_start int, frame_end int, fields array<string>"
 MANIFEST = (
@@ -39,7 +41,7 @@ def _half(content: bytes, role: str) -> tuple:
     try:
         with np.load(io.BytesIO(content), allow_pickle=False) as z:
             data = {k: z[k] for k in z.files}
-    except (ValueError, OSError):
+    except ARCHIVE_ERRORS:
         return 0, None, {}, "unreadable"
     if set(data) != set(shapes) | extra:
         return 0, None, {}, "fields"

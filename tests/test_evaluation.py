@@ -31,7 +31,7 @@ def test_robot(spark):
     turn = np.arctan2(rb[:, 0, 2], rb[:, 2, 2]) - np.arctan2(ra[:, 0, 2], ra[:, 2, 2])
     far = np.linalg.norm((b - a)[:, :3], axis=1)
     close(got, {
-        "n": 4, "mae": d.mean(), "rmse": np.sqrt((d**2).mean()), "max_abs": d.max(), "joint_mae": d[:, 9:38].mean(0), "worst_joint": d[:, 9:38].mean(0).argmax(), "worst_joint_mae": d[:, 9:38].mean(0).max(),
+        "n": 4, "mae": d.mean(), "rmse": np.sqrt((d**2).mean()), "max_abs": d.max(), "joint_mae": d[:, 9:38].mean(0), "joint_degrees": np.degrees(d[:, 9:38].mean(0)), "worst_joint": d[:, 9:38].mean(0).argmax(), "worst_joint_mae": d[:, 9:38].mean(0).max(),
         "ade": far.mean(), "fde": far[-1], "rotation": angle(ra, rb).mean(), "local_velocity": d[:, 38:41].mean(), "world_velocity": np.abs(world(rb, b) - world(ra, a)).mean(), "angular_velocity": d[:, 41:44].mean(),
         "joint_velocity": d[:, 44:73].mean(), "yaw": np.abs(np.arctan2(np.sin(turn), np.cos(turn))).mean(), "height": d[:, 1].mean(),
     })
