@@ -170,6 +170,33 @@ def to_episode(p: Column, origin: Column, basis: Column) -> Column:
     return multiply(basis, F.zip_with(p, F.array(o[0], F.lit(0.0), o[2]), lambda a, b: a.cast("double") - b))
 
 
+def product(a: list[Column], b: list[Column]) -> list[Column]:
+    """Quaternion product, scalar last."""
+    v = [a[3] * y + b[3] * x + c for x, y, c in zip(a[:3], b[:3], cross(a[:3], b[:3]), strict=True)]
+    return [*v, a[3] * b[3] - dot(a[:3], b[:3])]
+
+
+def conjugate(q: list[Column]) -> list[Column]:
+    return [-q[0], -q[1], -q[2], q[3]]
+
+
+def rotate(q: list[Column], v: list[Column]) -> list[Column]:
+    """A vector turned by a unit quaternion."""
+    t = [2 * x for x in cross(q[:3], v)]
+    return [x + q[3] * y + z for x, y, z in zip(v, t, cross(q[:3], t), strict=True)]
+
+
+def arc(a: list[Column], b: list[Column]) -> Column:
+    """The rotation from direction a to direction b by the half-way rule, for vectors of any length; null for opposite ones and for a zero vector."""
+    raw = F.array(*cross(a, b), F.sqrt(dot(a, a) * dot(b, b)) + dot(a, b))
+    return let(raw, lambda q: normalize(q, strict=False))
+
+
+def upright(q: list[Column]) -> Column:
+    """A quaternion as an array with w >= 0."""
+    return F.array(*[x * F.when(q[3] < 0, -1.0).otherwise(1.0) for x in q])
+
+
 def facing(left: Column, right: Column) -> tuple[Column, Column]:
     """Unit facing (x, z): up crossed with right minus left."""
     d = [b - a for a, b in zip(parts(left, 3), parts(right, 3), strict=True)]

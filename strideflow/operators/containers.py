@@ -1,4 +1,4 @@
-"""Source adapters: manifest records joined with the arrays that their references name, as input of prepare.prepare_pairs.
+"""Source adapters: manifest records joined with the arrays that their references name, as input of tracks.prepare.
 
 A container row is (path, locator, row, arrays, names): the flat, row-major arrays and the string lists of one sequence. `locator` is empty where a
 file holds one sequence; of rows with one (path, locator) the greatest `row` counts, so `row` has to tell them apart. Containers are Parquet
@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideflow.functions.kernels import BodyTree
-from strideflow.operators.prepare import ANKLES, prepare_pairs
+from strideflow.operators import tracks
 from strideflow.sources.prepared import ARCHIVE_ERRORS
+from strideflow.sources.shared import materialise
 
 CONTAINER = "path string, locator string, row bigint, arrays map<string,array<double>>, names map<string,array<string>>"
 _FLAT = "array<double>"
@@ -124,16 +125,11 @@ def load_pairs(records: DataFrame, containers: DataFrame, dof_names: tuple[str,
     )
 
 
-def ankle_positions(tree: BodyTree) -> Callable:
-    """Both ankles (T, 2, 3) by forward kinematics, for pairs without body tracks."""
-
-    def feet(root: np.ndarray, rotation: np.ndarray, dof: np.ndarray) -> np.ndarray:
-        at = tree.positions(root, rotation, dof)
-        return np.stack([at[a] for a in ANKLES], 1)
-
-    return feet
+def prepare_corpus(records: DataFrame, containers: DataFrame, limits: list[tuple[float, float]], tree: BodyTree, dof_names: tuple[str, ...]) -> DataFrame:
+    """The batch job with one row a record, see tracks.prepared_rows. prepare_frames gives the long layout, which sources.corpus.write takes."""
+    return tracks.prepared_rows(*prepare_frames(records, containers, limits, tree, dof_names))
 
 
-def prepare_corpus(records: DataFrame, containers: DataFrame, limits: list[tuple[float, float]], tree: BodyTree, dof_names: tuple[str, ...]) -> DataFrame:
-    """The batch job: load, then prepare. One row a record, see prepare.SCHEMA; write it with sources.corpus.write after quality.route."""
-    return prepare_pairs(load_pairs(records, containers, dof_names), limits, ankle_positions(tree))
+def prepare_frames(records: DataFrame, containers: DataFrame, limits: list[tuple[float, float]], tree: BodyTree, dof_names: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The batch job: load, then prepare; see tracks.prepare for what it gives. The loaded pairs are written to the shared folder, so containers are read once."""
+    return tracks.prepare(materialise(load_pairs(records, containers, dof_names), "pairs"), limits, tree)

@@ -17,29 +17,38 @@ def first_failure(gates: list[tuple[str, Column]]) -> Column:
     return out
 
 
+#: The gates in the order in which they are applied: reason, measure, least and greatest value that pass. The first six are on a raw sequence, the others on an aligned pair.
+BOUNDS = [
+    ("source_nonfinite", "finite", True, None),
+    ("g1_quaternion_norm", "quaternion_norm_error", None, C.QUATERNION_NORM_TOLERANCE),
+    ("g1_dof_limit", "dof_violation", None, C.DOF_LIMIT_TOLERANCE_RAD),
+    ("human_height", "stature", C.MIN_HEIGHT_M, C.MAX_HEIGHT_M),
+    ("human_bone_length", "bone_cv", None, C.MAX_BONE_LENGTH_CV),
+    ("human_joint_speed", "max_joint_speed", None, C.MAX_JOINT_SPEED_M_S),
+    ("g1_root_speed", "max_root_speed", None, C.MAX_ROOT_SPEED_M_S),
+    ("g1_root_angular_speed", "max_angular_speed", None, C.MAX_ANGULAR_SPEED_RAD_S),
+    ("g1_dof_speed", "max_dof_speed", None, C.MAX_DOF_SPEED_RAD_S),
+    ("pair_energy_alignment", "energy_correlation", C.MIN_ENERGY_CORRELATION, None),
+    ("g1_foot_penetration", "foot_penetration", None, C.MAX_FOOT_PENETRATION_M),
+]
+RAW = 6
+
+
+def _gate(reason: str, measure: str, least: float | bool | None, greatest: float | None) -> tuple[str, Column]:
+    c = F.col(measure)
+    if least is True:
+        return reason, ~c
+    return reason, F.lit(False) | (c < least if least is not None else F.lit(False)) | (c > greatest if greatest is not None else F.lit(False))
+
+
 def raw_gates() -> list[tuple[str, Column]]:
-    """Gates on the metrics of a raw sequence (columns of that name)."""
-    c = F.col
-    return [
-        ("source_nonfinite", ~c("finite")),
-        ("g1_quaternion_norm", c("quaternion_norm_error") > C.QUATERNION_NORM_TOLERANCE),
-        ("g1_dof_limit", c("dof_violation") > C.DOF_LIMIT_TOLERANCE_RAD),
-        ("human_height", ~c("stature").between(C.MIN_HEIGHT_M, C.MAX_HEIGHT_M)),
-        ("human_bone_length", c("bone_cv") > C.MAX_BONE_LENGTH_CV),
-        ("human_joint_speed", c("max_joint_speed") > C.MAX_JOINT_SPEED_M_S),
-    ]
+    """Gates on the measures of a raw sequence (columns of that name)."""
+    return [_gate(*b) for b in BOUNDS[:RAW]]
 
 
 def aligned_gates() -> list[tuple[str, Column]]:
-    """Gates on the metrics of an aligned pair."""
-    c = F.col
-    return [
-        ("g1_root_speed", c("max_root_speed") > C.MAX_ROOT_SPEED_M_S),
-        ("g1_root_angular_speed", c("max_angular_speed") > C.MAX_ANGULAR_SPEED_RAD_S),
-        ("g1_dof_speed", c("max_dof_speed") > C.MAX_DOF_SPEED_RAD_S),
-        ("pair_energy_alignment", c("energy_correlation") < C.MIN_ENERGY_CORRELATION),
-        ("g1_foot_penetration", c("foot_penetration") > C.MAX_FOOT_PENETRATION_M),
-    ]
+    """Gates on the measures of an aligned pair."""
+    return [_gate(*b) for b in BOUNDS[RAW:]]
 
 
 def finite(x: Column) -> Column:

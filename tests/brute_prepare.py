@@ -1,4 +1,4 @@
-"""Preparation of raw pairs: validate, align, resample, transform, gate and encode, one pair at a time.
+"""The preparation of raw pairs in NumPy, one pair at a time: what operators.tracks is tested against.
 
 A pair is one row of arrays, so nothing is shuffled. A rejected pair is a row with its reason, never an exception: split the result
 with quality.route. The gates come in a fixed order and the first that fails is the reason.

@@ -162,7 +162,7 @@ def raw_pair(frames=12, **changes):
 
 
 def test_prepared_pairs_and_their_reasons(spark):
-    from strideflow.operators import prepare
+    import brute_prepare as prepare
 
     def feet(root, q, dof):
         return np.stack([root - [0, 0.1, 0.8], root - [0, -0.1, 0.8]], 1)
@@ -194,7 +194,7 @@ def test_prepared_pairs_and_their_reasons(spark):
 def test_signatures_ignore_place():
     from test_kernels import walk
 
-    from strideflow.operators import prepare
+    import brute_prepare as prepare
 
     assert prepare.motion_signature(walk(5)) == prepare.motion_signature(walk(5) + 0.25) != prepare.motion_signature(walk(5) * 1.1)
 

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideflow.functions import keys
-from strideflow.operators import prepare, selection, splits, timeline
+import brute_prepare as prepare
+from strideflow.operators import selection, splits, timeline
 
 
 @pytest.mark.parametrize(("bins", "leaf"), [(1024, 65536), (16, 1)])
