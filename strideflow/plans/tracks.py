@@ -10,6 +10,7 @@ from strideflow.functions.kernels import BodyTree
 from strideflow.operators import frames, tracks
 from strideflow.plans.kernels import _joints
 from strideflow.plans.motion import SQL_FRAMES
+from strideflow.sources.shared import materialise
 from strideflow.sources.tables import event_frames
 
 CATALOGUE: dict[str, tuple] = {}
@@ -49,6 +50,7 @@ def robot() -> BodyTree:
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """A pair for each user: a human that walks by the events at 20 frames a second, a robot that follows every second event at 10 a second. One of eight kinds of users each breaks another gate."""
     s = frames.sequence_arrays(event_frames(spark, d), "value").withColumn("kind", F.col("sample_id") % 8)
+    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sample_id")  # a given number is not coalesced: the rows are small, the work on them is not
     kind = F.col("kind")
     skeleton = _joints(np.zeros(1))[0][:, [0, 2, 1]] * (1, -1, 1)
     base = F.array(*[F.lit(float(x)) for x in skeleton.ravel()])
@@ -75,7 +77,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
         CASE WHEN reason IS NULL THEN round(slide, 5) END AS slide FROM r""")
 def track_records(spark, d):
     """Every pair's reason, or its measures on the common grid."""
-    records, _ = tracks.prepare(pairs(spark, d), LIMITS, robot())
+    records, _ = tracks.prepare(materialise(pairs(spark, d), "pairs"), LIMITS, robot())
     named = {"max_joint_speed": "joint_speed", "max_root_speed": "root_speed", "max_dof_speed": "dof_speed", "near_floor_slide": "slide", "max_angular_speed": "angular_speed", "floor_y": "floor_y"}
     return records.select("sample_id", "reason", "frames", F.round("energy_correlation", 4).alias("energy"), *[F.round(k, 5).alias(v) for k, v in named.items()])
 
@@ -84,7 +86,7 @@ def track_records(spark, d):
     SELECT sample_id::VARCHAR AS sample_id, p AS frames, round(path, 3) AS path, still::BIGINT AS still, round(ahead, 3) AS ahead, round(along, 2) AS along, round(aside, 2) AS aside, (p - 1)::DOUBLE AS turned, contacts::BIGINT AS contacts FROM r WHERE reason IS NULL""")
 def track_features(spark, d):
     """Sums over the features of every accepted pair: the human's path and still feet, the robot's way ahead, local velocities, turning and contacts."""
-    _, f = tracks.prepare(pairs(spark, d), LIMITS, robot())
+    _, f = tracks.prepare(materialise(pairs(spark, d), "pairs"), LIMITS, robot())
     of = lambda side, k: F.sum(F.get(side, F.lit(k)).cast("double"))
     still = sum((of("human", k) for k in range(259, 262)), of("human", 258))
     return f.groupBy("sample_id").agg(
