@@ -112,14 +112,16 @@ def matrix_to_6d(m: Column) -> Column:
 
 
 def matrix_from_6d(r: Column) -> Column:
-    """Gram-Schmidt: x from the first axis, z across both, y across z and x; null for degenerate axes."""
-    a = parts(r, 6)
-    unit = lambda v: [c / F.sqrt(dot(v, v)) for c in v]
-    x = unit(a[:3])
-    z = unit(cross(x, a[3:]))
-    y = cross(z, x)
-    good = (dot(a[:3], a[:3]) > 0) & (dot(cross(a[:3], a[3:]), cross(a[:3], a[3:])) > 0)
-    return F.when(good, F.array(x[0], y[0], z[0], x[1], y[1], z[1], x[2], y[2], z[2]))
+    """Gram-Schmidt: x from the first axis, z across both, y across z and x; null for degenerate axes. Each step is computed once: nested in each other their expressions would grow by a factor a step."""
+    length = lambda v: F.sqrt(dot(parts(v, 3), parts(v, 3)))
+    unit = lambda v: let(v, lambda v: let(length(v), lambda n: F.transform(v, lambda c: c / n)))
+    axes = lambda s: F.array(*[F.get(c, F.lit(k)) for k in range(3) for c in (s["x"], s["y"], s["z"])])
+    whole = lambda s: let(F.struct(s["x"].alias("x"), s["z"].alias("z"), F.array(*cross(parts(s["z"], 3), parts(s["x"], 3))).alias("y")), axes)
+    across = lambda s: let(F.struct(s["x"].alias("x"), unit(F.array(*cross(parts(s["x"], 3), parts(s["b"], 3)))).alias("z")), whole)
+    turned = lambda s: let(F.struct(unit(s["a"]).alias("x"), s["b"].alias("b")), across)
+    good = lambda s: (dot(parts(s["a"], 3), parts(s["a"], 3)) > 0) & let(F.array(*cross(parts(s["a"], 3), parts(s["b"], 3))), lambda c: dot(parts(c, 3), parts(c, 3)) > 0)
+    ends = let(r, lambda r: F.struct(F.array(*parts(r, 6)[:3]).alias("a"), F.array(*parts(r, 6)[3:]).alias("b")))
+    return let(ends, lambda s: F.when(good(s), turned(s)))
 
 
 def rotvec(q: Column) -> Column:

@@ -352,8 +352,8 @@ def matrix_to_quat(spark, d):
 @query(f"WITH {_Q}, {_M} SELECT vec_id, round(m0, 6) AS a0, round(m3, 6) AS a1, round(m6, 6) AS a2, round(m1, 6) AS b0, round(m4, 6) AS b1, round(m7, 6) AS b2, round(m2, 6) AS c0 FROM m")
 def rot6d(spark, d):
     six = G.matrix_to_6d(G.to_matrix(F.col("q")))
-    back = G.matrix_from_6d(six)
-    return rotations(spark, d).select("vec_id", *listed(six, ["a0", "a1", "a2", "b0", "b1", "b2"]), r6(F.get(back, F.lit(2))).alias("c0"))
+    r = rotations(spark, d).select("vec_id", six.alias("six")).withColumn("back", G.matrix_from_6d(F.col("six")))
+    return r.select("vec_id", *listed(F.col("six"), ["a0", "a1", "a2", "b0", "b1", "b2"]), r6(F.get("back", F.lit(2))).alias("c0"))
 
 
 @query(f"""WITH {_Q}, a AS (SELECT *, x * x1 + y * y1 + z * z1 + w * w1 AS d FROM q), b AS (SELECT *, acos(least(abs(d), 1)) AS t, CASE WHEN d < 0 THEN -1 ELSE 1 END AS g FROM a),
