@@ -1,8 +1,8 @@
 """Preparation of raw pairs over frames: gates, one timeline, robot and human features, measures.
 
 A pair is one row of arrays. Its timeline, its resampled frames and what is taken over a whole sequence (floors, anchor, smoothed facing) are expressions over that row;
-then frames are rows, each with the frames beside it, so velocities need no window. Measures are aggregates by sample whose partial sums are made where the frames are: one row a
-sample is shuffled, and no frame is. `frames` gives the features in the long layout that sources.corpus.write takes.
+then frames are rows, each with the frames beside it, so velocities need no window. What is computed of one frame is NumPy over batches of frames of any samples, a batch bounded by Arrow's
+number of rows. Measures are aggregates by sample whose partial sums are made where the frames are: one row a sample is shuffled, and no frame is. `frames` gives the features in the long layout that sources.corpus.write takes.
 
 pairs: sample_id (unique), human (flat, 22 joints), human_fps, root, rotation (x, y, z, w), dof, robot_fps, all z-up; optional bodies (flat) and body_names give tracks of robot
 bodies, of which the ankles are used in place of forward kinematics; a row with an optional reason was rejected before and keeps it. Null arrays break the shape.
@@ -10,9 +10,10 @@ bodies, of which the ankles are used in place of forward kinematics; a row with
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,6 @@ from strideflow import constants as C
 from strideflow.functions import geometry as G
 from strideflow.functions import kernels as K
 from strideflow.operators import quality, timeline
-from strideflow.operators.metrics import joint_distances
 from strideflow.sources.shared import scratch
 
 ANKLES = ("left_ankle_roll_link", "right_ankle_roll_link")
@@ -58,6 +58,53 @@ def quantile(values: Column, q: float) -> Column:
     return G.let(F.sort_array(values), lambda s: F.when(F.size(s) > 0, low(s) + (high(s) - low(s)) * (place(s) - F.floor(place(s)))))
 
 
+# ---- batches of frames
+
+
+def _values(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """A column of numbers, or of arrays of one width as (rows, width); NaN for nulls."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False).astype(float)
+    some = column.is_valid().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    width = width or (len(flat) // max(some.sum(), 1))
+    out = np.full((len(column), width), np.nan)
+    if width:  # none where every row is null
+        out[some] = flat.reshape(-1, width)
+    return out
+
+
+def _nullable(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The inverse: NaN becomes null."""
+    flat = pa.array(values.ravel(), mask=np.isnan(values.ravel())).cast(kind)
+    return flat if values.ndim == 1 else pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], flat)
+
+
+def _by_frame(frames: DataFrame, columns: dict[str, Column], keep: list[str], run: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray | pa.Array]], schema: str) -> DataFrame:
+    """keep and the columns of schema, which run makes of the given columns of a batch of frames."""
+    names = [*columns]
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            with np.errstate(invalid="ignore", divide="ignore"):
+                made = run({k: _values(batch.column(f"_{k}")) for k in names})
+            arrays = {k: v if isinstance(v, pa.Array) else _nullable(v, pa.float32() if v.dtype == np.float32 else pa.float64()) for k, v in made.items()}
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *arrays.values()], [*keep, *arrays])
+
+    given = frames.select(*keep, *[c.alias(f"_{k}") for k, c in columns.items()])
+    return given.mapInArrow(batches, ", ".join([*(f"{k} {given.schema[k].dataType.simpleString()}" for k in keep), schema]))
+
+
+def _points(flat: np.ndarray) -> np.ndarray:
+    return flat.reshape(len(flat), -1, 3)
+
+
+def _norm(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(-1))
+
+
 # ---- gates on whole rows
 
 
@@ -92,10 +139,14 @@ def skeleton_measures(rows: DataFrame) -> DataFrame:
     human = F.col("human")
     frames = _each(F.col("frames_a"), lambda k: F.struct(_at(human, k, 3 * JOINTS).alias("now"), F.when(k > 0, _at(human, k - 1, 3 * JOINTS)).alias("before")))
     f = rows.select("sample_id", "human_fps", F.explode(F.when(F.col("frames_a") > 0, frames)).alias("f"))
-    point = lambda j: G.parts(F.slice("f.now", 3 * j + 1, 3), 3)
-    bones = [_length([b - a for a, b in zip(point(PARENTS[j]), point(j), strict=True)]).alias(f"b{j}") for j in range(1, JOINTS)]
-    fastest = F.array_max(joint_distances(F.col("f.now"), F.col("f.before"), JOINTS))
-    f = f.select("sample_id", *bones, (F.when(F.col("f.before").isNotNull(), fastest) * F.col("human_fps")).alias("speed"))
+
+    def measured(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        now = _points(c["now"])
+        speed = _norm(now - _points(c["before"])).max(1) if c["before"].shape[1] else np.full(len(now), np.nan)
+        return {"lengths": _norm(now[:, 1:] - now[:, PARENTS[1:]]), "speed": speed * c["human_fps"]}
+
+    f = _by_frame(f, {"now": F.col("f.now"), "before": F.col("f.before"), "human_fps": F.col("human_fps")}, ["sample_id"], measured, "lengths array<double>, speed double")
+    f = f.select("sample_id", "speed", *[F.get("lengths", F.lit(j - 1)).alias(f"b{j}") for j in range(1, JOINTS)])
     total = lambda bones: sum((F.col(f"b{j}") for j in bones[1:]), F.col(f"b{bones[0]}"))
     f = f.withColumn("height", (total(LEGS[0]) + total(LEGS[1])) / 2 + total(SPINE))
     spread = F.array(*[F.struct(F.avg(f"b{j}").alias("mean"), F.stddev_pop(f"b{j}").alias("std")) for j in range(1, JOINTS)])
@@ -243,94 +294,87 @@ def beside(rows: DataFrame) -> DataFrame:
     return rows.select("sample_id", "floor_y", "ground_y", "origin", "basis", "ahead", "start", F.explode(F.transform("grid", one)).alias("f")).select("*", "f.*").drop("f")
 
 
-def _feet(side: Column) -> list[list[Column]]:
-    return [G.parts(F.slice(side["feet"], 3 * k + 1, 3), 3) for k in range(2)]
-
-
 def aligned_measures(frames: DataFrame) -> DataFrame:
     """(sample_id, points, the measures but for quaternion_norm_error, undefined, origin, basis): undefined is the reason of frames without features."""
-    fps = float(C.TARGET_FPS)
-    c, now, before = F.col, F.col("now.robot"), F.col("before")
-    some = before.isNotNull()
-    joints = joint_distances(c("now.human"), c("human_before"), JOINTS)
-    turned = F.least(F.abs(G.dot(G.parts(now["q"], 4), G.parts(before["q"], 4))), F.lit(1.0))
-    change = F.zip_with(now["dof"], before["dof"], lambda a, b: F.abs(a - b) * fps)
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    slides = [F.struct((p[1] - c("floor_y")).alias("height"), (F.hypot(p[0] - o[0], p[2] - o[2]) * fps).alias("speed")) for p, o in zip(_feet(now), _feet(before), strict=True)]
-    near = F.transform(F.filter(F.array(*slides), lambda s: s["height"] <= C.NEAR_FLOOR_M), lambda s: s["speed"])
-    root = _length([a - b for a, b in zip(G.parts(now["root"], 3), G.parts(before["root"], 3), strict=True)])
-    f = frames.select(
-        "sample_id", "floor_y", "origin", "basis", "ahead", F.when(some, F.transform(joints, lambda d: d * fps)).alias("joints"), F.when(some, root * fps).alias("root"), F.when(some, 2 * F.acos(turned) * fps).alias("angle"),
-        F.when(some, change).alias("dof"), F.when(some, near).alias("near"), F.least(*[p[1] for p in _feet(now)]).alias("low"),
-    ).withColumns({"x": mean(c("joints")), "y": mean(c("dof"))})
+    fps, c = float(C.TARGET_FPS), F.col
+
+    def measured(c: dict[str, np.ndarray]) -> dict[str, np.ndarray | pa.Array]:
+        some = ~np.isnan(c["root0"][:, :1]).all(1) if c["root0"].shape[1] else np.zeros(len(c["root"]), bool)
+        c = c | {k: c[k[:-1]] if not c[k].shape[1] else c[k] for k in ("human0", "root0", "q0", "dof0", "feet0")}  # a batch of first frames alone
+        joints, dof, feet, own = _norm(_points(c["human"]) - _points(c["human0"])) * fps, np.abs(c["dof"] - c["dof0"]) * fps, _points(c["feet"]), np.where(some, 1.0, np.nan)
+        slide = np.hypot(*np.moveaxis((feet - _points(c["feet0"]))[..., [0, 2]], -1, 0)) * fps
+        near = (feet[..., 1] - c["floor_y"][:, None] <= C.NEAR_FLOOR_M) & some[:, None]
+        angle = 2 * np.arccos(np.minimum(np.abs((c["q"] * c["q0"]).sum(1)), 1.0)) * fps
+        first = np.concatenate([[0], np.cumsum(near.sum(1))]).astype(np.int32)
+        return {
+            "joints": joints.max(1) * own, "root": _norm(c["root"] - c["root0"]) * fps * own, "angle": angle * own, "dof": dof.max(1) * own, "near": pa.ListArray.from_arrays(first, pa.array(slide[near])),
+            "low": feet[..., 1].min(1), "x": joints.mean(1) * own, "y": dof.mean(1) * own,
+        }
+
+    sides = {f"{k}{n}": c(f"{side}.{k}") for side, n in (("now.robot", ""), ("before", 0)) for k in ("root", "q", "dof", "feet")}
+    given = sides | {"human": c("now.human"), "human0": c("human_before"), "floor_y": c("floor_y")}
+    f = _by_frame(frames, given, ["sample_id", "floor_y", "origin", "basis", "ahead"], measured, "joints double, root double, angle double, dof double, near array<double>, low double, x double, y double")
     largest = lambda x: F.coalesce(F.max(x), F.lit(0.0))
     undefined = F.coalesce(F.when(F.bool_or(c("basis").isNull()), "g1_root_upright"), F.when(F.bool_or(c("ahead").isNull()), "human_hip_direction"))
     return f.groupBy("sample_id").agg(
-        F.count("*").alias("points"), largest(F.array_max("joints")).alias("max_joint_speed"), largest("root").alias("max_root_speed"), largest("angle").alias("max_angular_speed"), largest(F.array_max("dof")).alias("max_dof_speed"),
+        F.count("*").alias("points"), largest("joints").alias("max_joint_speed"), largest("root").alias("max_root_speed"), largest("angle").alias("max_angular_speed"), largest("dof").alias("max_dof_speed"),
         F.coalesce(quality.guarded_corr("x", "y"), F.lit(1.0)).alias("energy_correlation"), F.min("floor_y").alias("floor_y"), F.greatest(F.lit(0.0), -F.min("low")).alias("foot_penetration"),
         F.coalesce(quantile(F.flatten(F.collect_list("near")), 0.95), F.lit(0.0)).alias("near_floor_slide"), undefined.alias("undefined"),
         F.any_value("origin").alias("origin"), F.any_value("basis").alias("basis"),
     )
 
 
-def robot_features() -> Column:
-    """(75) of a frame of `beside`: position, rotation columns and joints in the anchored frame, causal velocities in the axes of the frame before (zero on the first), contacts."""
-    fps = float(C.TARGET_FPS)
-    now, before, c = F.col("now.robot"), F.col("before"), F.col
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
-    q, q0 = G.parts(now["q"], 4), G.parts(before["q"], 4)
-    columns = lambda m: [G.multiply(c("basis"), F.array(*[F.get(m, F.lit(3 * r + k)) for r in range(3)])) for k in range(2)]
-    turned = G.let(G.to_matrix(now["q"]), lambda m: F.concat(*columns(m)))
-    step = [(a - b) * fps for a, b in zip(G.parts(now["root"], 3), G.parts(before["root"], 3), strict=True)]
-    linear = F.array(*G.rotate(G.conjugate(q0), step))
-    angular = G.let(G.upright(G.product(G.conjugate(q0), q)), lambda r: F.transform(G.rotvec(r), lambda x: x * fps))
-    some = lambda x, n: F.when(before.isNotNull(), x).otherwise(zeros(n))
-    joints = F.zip_with(now["dof"], before["dof"], lambda a, b: (a - b) * fps)
-    contact = [
-        F.when((p[1] - c("floor_y") <= C.CONTACT_HEIGHT_M) & (F.coalesce(_length([a - b for a, b in zip(p, o, strict=True)]) * fps, F.lit(0.0)) <= C.CONTACT_SPEED_M_S), 1.0).otherwise(0.0)
-        for p, o in zip(_feet(now), _feet(before), strict=True)
-    ]
-    still = F.transform(now["dof"], lambda _: F.lit(0.0))
-    parts = [G.to_episode(now["root"], c("origin"), c("basis")), turned, now["dof"], some(linear, 3), some(angular, 3), F.when(before.isNotNull(), joints).otherwise(still), F.array(*contact)]
-    return F.concat(*parts).cast("array<float>")
-
-
-def _placed(p: Column) -> Column:
-    """Joints moved to the floor and the origin and turned about the vertical, by the columns ground_y, start and ahead."""
-    fx, fz = G.parts(F.col("ahead"), 2)
-    x0, z0 = G.parts(F.col("start"), 2)
-
-    def point(j: Column) -> Column:
-        x, y, z = G.parts(_at(p, j, 3), 3)
-        return F.array(fz * (x - x0) - fx * (z - z0), y - F.col("ground_y"), fx * (x - x0) + fz * (z - z0))
-
-    return F.flatten(_each(F.lit(JOINTS), point))
-
-
-def human_features(frames: DataFrame, threshold: float = 0.002) -> DataFrame:
-    """Adds human (262): positions on the floor with the first root over the origin and facing +z, displacement to the next frame, rotations of 21 joints, contacts of four foot joints.
+def robot_features(c: dict[str, np.ndarray]) -> np.ndarray:
+    """(75) of frames of `beside`: position, rotation columns and joints in the anchored frame, causal velocities in the axes of the frame before (zero on the first), contacts."""
+    fps, some = float(C.TARGET_FPS), ~np.isnan(c["root0"][:, :1]) if c["root0"].shape[1] else np.zeros((len(c["root"]), 1), bool)
+    before = {k: np.where(some, c[f"{k}0"], c[k]) if c[f"{k}0"].shape[1] else c[k] for k in ("root", "q", "dof", "feet")}  # a first frame has moved from where it is
+    basis, feet = c["basis"].reshape(-1, 3, 3), _points(c["feet"])
+    wxyz = lambda q: np.concatenate([q[:, 3:], q[:, :3]], 1)
+    local = (basis @ (c["root"] - c["origin"] * (1, 0, 1))[..., None])[..., 0]
+    turned = np.swapaxes(basis @ K.matrices(c["q"])[..., :2], 1, 2).reshape(-1, 6)
+    back = K.conjugate(wxyz(before["q"]))
+    step = K.hamilton(back, wxyz(c["q"]))
+    step = np.where(step[:, :1] < 0, -step, step)
+    length = np.linalg.norm(step[:, 1:], axis=1, keepdims=True)
+    angular = step[:, 1:] * np.where(length < 1e-12, 2.0, 2 * np.arctan2(length, step[:, :1]) / np.where(length < 1e-12, 1.0, length)) * fps
+    speed = _norm(feet - _points(before["feet"])) * fps
+    contact = (feet[..., 1] - c["floor_y"][:, None] <= C.CONTACT_HEIGHT_M) & (speed <= C.CONTACT_SPEED_M_S)
+    linear = K.turn(back, (c["root"] - before["root"]) * fps)
+    return np.concatenate([local, turned, c["dof"], np.where(some, linear, 0.0), np.where(some, angular, 0.0), (c["dof"] - before["dof"]) * fps, contact], 1).astype(np.float32)
+
+
+def human_features(c: dict[str, np.ndarray], threshold: float) -> np.ndarray:
+    """(262) of frames of `beside`: positions on the floor with the first root over the origin and facing +z, displacement to the next frame, rotations of 21 joints, contacts of four foot joints.
 
     The facing mixes hips with shoulders and is smoothed; the first frame is not turned. The rotation of a bone in the world is the shortest turn from its rest direction; along a chain each is taken relative to the one before it, and at the chain's start to the
-    facing. A bone that points exactly against its rest direction has null columns.
+    facing. A bone that points exactly against its rest direction has NaN.
     """
-    f = frames.withColumns({"p": _placed(F.col("now.human")), "a": _placed(F.col("a")), "b": _placed(F.col("b"))})
-    f = f.withColumn("step", F.zip_with("a", "b", lambda x, y: y - x))
-    fx, fz = G.parts(F.col("ahead"), 2)
-    sx, sz = F.col("face.x"), F.col("face.z")
-    up = [fz * sx - fx * sz, F.lit(0.0), fx * sx + fz * sz]
-    first = F.array(*[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)])
-    root = F.when(F.col("t") == 0, first).otherwise(G.arc(up, [F.lit(0.0), F.lit(0.0), F.lit(1.0)]))
-    before = {child: parent for chain in K.CHAINS for parent, child in zip((None, *chain[1:-1]), chain[1:], strict=True)}
+    (fx, fz), (x0, z0), ground = c["ahead"].T[..., None], c["start"].T[..., None], c["ground_y"][:, None]
+
+    def placed(flat: np.ndarray) -> np.ndarray:
+        """Joints moved to the floor and the origin and turned about the vertical."""
+        x, y, z = np.moveaxis(_points(flat), -1, 0)
+        return np.stack([fz * (x - x0) - fx * (z - z0), y - ground, fx * (x - x0) + fz * (z - z0)], -1)
+
+    p, step = placed(c["human"]), placed(c["b"]) - placed(c["a"])
+    (sx, sz), zero = c["face"].T, np.zeros(len(p))
+    facing = K.arc(np.stack([fz[:, 0] * sx - fx[:, 0] * sz, zero, fx[:, 0] * sx + fz[:, 0] * sz], 1), np.array([0.0, 0.0, 1.0]) + np.zeros((len(p), 3)))
+    facing[c["t"] == 0] = (1, 0, 0, 0)
+    before = {child: parent or 0 for chain in K.CHAINS for parent, child in zip((None, *chain[1:-1]), chain[1:], strict=True)}
     above = {child: parent for chain in K.CHAINS for parent, child in zip(chain[:-1], chain[1:], strict=True)}
-    table = F.array(*[F.struct(F.lit(above.get(j, 0)).alias("above"), _literal(K.REST_DIRECTIONS[j]).alias("rest")) for j in range(JOINTS)])
-    bone = lambda s, j: [y - x for x, y in zip(G.parts(_at(F.col("p"), s["above"], 3), 3), G.parts(_at(F.col("p"), j, 3), 3), strict=True)]
-    world = F.transform(table, lambda s, j: F.when(j == 0, F.col("facing")).otherwise(G.arc(G.parts(s["rest"], 3), bone(s, j))))
-    f = f.withColumn("facing", root).withColumn("world", world)
-    chain = F.array(*[F.lit(before[j] or 0) for j in range(1, JOINTS)])
-    local = F.transform(chain, lambda k, j: F.array(*G.product(G.conjugate(G.parts(F.get("world", k), 4)), G.parts(F.get("world", j + 1), 4))))
-    turns = F.flatten(F.transform(local, lambda q: G.matrix_to_6d(G.to_matrix(q))))
-    still = F.array(*[F.when(G.dot(d, d) < threshold, 1.0).otherwise(0.0) for d in (G.parts(F.slice("step", 3 * j + 1, 3), 3) for j in K.FEET)])
-    return f.withColumn("human", F.concat("p", "step", turns, still).cast("array<float>")).drop("p", "a", "b", "step", "facing", "world")
+    rest = np.broadcast_to(np.array(K.REST_DIRECTIONS[1:], float), (len(p), JOINTS - 1, 3))
+    world = np.concatenate([facing[:, None], K.arc(rest, p[:, 1:] - p[:, [above[j] for j in range(1, JOINTS)]])], 1)
+    local = K.hamilton(K.conjugate(world[:, [before[j] for j in range(1, JOINTS)]]), world[:, 1:])
+    still = (step[:, K.FEET] ** 2).sum(-1) < threshold
+    return np.concatenate([a.reshape(len(p), -1) for a in (p, step, K.rotation_columns(local), still)], 1).astype(np.float32)
+
+
+def features(frames: DataFrame, threshold: float = 0.002) -> DataFrame:
+    """(sample_id, t, human array<float> (262), robot array<float> (75)) of frames of `beside` that have a basis and a way ahead; what is undefined is null."""
+    c = F.col
+    sides = {f"{k}{n}": c(f"{side}.{k}") for side, n in (("now.robot", ""), ("before", 0)) for k in ("root", "q", "dof", "feet")}
+    own = {"human": c("now.human"), "a": c("a"), "b": c("b"), "face": F.array("face.x", "face.z"), "t": c("t")} | {k: c(k) for k in ("ground_y", "floor_y", "ahead", "start", "origin", "basis")}
+    return _by_frame(frames, own | sides, ["sample_id", "t"], lambda v: {"human": human_features(v, threshold), "robot": robot_features(v)}, "human array<float>, robot array<float>")
 
 
 # ---- the job
@@ -356,8 +400,8 @@ def prepare(pairs: DataFrame, limits: list[tuple[float, float]], tree: K.BodyTre
     records = found.select(
         "sample_id", "reason", detail.alias("detail"), F.when(accepted, F.col("points")).alias("frames"), *[F.when(accepted, F.col(m)).alias(m) for m in MEASURES], F.when(accepted, F.col("origin")).alias("origin"), F.when(accepted, basis).alias("basis")
     )
-    kept = human_features(steps.where("basis IS NOT NULL AND ahead IS NOT NULL").withColumn("robot", robot_features())).select("sample_id", "t", "human", "robot")
-    return records, kept.join(records.where("reason IS NULL").select("sample_id"), "sample_id", "left_semi")
+    accepted = rows.join(records.where("reason IS NULL").select("sample_id"), "sample_id", "left_semi")
+    return records, features(beside(accepted.where("basis IS NOT NULL AND ahead IS NOT NULL")))
 
 
 def prepared_rows(records: DataFrame, frames: DataFrame) -> DataFrame:

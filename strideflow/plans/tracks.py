@@ -50,7 +50,7 @@ def robot() -> BodyTree:
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """A pair for each user: a human that walks by the events at 20 frames a second, a robot that follows every second event at 10 a second. One of eight kinds of users each breaks another gate."""
     s = frames.sequence_arrays(event_frames(spark, d), "value").withColumn("kind", F.col("sample_id") % 8)
-    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sample_id")  # a given number is not coalesced: the rows are small, the work on them is not
+    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("sample_id"))  # a given number is not coalesced: the rows are small, the work on them is not; by the key itself Spark would leave it out
     kind = F.col("kind")
     skeleton = _joints(np.zeros(1))[0][:, [0, 2, 1]] * (1, -1, 1)
     base = F.array(*[F.lit(float(x)) for x in skeleton.ravel()])

@@ -18,3 +18,36 @@ def test_gram_schmidt_is_small_and_right(spark):
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     np.testing.assert_allclose([g.m for g in got[:20]], np.stack([x, np.cross(z, x), z], 2).reshape(20, 9), atol=1e-12)
     assert [g.m for g in got[20:]] == [None] * 3
+
+
+def test_pairs_are_spread_over_tasks(spark, data):
+    """Spark leaves a repartition by the window's own key out, and then merges the small rows of all pairs into one task."""
+    from strideflow.plans import tracks as plans
+    from strideflow.sources.shared import materialise
+
+    files = materialise(plans.pairs(spark, data), "pairs").select(F.input_file_name()).distinct().count()
+    assert files == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_undefined_turns_are_null_in_batches_of_first_frames(spark):
+    """A batch may have first frames alone, without a frame before; a bone against its rest direction has no turn."""
+    from strideflow.functions import kernels as K
+    from strideflow.operators import tracks
+
+    joints = np.zeros((22, 3))
+    for chain in K.CHAINS:
+        for a, b in zip(chain[:-1], chain[1:], strict=True):
+            joints[b] = joints[a] + 0.3 * np.array(K.REST_DIRECTIONS[b]) * (-1 if b == 21 else 1)
+    human = joints.ravel().tolist()
+    robot = (([0.0, 0.8, 0.0]), [0.0, 0.0, 0.0, 1.0], [0.1] * 29, [0.0, 0.02, 0.1, 0.0, 0.02, -0.1])
+    side = "struct<root array<double>, q array<double>, dof array<double>, feet array<double>>"
+    schema = f"sample_id string, t long, now struct<human array<double>, robot {side}>, before {side}, human_before array<double>, a array<double>, b array<double>, face struct<x double, z double>, floor_y double, ground_y double, origin array<double>, basis array<double>, ahead array<double>, start array<double>"
+    row = ("a", 0, (human, robot), None, None, human, human, (0.0, 1.0), 0.02, 0.0, [0.0] * 3, [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0], [0.0, 1.0], [0.0, 0.0])
+    row = tuple([float(x) for x in v] if isinstance(v, list) else v for v in row)
+    frames = spark.createDataFrame([row], schema)
+    f = tracks.features(frames).first()
+    turns = np.array(f.human[132:258], float).reshape(21, 6)
+    assert np.isnan(turns[20]).all() and np.isfinite(turns[:20]).all() and f.human[20 * 6 + 138 - 6] is None
+    assert list(f.robot[38:73]) == [0.0] * 35 and list(f.robot[73:]) == [1.0, 1.0] and len(f.robot) == 75
+    m = tracks.aligned_measures(frames).first()
+    assert (m.points, m.max_joint_speed, m.max_dof_speed, m.near_floor_slide, m.energy_correlation) == (1, 0.0, 0.0, 0.0, 1.0)
