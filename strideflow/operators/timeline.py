@@ -24,7 +24,8 @@ def brackets(points: DataFrame, targets: DataFrame, sample: str, time: str, valu
     """(sample, x, b): for each target the source at or before it and the one after that, as b (s, v, next_s, next_v).
 
     As-of brackets without a range join: sources and targets are put in one order per sample, and one last() in either direction carries a source to the
-    targets, in time linear in the points. Both windows are by sample, so the merge shuffles once. value may be of any type.
+    targets, in time linear in the points. Both windows are by sample, so the merge shuffles once. value may be of any type. All targets are sorted; those of a regular
+    grid come from grid_brackets, which sorts sources alone.
     """
     marked = points.select(sample, F.col(time).alias("x"), F.lit(0).alias("is_target"), value.alias("v"))
     wanted = targets.select(sample, F.col(at).alias("x"), F.lit(1).alias("is_target"), F.lit(None).cast(marked.schema["v"].dataType).alias("v"))
@@ -36,12 +37,46 @@ def brackets(points: DataFrame, targets: DataFrame, sample: str, time: str, valu
     return merged.select(sample, "x", F.struct(F.col("p.s").alias("s"), F.col("p.v").alias("v"), F.col("q.s").alias("next_s"), F.col("q.v").alias("next_v")).alias("b"))
 
 
-def resample_linear(points: DataFrame, targets: DataFrame, sample: str, time: str = "s", value: str = "value", at: str = "at") -> DataFrame:
-    """(sample, at, value): linear interpolation at each target; the last value from the last source on."""
-    both = brackets(points, targets, sample, time, F.col(value).cast("double"), at)
+def grid_brackets(points: DataFrame, fps: float, sample: str, time: str, value: Column, ties: tuple[str, ...] = ()) -> DataFrame:
+    """(sample, i, x, b): brackets at the points of `grid` from a sample's first source to its last; of sources of one time the last by ties counts.
+
+    Each source makes the points up to the next one where it stands, so points are neither sorted nor shuffled nor held, however many they are. Their numbers are found by division, with one more on
+    either side, and then compared as times.
+    """
+    own = Window.partitionBy(sample)
+    c, order = F.col, own.orderBy(time, *ties)
+    held = F.struct(c(time).alias("s"), value.alias("v"), F.lead(time).over(order).alias("next_s"), F.lead(value).over(order).alias("next_v"))
+    rows = points.select(sample, held.alias("b"), F.min(time).over(own).alias("first"), F.max(time).over(own).alias("last"))
+    end = grid_size(c("first"), c("last"), fps) - 1
+    place = lambda x: (x - c("first")) * F.lit(float(fps))
+    low = F.greatest(F.floor(place(c("b.s"))).cast("long") - 1, F.lit(0).cast("long"))
+    high = F.coalesce(F.least(F.ceil(place(c("b.next_s"))).cast("long") + 1, end), end)
+    near = rows.withColumn("i", F.explode(F.sequence(low, F.greatest(low, high)))).withColumn("x", c("first") + c("i") / F.lit(float(fps)))
+    return near.where((c("i") <= end) & (c("x") >= c("b.s")) & (c("b.next_s").isNull() | (c("x") < c("b.next_s")))).select(sample, "i", "x", "b")
+
+
+def _linear() -> Column:
+    """The value at x between a bracket's ends; the last value from the last source on."""
     share = (F.col("x") - F.col("b.s")) / (F.col("b.next_s") - F.col("b.s"))
     inside = F.col("b.v") + (F.col("b.next_v") - F.col("b.v")) * share
-    return both.select(sample, F.col("x").alias(at), F.when(F.col("b.next_s").isNull() | (F.col("x") == F.col("b.s")), F.col("b.v")).otherwise(inside).alias(value))
+    return F.when(F.col("b.next_s").isNull() | (F.col("x") == F.col("b.s")), F.col("b.v")).otherwise(inside)
+
+
+def _turned(both: DataFrame, *kept: Column | str, rotation: str) -> DataFrame:
+    share = (F.col("x") - F.col("b.s")) / (F.col("b.next_s") - F.col("b.s"))
+    both = both.withColumns({"share": share, "ends": F.when(F.col("b.next_s").isNotNull() & (F.col("x") != F.col("b.s")), F.col("b"))})
+    turned = geometry.slerp(F.col("ends.v"), F.col("ends.next_v"), F.col("share"))
+    return both.select(*kept, F.when(F.col("ends").isNull(), F.col("b.v")).otherwise(turned).alias(rotation))
+
+
+def resample_linear(points: DataFrame, targets: DataFrame, sample: str, time: str = "s", value: str = "value", at: str = "at") -> DataFrame:
+    """(sample, at, value): linear interpolation at each target; the last value from the last source on."""
+    return brackets(points, targets, sample, time, F.col(value).cast("double"), at).select(sample, F.col("x").alias(at), _linear().alias(value))
+
+
+def grid_linear(points: DataFrame, fps: float, sample: str, time: str = "s", value: str = "value", at: str = "at", ties: tuple[str, ...] = ()) -> DataFrame:
+    """(sample, i, at, value): the same at the points of each sample's own grid."""
+    return grid_brackets(points, fps, sample, time, F.col(value).cast("double"), ties).select(sample, "i", F.col("x").alias(at), _linear().alias(value))
 
 
 def resample_rotations(points: DataFrame, targets: DataFrame, sample: str, time: str = "s", rotation: str = "rotation", at: str = "at") -> DataFrame:
@@ -49,11 +84,13 @@ def resample_rotations(points: DataFrame, targets: DataFrame, sample: str, time:
 
     Sources are brought to length 1 first, so results have length 1.
     """
-    both = brackets(points, targets, sample, time, geometry.normalize(F.col(rotation)), at)
-    share = (F.col("x") - F.col("b.s")) / (F.col("b.next_s") - F.col("b.s"))
-    both = both.withColumns({"share": share, "ends": F.when(F.col("b.next_s").isNotNull() & (F.col("x") != F.col("b.s")), F.col("b"))})
-    turned = geometry.slerp(F.col("ends.v"), F.col("ends.next_v"), F.col("share"))
-    return both.select(sample, F.col("x").alias(at), F.when(F.col("ends").isNull(), F.col("b.v")).otherwise(turned).alias(rotation))
+    return _turned(brackets(points, targets, sample, time, geometry.normalize(F.col(rotation)), at), sample, F.col("x").alias(at), rotation=rotation)
+
+
+def grid_rotations(points: DataFrame, fps: float, sample: str, time: str = "s", rotation: str = "rotation", at: str = "at", ties: tuple[str, ...] = ()) -> DataFrame:
+    """(sample, i, at, rotation): the same at the points of each sample's own grid."""
+    unit = points.withColumn(rotation, geometry.normalize(F.col(rotation)))  # once a source
+    return _turned(grid_brackets(unit, fps, sample, time, F.col(rotation), ties), sample, "i", F.col("x").alias(at), rotation=rotation)
 
 
 def duration_tolerance(fps_a: Column, fps_b: Column) -> Column:

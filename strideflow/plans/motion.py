@@ -112,12 +112,8 @@ def target_timeline(spark, d):
     SELECT g.sample_id, g.i, round(CASE WHEN a.s1 IS NULL OR g.at = a.s THEN a.value ELSE a.value + (a.v1 - a.value) * ((g.at - a.s) / (a.s1 - a.s)) END, 5) AS value
     FROM g ASOF JOIN a ON g.sample_id = a.sample_id AND g.at >= a.s""")
 def resample_linear(spark, d):
-    f = event_frames(spark, d)
-    e = f.groupBy("sample_id").agg(F.min("s").alias("first_s"), F.max("s").alias("last_s"))
-    g = timeline.grid(e, HOURLY)
-    out = timeline.resample_linear(f.select("sample_id", "s", "value"), g, "sample_id")
-    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("at")).cast("long") - 1
-    return out.select("sample_id", place.alias("i"), F.round("value", 5).alias("value"))
+    out = timeline.grid_linear(event_frames(spark, d).select("sample_id", "s", "t", "value"), HOURLY, "sample_id", ties=("t",))
+    return out.select("sample_id", "i", F.round("value", 5).alias("value"))
 
 
 @query("""+ c AS (SELECT sample_id, count(*) FILTER (event_type = 'view') AS a, count(*) FILTER (event_type = 'click') AS b FROM f GROUP BY 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.functions import keys
@@ -37,10 +37,8 @@ def resample_rotation(spark, d):
     """Rotations of events on an hourly grid."""
     f = event_frames(spark, d)
     q = F.array(F.sin("value"), F.cos("value") / 2, F.lit(0.3), F.lit(0.1) + F.col("t") % 5)
-    g = timeline.grid(f.groupBy("sample_id").agg(F.min("s").alias("first_s"), F.max("s").alias("last_s")), HOURLY)
-    out = timeline.resample_rotations(f.select("sample_id", "s", q.alias("rotation")), g, "sample_id")
-    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("at")).cast("long") - 1
-    return out.select("sample_id", place.alias("i"), *[(F.round(F.col("rotation")[k], 5) + 0.0).alias(c) for k, c in enumerate("xyzw")])
+    out = timeline.grid_rotations(f.select("sample_id", "s", "t", q.alias("rotation")), HOURLY, "sample_id", ties=("t",))
+    return out.select("sample_id", "i", *[(F.round(F.col("rotation")[k], 5) + 0.0).alias(c) for k, c in enumerate("xyzw")])
 
 
 _WORD = "lambda x: substr(x, 7, 2) || substr(x, 5, 2) || substr(x, 3, 2) || substr(x, 1, 2)"

@@ -51,3 +51,22 @@ def test_undefined_turns_are_null_in_batches_of_first_frames(spark):
     assert list(f.robot[38:73]) == [0.0] * 35 and list(f.robot[73:]) == [1.0, 1.0] and len(f.robot) == 75
     m = tracks.aligned_measures(frames).first()
     assert (m.points, m.max_joint_speed, m.max_dof_speed, m.near_floor_slide, m.energy_correlation) == (1, 0.0, 0.0, 0.0, 1.0)
+
+
+def test_grid_points_equal_given_targets_and_are_not_sorted(spark):
+    """The points of a grid are as many as a sample is long, not as it has sources: they come after the sort."""
+    from strideflow.operators import timeline
+
+    rng = np.random.default_rng(3)
+    rows = [(k, float(s), t, float(v)) for k in range(6) for t, (s, v) in enumerate(zip(np.sort(np.round(rng.uniform(0, 40, 1 + 3 * k), 1)), rng.normal(size=1 + 3 * k), strict=True))]
+    rows += [(9, 5.0, 0, 1.0), (9, 5.0, 1, 2.0), (9, 7.0, 2, 4.0)]
+    points = spark.createDataFrame(rows, "id long, s double, t long, value double")
+    fps = 1 / 0.3
+    targets = timeline.grid(points.groupBy("id").agg(F.min("s").alias("first_s"), F.max("s").alias("last_s")), fps)
+    got = timeline.grid_linear(points, fps, "id", ties=("t",))
+    ours = {(r.id, r.at): r.value for r in got.collect()}
+    theirs = {(r.id, r.at): r.value for r in timeline.resample_linear(points, targets, "id").collect()}
+    assert ours.keys() == theirs.keys() and len(ours) == got.count() > 400 and all(abs(ours[k] - theirs[k]) < 1e-12 for k in ours if k != (9, 5.0))
+    assert ours[9, 5.0] == 2.0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window")  # the plan's top is its end
