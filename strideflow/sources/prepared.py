@@ -14,7 +14,8 @@ frame; robot values pass through single precision before they are stored in doub
     source_fps     not finite or not positive
     source_format  neither safe_npz nor trusted_pickle
 
-A pair is a row, and its archive one value of a row, so nothing is shuffled.
+A pair is a row, and its archive one value of a row, so nothing is shuffled. Pairs are encoded and decoded one at a time, as NumPy arrays over Arrow's buffers, and leave the worker in batches of
+about `SLICE` bytes: what a worker holds depends on the longest pair, not on how many pairs come to it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ RULES = ["unreadable", "fields", "scalar", "shape", "frames", "nonfinite", "mask
 FLAT = ", ".join(f"{k} array<{'float' if k.startswith('human') else 'double'}>" for k in WIDTHS)
 LOADED = f"sequence_id string, reason string, valid_frames int, frames int, source_fps double, source_format string, {FLAT}, frame_mask array<boolean>, anchor_origin array<double>, anchor_basis array<double>"
 ARCHIVE_ERRORS = (ValueError, OSError, KeyError, EOFError, zipfile.BadZipFile, zlib.error, NotImplementedError, AttributeError, TypeError)
+#: Bytes of archives or frames after which a worker hands on a batch.
+SLICE = 8 << 20
 
 
 def padded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,15 +97,37 @@ def decode(content: bytes) -> tuple[str | None, dict]:
 
 def archives(pairs: DataFrame) -> DataFrame:
     """(sequence_id, content) of pairs: sequence_id, source_fps, source_format, the four frame members (flat, row-major, not padded), anchor_origin and anchor_basis (flat)."""
-    names = [*WIDTHS]
+    columns = ["sequence_id", "source_fps", "source_format", *WIDTHS, "anchor_origin", "anchor_basis"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [encode(r.sequence_id, {k: np.asarray(getattr(r, k), float).reshape(-1, WIDTHS[k]) for k in names}, np.asarray(r.anchor_origin, float), np.asarray(r.anchor_basis, float).reshape(3, 3), r.source_fps, r.source_format) for r in batch.itertuples()]
-            yield pd.DataFrame({"sequence_id": batch["sequence_id"], "content": made})
+            held = {k: batch.column(k) for k in columns}
+            made, first, size = [], 0, 0
+            for i in range(batch.num_rows):
+                values = {k: _numbers(held[k], i) for k in (*WIDTHS, "anchor_origin", "anchor_basis")}
+                tracks = {k: values[k].reshape(-1, w) for k, w in WIDTHS.items()}
+                made.append(encode(held["sequence_id"][i].as_py(), tracks, values["anchor_origin"], values["anchor_basis"].reshape(3, 3), held["source_fps"][i].as_py(), held["source_format"][i].as_py()))
+                size += len(made[-1])
+                if i + 1 == batch.num_rows or size >= SLICE:
+                    yield pa.RecordBatch.from_arrays([held["sequence_id"].slice(first, len(made)), pa.array(made, pa.binary())], ["sequence_id", "content"])
+                    made, first, size = [], i + 1, 0
 
-    columns = ["sequence_id", "source_fps", "source_format", *names, "anchor_origin", "anchor_basis"]
-    return pairs.select(*columns).mapInPandas(run, "sequence_id string, content binary")
+    return pairs.select(*columns).mapInArrow(run, "sequence_id string, content binary")
+
+
+def _numbers(column: pa.Array, i: int) -> np.ndarray:
+    """Row i of a column of arrays, without a Python object for each value; NaN for nulls."""
+    return column[i].values.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _row(name: str | None, content: bytes | None) -> tuple:
+    """The values of LOADED for an archive."""
+    reason, d = decode(content if content is not None else b"")
+    if reason:
+        return (name, reason, *[None] * 11)
+    tracks = [d[k].astype(np.float32 if k.startswith("human") else np.float64).ravel() for k in WIDTHS]
+    scalars = int(d["valid_frames"].item()), len(d["human_mask"]), float(d["source_fps"].item()), str(d["source_format"].item())
+    return (str(d["sequence_id"].item()), None, *scalars, *tracks, d["human_mask"], d["anchor_origin"].astype(float), d["anchor_basis"].astype(float).ravel())
 
 
 def load(contents: DataFrame) -> DataFrame:
@@ -110,20 +135,25 @@ def load(contents: DataFrame) -> DataFrame:
 
     The sequence_id of an archive that is read is its own; a refused one keeps that of its row.
     """
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_())}
+    names = {k: kinds[kind] for k, kind in (c.split(" ") for c in LOADED.split(", "))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), names.values(), strict=True)], [*names])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for name, content in zip(batch["sequence_id"], batch["content"], strict=True):
-                reason, d = decode(bytes(content) if content is not None else b"")
-                if reason:
-                    rows.append((name, reason, None, None, None, None, *[None] * 7))
-                    continue
-                tracks = [d[k].astype(np.float32 if k.startswith("human") else np.float64).ravel().tolist() for k in WIDTHS]
-                rows.append((str(d["sequence_id"].item()), None, int(d["valid_frames"].item()), len(d["human_mask"]), float(d["source_fps"].item()), str(d["source_format"].item()), *tracks, d["human_mask"].tolist(), d["anchor_origin"].astype(float).tolist(), d["anchor_basis"].astype(float).ravel().tolist()))
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in LOADED.split(", ")]).astype({"valid_frames": "Int32", "frames": "Int32"})
-
-    return contents.select("sequence_id", "content").mapInPandas(run, LOADED)
+            rows, size = [], 0
+            for i in range(batch.num_rows):
+                rows.append(_row(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()))
+                size += sum(x.nbytes for x in rows[-1] if isinstance(x, np.ndarray)) + 200
+                if size >= SLICE:
+                    yield packed(rows)
+                    rows, size = [], 0
+            if rows:
+                yield packed(rows)
+
+    return contents.select("sequence_id", "content").mapInArrow(run, LOADED)
 
 
 def write(pairs: DataFrame, path: str) -> None:

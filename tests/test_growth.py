@@ -70,3 +70,32 @@ def test_grid_points_equal_given_targets_and_are_not_sorted(spark):
     assert ours[9, 5.0] == 2.0
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Window")  # the plan's top is its end
+
+
+class Given:
+    """A table of one Arrow batch, to see in what batches a function for mapInArrow gives its rows."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+def test_archives_leave_a_worker_in_bounded_batches():
+    import pyarrow as pa
+
+    from strideflow.sources import prepared
+
+    n, pairs = 200, 60
+    tracks = {k: np.random.default_rng(1).random((n, w)) for k, w in prepared.WIDTHS.items()}
+    rows = [{"sequence_id": f"s{i}", "source_fps": 50.0, "source_format": "safe_npz", **{k: v.ravel().tolist() for k, v in tracks.items()}, "anchor_origin": [0.0] * 3, "anchor_basis": np.eye(3).ravel().tolist()} for i in range(4)]
+    (made,) = prepared.archives(Given(pa.RecordBatch.from_pylist(rows)))
+    content = made.column(1)[0].as_py()
+    out = prepared.load(Given(pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(pairs)]), pa.array([content] * (pairs - 1) + [b"x"])], ["sequence_id", "content"])))
+    assert sum(b.num_rows for b in out) == pairs and max(b.nbytes for b in out) < 2 * prepared.SLICE < sum(b.nbytes for b in out)
+    assert out[-1].column(1).to_pylist()[-2:] == [None, "unreadable"] and out[-1].column(0).to_pylist()[-2:] == ["s0", str(pairs - 1)]
+    np.testing.assert_array_equal(out[0].column(6)[0].values.to_numpy(), tracks["human_features"].astype(np.float32).ravel())
