@@ -10,7 +10,8 @@ it was made for. What does not fit the current state is refused and changes noth
     reset      the state was given up by a reset    unknown    a state that has not been made, or has expired
     mask       values and mask differ in length, or either is null      nonfinite  a value that counts is null or not finite (one that is masked out is read as 0)
 
-Prefixes. Each accepted pair is appended to a list state, one element at a time, and put out with its place; the prefix itself is read only where a row asks for it.
+Prefixes. The accepted pairs of a key's rows in a micro-batch are appended to a list state, one element each but in one request, and put out with their places; the state is read once, and only
+where a row asks for the prefix.
 """
 
 from __future__ import annotations
@@ -110,12 +111,14 @@ class Prefixes(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         accepted, refused, last = self.counts.get() if self.counts.exists() else (0, 0, None)
         out: list[tuple] = []
+        held: list[tuple] | None = None if accepted else []  # what the state held before these rows, read when first asked for
+        new: list[tuple] = []
         for row in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
             reason, place, human, robot, prefix = None, None, None, None, (None, None)
             if row.kind == "snapshot":
-                held = list(self.pairs.get()) if accepted else []
-                reason, place = (None if held else "empty"), accepted
-                prefix = ([p[0] for p in held], [p[1] for p in held]) if held else prefix
+                held = list(self.pairs.get()) if held is None else held
+                reason, place = (None if held or new else "empty"), accepted
+                prefix = prefix if reason else tuple([p[side] for part in (held, new) for p in part] for side in (0, 1))
             else:
                 known = [None if pd.isna(x) else int(x) for x in (row.human, row.robot)]
                 bad = [x is None or not 0 <= x < self.codes for x in known]
@@ -124,9 +127,11 @@ class Prefixes(StatefulProcessor):
                     refused += 1
                 else:
                     human, robot = known
-                    self.pairs.appendValue((human, robot))
+                    new.append((human, robot))
                     place, accepted, last = accepted, accepted + 1, row.seq
             out.append((key[0], row.seq, place, human, robot, *prefix, refused, reason))
+        if new:
+            self.pairs.appendList(new)
         self.counts.update((accepted, refused, last))
         frame = pd.DataFrame(out, columns=["sample_id", "seq", "place", "human", "robot", "human_prefix", "robot_prefix", "refused", "reason"])
         yield frame.astype({c: "Int64" for c in ("place", "human", "robot")})

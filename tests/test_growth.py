@@ -99,3 +99,54 @@ def test_archives_leave_a_worker_in_bounded_batches():
     assert sum(b.num_rows for b in out) == pairs and max(b.nbytes for b in out) < 2 * prepared.SLICE < sum(b.nbytes for b in out)
     assert out[-1].column(1).to_pylist()[-2:] == [None, "unreadable"] and out[-1].column(0).to_pylist()[-2:] == ["s0", str(pairs - 1)]
     np.testing.assert_array_equal(out[0].column(6)[0].values.to_numpy(), tracks["human_features"].astype(np.float32).ravel())
+
+
+class Held:
+    """A state that counts the requests made of it."""
+
+    def __init__(self, value=None):
+        self.value, self.requests = value, 0
+
+    def _ask(self, value=None):
+        self.requests += 1
+        return value
+
+    def exists(self):
+        return self._ask(self.value is not None)
+
+    def get(self):
+        return self._ask(iter(list(self.value)) if isinstance(self.value, list) else self.value)
+
+    def update(self, value):
+        self.value = self._ask(value)
+
+    def appendList(self, values):
+        self.value = self._ask([*(self.value or []), *values])
+
+    def appendValue(self, value):
+        self.appendList([value])
+
+
+def test_prefix_state_is_asked_a_few_times_a_micro_batch():
+    import pandas as pd
+
+    from strideflow.streaming.owned import Prefixes
+
+    p = Prefixes(256)
+    p.pairs, p.counts = Held(), Held()
+
+    def batch(first, n):
+        kinds = ["snapshot" if s % 10 == 9 else "pair" for s in range(first, first + n)]
+        rows = pd.DataFrame({"seq": range(first, first + n), "kind": kinds, "human": [s % 250 for s in range(first, first + n)], "robot": [300 if s == 5 else s % 200 for s in range(first, first + n)]})
+        return next(p.handleInputRows((1,), iter([rows]), None)), [s for s in range(first, first + n) if s % 10 != 9 and s != 5]
+
+    one, first = batch(0, 100)
+    assert p.pairs.requests == 1 and p.counts.requests == 2 and [x[0] for x in p.pairs.value] == [s % 250 for s in first]
+    two, second = batch(100, 100)
+    assert p.pairs.requests == 3 and p.counts.requests == 5
+    whole, last = [s % 250 for s in first + second], two.iloc[-1]
+    assert last.human_prefix == whole and last.place == len(whole) and last.refused == 1 and one.iloc[9].human_prefix == [0, 1, 2, 3, 4, 6, 7, 8]
+    q = Prefixes(256)
+    q.pairs, q.counts = Held(), Held()
+    empty = next(q.handleInputRows((1,), iter([pd.DataFrame({"seq": [0], "kind": ["snapshot"], "human": [None], "robot": [None]})]), None))
+    assert empty.reason.tolist() == ["empty"] and q.pairs.requests == 0
