@@ -9,9 +9,9 @@ A text is cut in blocks of `STRIDE` targets; the context window of a block is th
 before it, so windows overlap and each token is scored once; a mask hides later ids and padding.
 
 The corpus counts (words and subwords) cover all training texts, and so does training: after a start on a bounded sample of texts
-on the driver (`START_IDS`), every training text is cut in segments of `SEGMENT` words, of which `ROUNDS` in `DRAW` are drawn by a hash of
-doc_id and place, so what the model learns from grows with the corpus. In each round every task takes the current weights, makes one pass of
-Adam over its drawn windows, and the weights are averaged by the number of windows, piece by piece on the executors; the driver
+on the driver (`START_IDS`), every training text is cut in segments of `SEGMENT` words, and each segment is dealt to one of `ROUNDS` rounds by a hash of
+doc_id and place: every word of every training text is learned from once. In each round every task takes the current weights, makes one pass of
+Adam over its windows, `CHUNK` of them held at a time, and the weights are averaged by the number of windows, piece by piece on the executors; the driver
 gets one model's worth of weights a round.
 
 Word counts: those of the `COMMON` commonest words are broadcast; the other words of each text are joined with the count
@@ -42,7 +42,9 @@ COMMON = 1 << 17
 MAX_WORDS = 300_000  # distinct words whose ids a worker keeps
 FLUSH = 300_000  # distinct words that a counting task holds
 START_DOCS, START_IDS = 600, 600_000
-SEGMENT, DRAW, ROUNDS = 64, 48, 2
+SEGMENT, ROUNDS = 64, 2
+DRAW = ROUNDS  # rounds a segment may fall in; more than ROUNDS would leave segments out
+CHUNK = 1 << 16  # windows that a learning task holds
 LOCAL_BATCH, LOCAL_RATE = 512, 0.004
 PIECES = 32  # in which weights are summed
 STRIDE = 16
@@ -450,7 +452,7 @@ def start_model(sample: list[str | None], counts: np.ndarray, path: str) -> Atte
 
 
 def drawn_segments(text_words: list[bytes], key: int, draw: int) -> list[tuple[int, int]]:
-    """(round, segment) of the segments of a text that are drawn."""
+    """(round, segment) of the segments of a text: with as many rounds as `draw`, each segment is in one."""
     number = np.arange(len(text_words) // SEGMENT + 1, dtype=np.uint64)  # the last has the end
     place = textops.mix(textops.mix(np.full(len(number), key, np.int64).view(np.uint64)) + number) % np.uint64(draw)
     some = np.flatnonzero(place < ROUNDS)
@@ -489,18 +491,28 @@ def average_round(windows: DataFrame, model: Attention) -> None:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rows = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]  # a split of a file: bounded
-        if not rows:
+        own, rng, n, held = copy.deepcopy(shared.value), np.random.default_rng(SEED + TaskContext.get().partitionId()), 0, []
+
+        def pass_over() -> int:
+            """One pass over the windows held."""
+            inputs = np.concatenate([np.frombuffer(a, own.kind).reshape(-1, WINDOW) for a, _ in held])
+            targets = np.concatenate([np.frombuffer(b, own.kind).reshape(-1, STRIDE) for _, b in held])
+            held.clear()
+            steps = -(-len(inputs) // LOCAL_BATCH)
+            own.descend(inputs, targets, iter(np.array_split(rng.permutation(len(inputs)), steps)), steps, LOCAL_RATE)
+            return len(inputs)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()))
+                if sum(len(a) for a, _ in held) >= CHUNK * WINDOW * np.dtype(own.kind).itemsize:
+                    n += pass_over()
+        if held:
+            n += pass_over()
+        if not n:
             return
-        own = copy.deepcopy(shared.value)
-        inputs = np.concatenate([np.frombuffer(a, own.kind).reshape(-1, WINDOW) for a, _ in rows])
-        targets = np.concatenate([np.frombuffer(b, own.kind).reshape(-1, STRIDE) for _, b in rows])
-        rows.clear()
-        order = np.random.default_rng(SEED + TaskContext.get().partitionId()).permutation(len(inputs))
-        steps = -(-len(order) // LOCAL_BATCH)
-        own.descend(inputs, targets, iter(np.array_split(order, steps)), steps, LOCAL_RATE)
         for k, piece in enumerate(np.array_split(own.flat(), PIECES)):
-            yield pa.RecordBatch.from_pylist([{"piece": k, "n": len(inputs), "body": piece.tobytes()}], schema=packed)
+            yield pa.RecordBatch.from_pylist([{"piece": k, "n": n, "body": piece.tobytes()}], schema=packed)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}

@@ -57,3 +57,11 @@ def test_start_uses_texts_whole(monkeypatch):
     path = bpe.default_vocabulary()
     lm.start_model(["a " * 3000, "b " * 500, "c"], np.ones(lm.SubwordTable(path).size + 1), path)
     assert seen == {"ids": 3001}
+
+
+def test_every_segment_is_learned_from_once():
+    from strideflow.llm import lm
+
+    for key in range(50):
+        found = lm.drawn_segments([b"x"] * 700, key, lm.DRAW)
+        assert sorted(s for _, s in found) == list(range(11)) and {k for k, _ in found} <= set(range(lm.ROUNDS))
