@@ -31,13 +31,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.llm import textops
 from strideflow.llm.storage import materialise, shuffle_partitions, tidy
 
-MAX_WORDS = 250_000
 BATCH_CHARS = 2_000_000
 JOINED_WORDS = 20_000
 LONG_WORD = 1000
@@ -53,7 +53,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_SPACE = re.compile(r"\s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -108,27 +107,35 @@ class WordTable:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special_pattern = special_pattern(self.special)
-        self.table: dict[str, bytes] = {}
         self.ranks = _ranks(path)
         self.leads = np.array([p[:1] == b" " for p in pieces(path)])  # ids that begin with a space begin a word
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def find_words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, length, ids): the ids of " " + word stand at ids[first : first + length], for each word."""
+        first, length, held, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), [], 0
+        some = [k for k, w in enumerate(distinct) if w and len(w) < LONG_WORD and w == w.strip() and " " not in w] if self.ranks else []
+        for at in range(0, len(some), JOINED_WORDS):
+            part = some[at : at + JOINED_WORDS]
+            ids = np.asarray(self.ranks.encode_to_numpy(" " + " ".join([distinct[k] for k in part]), disallowed_special=())).astype("<u4")
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) == len(part):
+                first[part], length[part] = starts + size, np.diff(starts, append=len(ids))
+                held.append(ids)
+                size += len(ids)
+        rest = np.flatnonzero(length == 0).tolist()  # no word is without ids
+        found = self._encode([" " + distinct[k] for k in rest])
+        length[rest] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first[rest] = size + np.cumsum(length[rest]) - length[rest]
+        return first, length, np.concatenate([*held, np.frombuffer(b"".join(found), "<u4")])
+
     def encode_words(self, distinct: list[str]) -> dict[str, bytes]:
         """Ids of " " + word for each word."""
-        joined = [w for w in distinct if w and len(w) < LONG_WORD and not _SPACE.search(w)] if self.ranks else []
-        out: dict[str, bytes] = {}
-        for at in range(0, len(joined), JOINED_WORDS):
-            part = joined[at : at + JOINED_WORDS]
-            ids = np.asarray(self.ranks.encode_to_numpy(" " + " ".join(part), disallowed_special=())).astype("<u4")
-            starts = np.flatnonzero(self.leads[ids]) * 4
-            if len(starts) == len(part):
-                ids = ids.tobytes()
-                out.update((w, ids[s:e]) for w, s, e in zip(part, starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True))
-        rest = [w for w in distinct if w not in out]
-        out.update(zip(rest, self._encode([" " + w for w in rest]), strict=True))
-        return out
+        first, length, ids = self.find_words(distinct)
+        body = ids.tobytes()
+        return {w: body[s:e] for w, s, e in zip(distinct, (first * 4).tolist(), ((first + length) * 4).tolist(), strict=True)}
 
     def encode_pieces(self, distinct: list[str]) -> list[bytes]:
         """Ids of each word of cut()."""
@@ -138,21 +145,29 @@ class WordTable:
         return [plain[w[1:]] if w[:1] == " " else found[w] for w in distinct]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; the table keeps the ids of " " + word."""
+        """Ids of each text. Its words are numbered by Arrow, each distinct one of all the texts is encoded once, and ids are gathered by number."""
         out: list[bytes] = [b""] * len(texts)
-        split: dict[int, list[str]] = {}
+        plain: list[int] = []
         for i, text in enumerate(texts):
             if text and (_INSIDE_RUN.search(text) or any(s in text for s in self.special)):
                 out[i] = b"".join(self.encode_pieces(cut(text, self.special_pattern)))
             elif text:
-                split[i] = text.split(" ")
-        distinct = set().union(*(w[1:] for w in split.values())) if split else set()
-        if len(self.table) + len(distinct - self.table.keys()) > MAX_WORDS:
-            self.table = {}
-        self.table.update(self.encode_words(list(distinct - self.table.keys())))
-        get = self.table.__getitem__
-        for (i, words), start in zip(split.items(), self._encode([w[0] for w in split.values()]), strict=True):
-            out[i] = start + b"".join(map(get, words[1:]))
+                plain.append(i)
+        if not plain:
+            return out
+        words = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        bounds, flat = words.offsets.to_numpy().astype(np.int64), words.flatten()
+        opening = self._encode(flat.take(pa.array(bounds[:-1])).to_pylist())  # the first word of a text has no space before it
+        coded = flat.dictionary_encode()
+        first, length, ids = self.find_words(coded.dictionary.to_pylist())
+        number, own = coded.indices.to_numpy().astype(np.int64), np.fromiter(map(len, opening), np.int64, len(opening)) // 4
+        number[bounds[:-1]] = len(first) + np.arange(len(own))
+        first, length, ids = np.concatenate([first, len(ids) + np.cumsum(own) - own]), np.concatenate([length, own]), np.concatenate([ids, np.frombuffer(b"".join(opening), "<u4")])
+        size = length[number]
+        stop = np.cumsum(size)
+        body, end = ids[np.repeat(first[number] - stop + size, size) + np.arange(stop[-1])], stop[bounds[1:] - 1].tolist()
+        for i, s, e in zip(plain, [0, *end[:-1]], end, strict=True):
+            out[i] = body[s:e].tobytes()
         return out
 
 

@@ -128,7 +128,7 @@ def write_ids(docs: DataFrame, path: str | None = None, vocabulary: str | None =
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
         for batch in batches:
-            for at, texts in bpe.bounded_slices(batch.column(1)):
+            for at, texts in bpe.bounded_slices(batch.column(1), 4 * bpe.BATCH_CHARS):
                 for doc_id, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), table.encode(texts), strict=True):
                     ids = np.frombuffer(ids, "<u4").astype(kind).tobytes() + end
                     if held and size + len(ids) // id_bytes > BLOCK_IDS:

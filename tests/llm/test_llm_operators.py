@@ -459,6 +459,18 @@ def test_word_table_equals_the_library_on_any_text():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_with_white_space_inside_are_encoded_with_the_others(monkeypatch):
+    """Only first words, which have no space before them, go through the library one by one."""
+    table_, alone = bpe.WordTable(bpe.default_vocabulary()), []
+    own = table_._encode
+    monkeypatch.setattr(table_, "_encode", lambda texts: alone.extend(texts) or own(texts))
+    texts = ["first one\ntwo three\tfour five", "", "first \u00e9\u00a0b  c", None, "first\n\nd e\n\nf"] * 3
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    for text, ids in zip(texts, table_.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert set(alone) == {"first", "first\n\nd", " "}
+
+
 def test_chunks_and_repeated_words_over_tasks(spark):
     """Every word is wanted by many chunks, and batches end within a bucket's rows."""
     t = Tokenizer.from_file(bpe.default_vocabulary())
