@@ -265,10 +265,18 @@ class BodyTree:
         names, parents, offsets, rotations, joints, axes = zip(*rows, strict=True)
         return cls(names, parents, np.array(offsets), np.array(rotations), joints, _unit(np.array(axes)))
 
-    def positions(self, root: np.ndarray, rotation: np.ndarray, dof: np.ndarray) -> dict[str, np.ndarray]:
-        """World position of each body in each frame."""
+    def positions(self, root: np.ndarray, rotation: np.ndarray, dof: np.ndarray, names: tuple[str, ...] | None = None) -> dict[str, np.ndarray]:
+        """World position of each body in each frame, or of those named and the bodies above them."""
         at, turned = [np.asarray(root, float)], [matrices(rotation)]
+        wanted = set(range(len(self.names))) if names is None else {self.names.index(n) for n in names}
+        for k in reversed(range(1, len(self.names))):
+            if k in wanted:
+                wanted.add(self.parents[k])
         for k in range(1, len(self.names)):
+            if k not in wanted:
+                at.append(None)
+                turned.append(None)
+                continue
             up = self.parents[k]
             at.append(at[up] + turned[up] @ self.offsets[k])
             m = turned[up] @ self.rotations[k]
@@ -276,7 +284,7 @@ class BodyTree:
                 half = dof[:, self.joints[k], None] / 2
                 m = m @ matrices(np.concatenate([np.sin(half) * self.axes[k], np.cos(half)], 1))
             turned.append(m)
-        return dict(zip(self.names, at, strict=True))
+        return {n: p for n, p in zip(self.names, at, strict=True) if p is not None}
 
 
 # ---- causal convolution

@@ -1,8 +1,9 @@
 """Preparation of raw pairs over frames: gates, one timeline, robot and human features, measures.
 
-A pair is one row of arrays. Its timeline, its resampled frames and what is taken over a whole sequence (floors, anchor, smoothed facing) are expressions over that row;
-then frames are rows, each with the frames beside it, so velocities need no window. What is computed of one frame is NumPy over batches of frames of any samples, a batch bounded by Arrow's
-number of rows. Measures are aggregates by sample whose partial sums are made where the frames are: one row a sample is shuffled, and no frame is. `frames` gives the features in the long layout that sources.corpus.write takes.
+A pair is one row of arrays. Gates on raw values are expressions over that row. Its timeline, its resampled frames, what is taken over a whole sequence (floors, anchor, smoothed facing, bones) and
+what the measures need of each frame are NumPy over batches of pairs, in slices of a bounded number of frames. For features, frames are rows, each with the frames beside it, so velocities need no
+window, and what is computed of one frame is NumPy over batches of frames of any samples. Measures are aggregates by sample whose partial sums are made where the frames are: one row a sample is
+shuffled, and no frame is. `frames` gives the features in the long layout that sources.corpus.write takes.
 
 pairs: sample_id (unique), human (flat, 22 joints), human_fps, root, rotation (x, y, z, w), dof, robot_fps, all z-up; optional bodies (flat) and body_names give tracks of robot
 bodies, of which the ankles are used in place of forward kinematics; a row with an optional reason was rejected before and keeps it. Null arrays break the shape.
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +48,6 @@ def _literal(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _length(v: list[Column]) -> Column:
-    return F.sqrt(G.dot(v, v))
-
-
 def quantile(values: Column, q: float) -> Column:
     """A percentile of an array with linear interpolation; null for an empty one."""
     place = lambda s: F.lit(q) * (F.size(s) - 1)
@@ -98,7 +96,7 @@ def _by_frame(frames: DataFrame, columns: dict[str, Column], keep: list[str], ru
 
 
 def _points(flat: np.ndarray) -> np.ndarray:
-    return flat.reshape(len(flat), -1, 3)
+    return flat.reshape(len(flat), flat.shape[1] // 3, 3)
 
 
 def _norm(v: np.ndarray) -> np.ndarray:
@@ -133,26 +131,36 @@ def checked(pairs: DataFrame, limits: list[tuple[float, float]]) -> DataFrame:
     return rows.withColumn("late", late).drop("shape", "finite", "dof_violation", "timeline_reason", "duration_error", "tolerance")
 
 
+def _slices(batch: pa.RecordBatch, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of at most SLICE_POINTS frames, of which each row has n; a longer row is alone."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        stop = max(int(np.searchsorted(ends, SLICE_POINTS + (ends[at - 1] if at else 0), "right")), at + 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def skeleton_measures(rows: DataFrame) -> DataFrame:
-    """(sample_id, stature, bone_cv, raw_joint_speed) of raw human frames: sample_id, human, human_fps. Bones whose mean length is next to nothing do not count."""
-    rows = rows.select("sample_id", "human", F.col("human_fps").cast("double").alias("human_fps"), F.when(F.size("human") % (3 * JOINTS) == 0, F.size("human") / (3 * JOINTS)).cast("long").alias("frames_a"))
-    human = F.col("human")
-    frames = _each(F.col("frames_a"), lambda k: F.struct(_at(human, k, 3 * JOINTS).alias("now"), F.when(k > 0, _at(human, k - 1, 3 * JOINTS)).alias("before")))
-    f = rows.select("sample_id", "human_fps", F.explode(F.when(F.col("frames_a") > 0, frames)).alias("f"))
-
-    def measured(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        now = _points(c["now"])
-        speed = _norm(now - _points(c["before"])).max(1) if c["before"].shape[1] else np.full(len(now), np.nan)
-        return {"lengths": _norm(now[:, 1:] - now[:, PARENTS[1:]]), "speed": speed * c["human_fps"]}
-
-    f = _by_frame(f, {"now": F.col("f.now"), "before": F.col("f.before"), "human_fps": F.col("human_fps")}, ["sample_id"], measured, "lengths array<double>, speed double")
-    f = f.select("sample_id", "speed", *[F.get("lengths", F.lit(j - 1)).alias(f"b{j}") for j in range(1, JOINTS)])
-    total = lambda bones: sum((F.col(f"b{j}") for j in bones[1:]), F.col(f"b{bones[0]}"))
-    f = f.withColumn("height", (total(LEGS[0]) + total(LEGS[1])) / 2 + total(SPINE))
-    spread = F.array(*[F.struct(F.avg(f"b{j}").alias("mean"), F.stddev_pop(f"b{j}").alias("std")) for j in range(1, JOINTS)])
-    g = f.groupBy("sample_id").agg(F.percentile("height", 0.5).alias("stature"), spread.alias("bones"), F.coalesce(F.max("speed"), F.lit(0.0)).alias("raw_joint_speed"))
-    varied = F.transform(F.filter("bones", lambda b: b["mean"] > C.STILL_STD), lambda b: b["std"] / b["mean"])
-    return g.select("sample_id", "stature", F.array_max(varied).alias("bone_cv"), "raw_joint_speed")
+    """(sample_id, stature, bone_cv, raw_joint_speed) of raw human frames: sample_id, human, human_fps. Bones whose mean length is next to nothing do not count; a row without whole frames is left out."""
+    n = F.when(F.size("human") % (3 * JOINTS) == 0, F.size("human") / (3 * JOINTS)).cast("long")
+    given = rows.select("sample_id", "human", F.col("human_fps").cast("double").alias("human_fps"), n.alias("n")).where("n > 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in _slices(batch, batch.column("n").to_numpy().astype(np.int64))):
+            p = Pairs(part)
+            human = _points(p.flat("human")[0].reshape(-1, 3 * JOINTS))
+            lengths = _norm(human[:, 1:] - human[:, PARENTS[1:]])
+            mean = np.add.reduceat(lengths, p.start) / p.n[:, None]
+            std = np.sqrt(np.add.reduceat((lengths - mean[p.owner]) ** 2, p.start) / p.n[:, None])
+            bone = lambda bones: lengths[:, np.array(bones) - 1].sum(1)
+            stature = _percentiles((bone(LEGS[0]) + bone(LEGS[1])) / 2 + bone(SPINE), p.owner, p.start, p.n, 0.5)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                varied = np.where(mean > C.STILL_STD, std / mean, -1.0).max(1)
+            speed = np.concatenate([[0.0], _norm(human[1:] - human[:-1]).max(1)]) * np.where(p.k > 0, p.numbers("human_fps")[p.owner], 0.0)
+            found = [stature, np.where(varied < 0, np.nan, varied), np.maximum.reduceat(speed, p.start)]
+            yield pa.RecordBatch.from_arrays([part.column("sample_id"), *(_nullable(x, pa.float64()) for x in found)], ["sample_id", "stature", "bone_cv", "raw_joint_speed"])
+
+    return given.mapInArrow(run, f"sample_id {given.schema['sample_id'].dataType.simpleString()}, stature double, bone_cv double, raw_joint_speed double")
 
 
 # ---- one timeline
@@ -196,88 +204,176 @@ def _rotated(q: Column, v: Column) -> Column:
     return G.let(t, lambda t: F.array(*[x + F.get(q, F.lit(3)) * y + z for x, y, z in zip(_items(v, 3), _items(t, 3), G.cross(_items(q, 3), _items(t, 3)), strict=True)]))
 
 
-def _bracket(k: Column, fps: Column, n: Column) -> Column:
-    """The source frame at or before grid point k that has another after it, and how far between the two the point is, as (left, share)."""
-    place = k.cast("double") / C.TARGET_FPS * fps
-    left = F.greatest(F.least(F.floor(place), n - 2), F.lit(0)).cast("int")
-    return F.struct(left.alias("left"), F.least(place - left, F.lit(1.0)).alias("share"))
-
-
-def _between(values: Column, width: int, at: Column) -> Column:
-    return F.zip_with(_at(values, at["left"], width), _at(values, at["left"] + 1, width), lambda a, b: a + (b - a) * at["share"])
+class Pairs:
+    """The pairs of a batch, each array column as one flat array, and the grid points of all pairs one after another: owner, and k, the point's number in its pair."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
+        self.n = self.numbers("n").astype(np.int64)
+        self.owner, self.end = np.repeat(np.arange(len(self.n)), self.n), np.cumsum(self.n)
+        self.start = self.end - self.n
+        self.k = np.arange(len(self.owner)) - self.start[self.owner]
+        self.some = np.flatnonzero(self.n)
+
+    def numbers(self, name: str) -> np.ndarray:
+        return np.nan_to_num(_values(self.batch.column(name)))
+
+    def bracket(self, fps: str, frames: str) -> tuple[np.ndarray, np.ndarray]:
+        """The source frame at or before each grid point that has another after it, and how far between the two the point is."""
+        place = self.k / C.TARGET_FPS * self.numbers(fps)[self.owner]
+        left = np.maximum(np.minimum(np.floor(place), self.numbers(frames)[self.owner] - 2), 0)
+        return left.astype(np.int64), np.minimum(place - left, 1.0)[:, None]
+
+    def flat(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """All values, and where those of each grid point's pair begin."""
+        column = self.batch.column(name)
+        length = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float), (np.cumsum(length) - length)[self.owner]
+
+    def ends(self, name: str, width: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The frames on both sides of each grid point."""
+        values, first = self.flat(name)
+        rows = values.reshape(-1, width)
+        return rows[first // width + left], rows[first // width + left + 1]
+
+    def lists(self, values: pa.Array) -> pa.Array:
+        """What stands at the grid points as a list for each pair; null where a pair has none."""
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], self.end]).astype(np.int32)), values, mask=pa.array(self.n == 0))
+
+    def whole(self, values: np.ndarray) -> np.ndarray:
+        """Values of the pairs with grid points, and NaN for the others."""
+        out = np.full((len(self.n), *values.shape[1:]), np.nan)
+        out[self.some] = values
+        return out
+
+
+def _percentiles(values: np.ndarray, owner: np.ndarray, start: np.ndarray, size: np.ndarray, q: float) -> np.ndarray:
+    """A percentile with linear interpolation of each owner's values, which begin at start."""
+    values = values[np.lexsort((values, owner))]
+    place = q * (size - 1)
+    low = np.floor(place).astype(np.int64)
+    below, above = values[start + low], values[start + np.minimum(low + 1, size - 1)]
+    return below + (above - below) * (place - low)
+
+
+def _mixed(ends: tuple[np.ndarray, np.ndarray], share: np.ndarray) -> np.ndarray:
+    return ends[0] + (ends[1] - ends[0]) * share
+
+
+def _arc_mixed(ends: tuple[np.ndarray, np.ndarray], share: np.ndarray) -> np.ndarray:
+    """Along the shorter arc between two rotations; linear where the arc is tiny; of length 1."""
+    a, b = (q / _norm(q)[:, None] for q in ends)
+    d = (a * b).sum(1, keepdims=True)
+    angle = np.arccos(np.minimum(np.abs(d), 1.0))
+    sine = np.sin(angle)
+    tiny = sine < 1e-8
+    u, v = (np.where(tiny, x, np.sin(x * angle) / np.where(tiny, 1.0, sine)) for x in (1 - share, share))
+    mixed = a * u + b * v * np.where(d < 0, -1.0, 1.0)
+    return mixed / _norm(mixed)[:, None]
+
+
+def _y_up(flat: np.ndarray) -> np.ndarray:
+    """z-up points, or the vector part of rotations, to y-up: (x, y, z) becomes (x, z, -y)."""
+    p = _points(flat)
+    return np.stack([p[..., 0], p[..., 2], -p[..., 1]], -1).reshape(flat.shape)
+
+
+def _list_of(values: np.ndarray) -> pa.Array:
+    """Rows of arrays of one width; NaN becomes null."""
+    return _nullable(values, pa.float64())
+
+
+def _align(p: Pairs, tree: K.BodyTree, dof: int) -> dict[str, pa.Array]:
+    """The columns that `aligned` adds, for the pairs of a batch."""
+    (left, share), (at, part) = p.bracket("human_fps", "frames_a"), p.bracket("robot_fps", "frames_b")
+    human = _y_up(_mixed(p.ends("human", 3 * JOINTS, left), share))
+    raw, q, joints = _mixed(p.ends("root", 3, at), part), _arc_mixed(p.ends("rotation", 4, at), part), _mixed(p.ends("dof", dof, at), part)
+    feet = np.empty((len(p.owner), 2, 3))
+    wide = p.numbers("wide").astype(np.int64)[p.owner]
+    own, tracked = wide == 0, np.flatnonzero(wide)
+    places = tree.positions(raw[own], q[own], joints[own], ANKLES)
+    values, first = p.flat("bodies")
+    for side, name in enumerate(ANKLES):
+        feet[own, side] = places[name]
+        body = (p.numbers(f"place{side}").astype(np.int64)[p.owner] - 1)[tracked]
+        ends = tuple(values[(first[tracked] + ((at[tracked] + e) * wide[tracked] + body) * 3)[:, None] + np.arange(3)] for e in (0, 1))
+        feet[tracked, side] = _mixed(ends, part[tracked])
+    root, q, feet = _y_up(raw), np.concatenate([_y_up(q[:, :3]), q[:, 3:]], 1), _y_up(feet.reshape(-1, 6))
+    starts = p.start[p.some]
+
+    floor = p.whole(_percentiles(feet[:, [1, 4]].ravel(), np.repeat(p.owner, 2), 2 * starts, 2 * p.n[p.some], C.FLOOR_PERCENTILE))  # of the heights of both feet
+
+    joint = lambda j: human[:, 3 * j : 3 * j + 3]
+    across = joint(K.LEFT_HIP) - joint(K.RIGHT_HIP) + joint(K.RIGHT_SHOULDER) - joint(K.LEFT_SHOULDER)
+    across = np.stack([across[:, 2], -across[:, 0]], 1) / np.where(_norm(across) > 0, _norm(across), np.nan)[:, None]
+    hips = (joint(K.RIGHT_HIP) - joint(K.LEFT_HIP))[starts]
+    level = np.hypot(hips[:, 0], hips[:, 2])
+    ahead = np.stack([hips[:, 2], -hips[:, 0]], 1) / np.where(level > 0, level, np.nan)[:, None]
+    x, _, z = K.matrices(q[starts])[..., 0].T
+    level, zero = np.hypot(x, z), np.zeros(len(starts))
+    x, z = (v / np.where(level > 1e-8, level, np.nan) for v in (x, z))
+    basis = np.stack([z, zero, -x, zero, zero + 1, zero, x, zero, z], 1)
+    basis[np.isnan(x)] = np.nan
+
+    before = lambda v: np.where((p.k > 0)[:, None], np.roll(v, 1, 0), np.nan)
+    sides = {"root": root, "q": q, "dof": joints, "feet": feet}
+    measures = frame_measures(sides | {f"{k}0": before(v) for k, v in sides.items()} | {"human": human, "human0": before(human), "floor_y": floor[p.owner]})
+    struct = lambda columns: pa.StructArray.from_arrays([v if isinstance(v, pa.Array) else _list_of(v) for v in columns.values()], [*columns])
+    column = lambda v: pa.array(np.full(len(p.n), None), pa.list_(pa.float64())) if not len(p.some) else _where(_list_of(v), np.isnan(v).all(1))
+    smooth = _smoothed(across, p)
+    return {
+        "grid": p.lists(struct({"human": human, "robot": struct(sides)})), "floor_y": _nullable(floor, pa.float64()), "ground_y": _nullable(p.whole(np.minimum.reduceat(human[:, 1::3].min(1), starts) if len(starts) else zero), pa.float64()),
+        "origin": column(p.whole(root[starts] * (1, 0, 1))), "basis": column(p.whole(basis)), "ahead": column(p.whole(ahead)), "start": column(p.whole(human[starts][:, [0, 2]])),
+        "faces": p.lists(struct({"x": smooth[:, 0], "z": smooth[:, 1]})), "steps": p.lists(struct(measures)),
+    }
+
+
+def _where(lists: pa.Array, null: np.ndarray) -> pa.Array:
+    return pc.if_else(pa.array(null), pa.scalar(None, lists.type), lists)
+
+
+def _smoothed(values: np.ndarray, p: Pairs, sigma: float = K.SMOOTHING) -> np.ndarray:
+    """Gaussian filter along each pair to four deviations; the ends are repeated."""
+    radius = int(4 * sigma + 0.5)
+    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    weights, first, last, out = weights / weights.sum(), p.start[p.owner], p.n[p.owner] - 1, np.zeros(values.shape)
+    for j, w in zip(range(-radius, radius + 1), weights, strict=True):
+        out += w * values[first + np.clip(p.k + j, 0, last)]
+    return out
 
 
-def _y_up(p: Column) -> Column:
-    return F.array(F.get(p, F.lit(0)), F.get(p, F.lit(2)), -F.get(p, F.lit(1)))
+_VECTOR = "array<double>"
+_ROBOT = f"struct<root: {_VECTOR}, q: {_VECTOR}, dof: {_VECTOR}, feet: {_VECTOR}>"
+STEPS = "joints double, root double, angle double, dof double, near array<double>, low double, x double, y double"
+SLICE_POINTS = 1 << 15  # grid points that are aligned at once; a longer sequence is alone
 
 
 def aligned(rows: DataFrame, tree: K.BodyTree, dof: int) -> DataFrame:
-    """(sample_id, early, late, quaternion_norm_error, grid, floor_y, ground_y, origin, basis, ahead, start, faces): frames at 20 a second, y-up, in one array; null where early or late is set.
+    """(sample_id, early, late, quaternion_norm_error, grid, floor_y, ground_y, origin, basis, ahead, start, faces, steps): frames at 20 a second, y-up, in one array; null where early or late is set.
 
     floor_y: of the feet; ground_y: the lowest joint; origin and basis: the robot's anchor; ahead: where the human faces in the first frame; start: its root there;
-    faces: smoothed facing (x, z) of each frame.
+    faces: smoothed facing (x, z) of each frame; steps: what `frame_measures` gives of each frame. Pairs are aligned many at a time in NumPy, in slices of batches of bounded numbers of points.
     """
-    c = F.col
-    paths = F.array(*[body_path(tree, name) for name in ANKLES])
-    wide = F.size("body_names")
-    tracked = c("bodies").isNotNull() & c("body_names").isNotNull()
-
-    def human(at: Column) -> Column:
-        return G.let(_between(c("human"), 3 * JOINTS, at), lambda p: F.flatten(_each(F.lit(JOINTS), lambda j: _y_up(_at(p, j, 3)))))
-
-    def rotation(at: Column) -> Column:
-        ends = F.transform(F.array(at["left"], at["left"] + 1), lambda k: G.let(_at(c("rotation"), k, 4), lambda q: G.normalize(q)))
-        return G.let(ends, lambda e: G.slerp(F.get(e, F.lit(0)), F.get(e, F.lit(1)), at["share"]))
-
-    def track(name: Column, at: Column) -> Column:
-        place = lambda k: ((k * wide + F.array_position("body_names", name) - 1) * 3 + 1).cast("int")
-        return F.zip_with(F.slice("bodies", place(at["left"]), 3), F.slice("bodies", place(at["left"] + 1), 3), lambda a, b: a + (b - a) * at["share"])
-
-    def robot(at: Column) -> Column:
-        raw = F.struct(_between(c("root"), 3, at).alias("root"), rotation(at).alias("q"), _between(c("dof"), dof, at).alias("dof"))
-        names = F.array(*map(F.lit, ANKLES))
-        feet = lambda r: F.when(tracked, F.transform(names, lambda n: track(n, at))).otherwise(F.transform(paths, lambda p: body_position(p, r["root"], r["q"], r["dof"])))
-        turned = lambda q: F.array(F.get(q, F.lit(0)), F.get(q, F.lit(2)), -F.get(q, F.lit(1)), F.get(q, F.lit(3)))
-        return G.let(raw, lambda r: F.struct(_y_up(r["root"]).alias("root"), turned(r["q"]).alias("q"), r["dof"].alias("dof"), F.flatten(F.transform(feet(r), _y_up)).alias("feet")))
-
-    def frame(k: Column) -> Column:
-        at = F.struct(_bracket(k, c("human_fps"), c("frames_a")).alias("a"), _bracket(k, c("robot_fps"), c("frames_b")).alias("b"))
-        return G.let(at, lambda s: F.struct(human(s["a"]).alias("human"), robot(s["b"]).alias("robot")))
-
+    c, keep = F.col, ["sample_id", "early", "late", "quaternion_norm_error"]
+    [tree.names.index(name) for name in ANKLES]  # both have to be there
     good = c("early").isNull() & c("late").isNull()
-    out = rows.select("sample_id", "early", "late", "quaternion_norm_error", F.when(good, _each(c("points"), frame)).alias("grid"))
-    feet = F.flatten(F.transform("grid", lambda f: F.array(F.get(f["robot"]["feet"], F.lit(1)), F.get(f["robot"]["feet"], F.lit(4)))))
-    ground = F.array_min(F.transform("grid", lambda f: F.array_min(F.filter(f["human"], lambda _, i: i % 3 == 1))))
-    joint = lambda f, j: G.parts(F.slice(f["human"], 3 * j + 1, 3), 3)
-    first = F.get("grid", F.lit(0))
-
-    def across(f: Column) -> Column:
-        """Facing of a frame from hips and shoulders, as (x, z)."""
-        d = [a - b + e - g for a, b, e, g in zip(joint(f, K.LEFT_HIP), joint(f, K.RIGHT_HIP), joint(f, K.RIGHT_SHOULDER), joint(f, K.LEFT_SHOULDER), strict=True)]
-        return G.let(F.array(*d), lambda v: F.array(*[F.try_divide(x, _length(G.parts(v, 3))) for x in (F.get(v, F.lit(2)), -F.get(v, F.lit(0)))]))
-
-    hips = G.facing(F.slice(first["human"], 3 * K.LEFT_HIP + 1, 3), F.slice(first["human"], 3 * K.RIGHT_HIP + 1, 3))
-    level = _length([F.get(first["human"], F.lit(3 * K.RIGHT_HIP + i)) - F.get(first["human"], F.lit(3 * K.LEFT_HIP + i)) for i in (0, 2)])
-    root = first["robot"]["root"]
-    out = out.select(
-        "sample_id", "early", "late", "quaternion_norm_error", "grid", quantile(feet, C.FLOOR_PERCENTILE).alias("floor_y"), ground.alias("ground_y"), F.array(F.get(root, F.lit(0)), F.lit(0.0), F.get(root, F.lit(2))).alias("origin"),
-        G.episode_basis(first["robot"]["q"]).alias("basis"), F.when(level > 0, F.array(*hips)).alias("ahead"), F.array(*[F.get(first["human"], F.lit(i)) for i in (0, 2)]).alias("start"), F.transform("grid", across).alias("across"),
+    tracked = c("bodies").isNotNull() & c("body_names").isNotNull()
+    given = rows.select(
+        *keep, F.when(good, c("points")).otherwise(0).alias("n"), *[F.when(good, c(k).cast("double")).alias(k) for k in ("human_fps", "robot_fps", "frames_a", "frames_b")],
+        *[F.when(good, c(k)).alias(k) for k in ("human", "root", "rotation", "dof")], F.when(good & tracked, c("bodies")).alias("bodies"), F.when(good & tracked, F.size("body_names")).otherwise(0).alias("wide"),
+        *[F.when(good & tracked, F.array_position("body_names", name)).alias(f"place{side}") for side, name in enumerate(ANKLES)],
     )
-    return out.withColumn("faces", F.arrays_zip(*[_smooth(_part("across", i)).alias(n) for i, n in enumerate(("x", "z"))])).drop("across")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, batch.column("n").to_numpy().astype(np.int64)):
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    made = _align(Pairs(part), tree, dof)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *made.values()], [*keep, *made])
 
-def _part(vectors: str, i: int) -> Column:
-    return F.transform(vectors, lambda v: F.get(v, F.lit(i)))
-
-
-def _smooth(values: Column, sigma: float = K.SMOOTHING) -> Column:
-    """Gaussian filter of an array to four deviations; the ends are repeated."""
-    radius = int(4 * sigma + 0.5)
-    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    weights = _literal(weights / weights.sum())
-    ends = F.concat(F.array_repeat(F.get(values, F.lit(0)), radius), values, F.array_repeat(F.element_at(values, -1), radius))
-    mean = lambda p, i: F.aggregate(F.zip_with(weights, F.slice(p, i + 1, 2 * radius + 1), lambda w, x: w * x), F.lit(0.0), lambda s, x: s + x)
-    return G.let(ends, lambda p: _each(F.size(p) - 2 * radius, lambda i: mean(p, i)))
+    schema = f"early string, late string, quaternion_norm_error double, grid array<struct<human: {_VECTOR}, robot: {_ROBOT}>>, floor_y double, ground_y double, origin {_VECTOR}, basis {_VECTOR}, ahead {_VECTOR}, start {_VECTOR}, "
+    steps = ", ".join(": ".join(x.split(" ", 1)) for x in STEPS.split(", "))
+    return given.mapInArrow(run, f"sample_id {given.schema['sample_id'].dataType.simpleString()}, {schema}faces array<struct<x: double, z: double>>, steps array<struct<{steps}>>")
 
 
 # ---- frames
@@ -294,26 +390,33 @@ def beside(rows: DataFrame) -> DataFrame:
     return rows.select("sample_id", "floor_y", "ground_y", "origin", "basis", "ahead", "start", F.explode(F.transform("grid", one)).alias("f")).select("*", "f.*").drop("f")
 
 
-def aligned_measures(frames: DataFrame) -> DataFrame:
-    """(sample_id, points, the measures but for quaternion_norm_error, undefined, origin, basis): undefined is the reason of frames without features."""
-    fps, c = float(C.TARGET_FPS), F.col
-
-    def measured(c: dict[str, np.ndarray]) -> dict[str, np.ndarray | pa.Array]:
-        some = ~np.isnan(c["root0"][:, :1]).all(1) if c["root0"].shape[1] else np.zeros(len(c["root"]), bool)
-        c = c | {k: c[k[:-1]] if not c[k].shape[1] else c[k] for k in ("human0", "root0", "q0", "dof0", "feet0")}  # a batch of first frames alone
-        joints, dof, feet, own = _norm(_points(c["human"]) - _points(c["human0"])) * fps, np.abs(c["dof"] - c["dof0"]) * fps, _points(c["feet"]), np.where(some, 1.0, np.nan)
-        slide = np.hypot(*np.moveaxis((feet - _points(c["feet0"]))[..., [0, 2]], -1, 0)) * fps
-        near = (feet[..., 1] - c["floor_y"][:, None] <= C.NEAR_FLOOR_M) & some[:, None]
-        angle = 2 * np.arccos(np.minimum(np.abs((c["q"] * c["q0"]).sum(1)), 1.0)) * fps
-        first = np.concatenate([[0], np.cumsum(near.sum(1))]).astype(np.int32)
-        return {
-            "joints": joints.max(1) * own, "root": _norm(c["root"] - c["root0"]) * fps * own, "angle": angle * own, "dof": dof.max(1) * own, "near": pa.ListArray.from_arrays(first, pa.array(slide[near])),
-            "low": feet[..., 1].min(1), "x": joints.mean(1) * own, "y": dof.mean(1) * own,
-        }
+def frame_measures(c: dict[str, np.ndarray]) -> dict[str, np.ndarray | pa.Array]:
+    """What the measures need of each frame (STEPS), of both sides there and in the frame before (a 0 in the name; NaN on the first) and floor_y."""
+    fps = float(C.TARGET_FPS)
+    some = ~np.isnan(c["root0"][:, :1]).all(1) if c["root0"].shape[1] else np.zeros(len(c["root"]), bool)
+    c = c | {k: c[k[:-1]] if not c[k].shape[1] else c[k] for k in ("human0", "root0", "q0", "dof0", "feet0")}  # a batch of first frames alone
+    joints, dof, feet, own = _norm(_points(c["human"]) - _points(c["human0"])) * fps, np.abs(c["dof"] - c["dof0"]) * fps, _points(c["feet"]), np.where(some, 1.0, np.nan)
+    slide = np.hypot(*np.moveaxis((feet - _points(c["feet0"]))[..., [0, 2]], -1, 0)) * fps
+    near = (feet[..., 1] - c["floor_y"][:, None] <= C.NEAR_FLOOR_M) & some[:, None]
+    angle = 2 * np.arccos(np.minimum(np.abs((c["q"] * c["q0"]).sum(1)), 1.0)) * fps
+    first = np.concatenate([[0], np.cumsum(near.sum(1))]).astype(np.int32)
+    return {
+        "joints": joints.max(1) * own, "root": _norm(c["root"] - c["root0"]) * fps * own, "angle": angle * own, "dof": dof.max(1) * own, "near": pa.ListArray.from_arrays(first, pa.array(slide[near])),
+        "low": feet[..., 1].min(1), "x": joints.mean(1) * own, "y": dof.mean(1) * own,
+    }
+
 
+def aligned_measures(frames: DataFrame) -> DataFrame:
+    """The measures of frames of `beside`, as `measured` gives them."""
+    c = F.col
     sides = {f"{k}{n}": c(f"{side}.{k}") for side, n in (("now.robot", ""), ("before", 0)) for k in ("root", "q", "dof", "feet")}
     given = sides | {"human": c("now.human"), "human0": c("human_before"), "floor_y": c("floor_y")}
-    f = _by_frame(frames, given, ["sample_id", "floor_y", "origin", "basis", "ahead"], measured, "joints double, root double, angle double, dof double, near array<double>, low double, x double, y double")
+    return measured(_by_frame(frames, given, ["sample_id", "floor_y", "origin", "basis", "ahead"], frame_measures, STEPS))
+
+
+def measured(f: DataFrame) -> DataFrame:
+    """(sample_id, points, the measures but for quaternion_norm_error, undefined, origin, basis) of rows of STEPS, one a frame, beside sample_id, floor_y, origin, basis and ahead: undefined is the reason of frames without features."""
+    c = F.col
     largest = lambda x: F.coalesce(F.max(x), F.lit(0.0))
     undefined = F.coalesce(F.when(F.bool_or(c("basis").isNull()), "g1_root_upright"), F.when(F.bool_or(c("ahead").isNull()), "human_hip_direction"))
     return f.groupBy("sample_id").agg(
@@ -389,8 +492,8 @@ def prepare(pairs: DataFrame, limits: list[tuple[float, float]], tree: K.BodyTre
     spark, at = pairs.sparkSession, scratch(pairs.sparkSession, "tracks")
     aligned(checked(pairs, limits), tree, len(limits)).write.parquet(at)
     rows = spark.read.parquet(at)
-    steps = beside(rows)
-    found = rows.select("sample_id", "early", "late", "quaternion_norm_error").join(skeleton_measures(pairs), "sample_id", "left").join(aligned_measures(steps), "sample_id", "left")
+    steps = rows.select("sample_id", "floor_y", "origin", "basis", "ahead", F.explode("steps").alias("s")).select("*", "s.*").drop("s")
+    found = rows.select("sample_id", "early", "late", "quaternion_norm_error").join(skeleton_measures(pairs), "sample_id", "left").join(measured(steps), "sample_id", "left")
     raw = quality.first_failure([(reason, F.col("raw_joint_speed") > C.MAX_JOINT_SPEED_M_S) if reason == "human_joint_speed" else (reason, failed) for reason, failed in quality.raw_gates()[3:]])
     reason = F.coalesce("early", raw, "late", "undefined", quality.first_failure(quality.aligned_gates()))
     found = found.withColumn("reason", reason)

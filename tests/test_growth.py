@@ -53,6 +53,23 @@ def test_undefined_turns_are_null_in_batches_of_first_frames(spark):
     assert (m.points, m.max_joint_speed, m.max_dof_speed, m.near_floor_slide, m.energy_correlation) == (1, 0.0, 0.0, 0.0, 1.0)
 
 
+def test_pairs_are_aligned_and_measured_without_a_row_a_frame(spark):
+    """Sequences are aligned in batches of pairs; expressions over arrays took a good half of the job, and frames as rows for the measures most of the rest."""
+    from test_tracks import LIMITS, pair, frame_of, robot_tree
+
+    from strideflow.operators import tracks
+
+    rows = frame_of(spark, [pair("a", 61, 55, 30.0, 27.0, 2), pair("b", robot_fps=9.0), pair("c", 20)])
+    keep, tracks.SLICE_POINTS = tracks.SLICE_POINTS, 25
+    got = [tracks.aligned(tracks.checked(rows, LIMITS), robot_tree(), 29), tracks.skeleton_measures(rows)]
+    plans = [g._jdf.queryExecution().optimizedPlan().toString() for g in got]
+    found = {r.sample_id: r for r in got[0].collect()}, {r.sample_id: r for r in got[1].collect()}
+    tracks.SLICE_POINTS = keep
+    assert all("MapInArrow" in p and "explode" not in p for p in plans) and "body_position" not in plans[0] and "slice(" not in plans[0].split("MapInArrow")[0]
+    assert {k: (r.grid is None) for k, r in found[0].items()} == {"a": False, "b": True, "c": False} and all(found[0]["b"][k] is None for k in ("floor_y", "origin", "basis", "faces", "steps"))
+    assert [len(found[0][k].grid) for k in "ac"] == [len(found[0][k].steps) for k in "ac"] == [41, 20] and found[1].keys() == {"a", "b", "c"} and found[1]["a"].raw_joint_speed > 0
+
+
 def test_grid_points_equal_given_targets_and_are_not_sorted(spark):
     """The points of a grid are as many as a sample is long, not as it has sources: they come after the sort."""
     from strideflow.operators import timeline
