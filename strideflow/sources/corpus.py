@@ -2,7 +2,8 @@
 
 Layout below a root, which has to be new:
 
-    shards/split=S/shard=K   blocks of at most `BLOCK` frames of a sequence: sample_id, position, frame_start, block, held and a column of frames for each side
+    shards/split=S/shard=K   blocks of at most `BLOCK` frames of a sequence: number, sample_id, position, frame_start, block, held and a column of frames for each side. number is
+                             the shard; a folder holds shard K and those after it, as many as make up `SHARD_FRAMES` frames at the cap (one, if the cap is that large)
     offsets/split=S          shard, position, frame_start, frame_end of each sequence, half-open in its shard
     sequences/split=S        shard, position, sample_id and the record's other columns
     manifest, texts          accepted, quarantined and split_assignment, and annotations, as JSON lines
@@ -11,7 +12,8 @@ Layout below a root, which has to be new:
     committed                one JSON value, written last: a corpus without it cannot be opened
 
 Sequences are packed into shards in the order of sample_id: a shard is closed before it would pass its cap, so no sequence is cut. Shards are sorted into files by
-(split, shard) and stretches of `cap` frames, so that a sequence longer than the cap is several tasks and files. Sums for the normalisers, counts and a digest are
+folder, so that a small cap does not make as many files as shards. A sequence longer than the cap is apart from the others of its folder, and in stretches of as many frames as a folder is for,
+so it can be several tasks and files. Sums for the normalisers, counts and a digest are
 observed on the rows that are written, in the same pass. A writer that dies leaves no marker, and its root has to be removed or another one taken.
 
 A row holds one block, so a sequence of any length is many rows. The window scan numbers the windows of a split from 0, by prefix sums over its sequences. A
@@ -37,9 +39,15 @@ from strideflow.sources.sinks import checksums, content_digest
 BLOCK = 256
 BUCKET = 65536
 MANY_SHARDS = 1000
+FORMAT = 2
 META = "source_dataset string, source_sequence_id string, source_group_id string, texts array<string>"
 
 
+def folder_shards(cap: int) -> int:
+    """Shards in a folder."""
+    return max(1, C.SHARD_FRAMES // cap)
+
+
 def blocks(frames: DataFrame, sides: list[str]) -> DataFrame:
     """(sample_id, block, held, sides…) of frames (sample_id, t, sides…): runs of at most `BLOCK` frames in order of t, which counts from 0 without gaps."""
     packed = F.sort_array(F.collect_list(F.struct("t", *sides)))
@@ -91,15 +99,16 @@ def write(records: DataFrame, frames: DataFrame, rejected: DataFrame, root: str,
     meta = accepted.join(packed.select("sample_id", "shard", "position", "frame_start", "frame_end"), "sample_id").withColumn("fps", F.lit(float(fps)))
     meta.write.partitionBy("split").parquet(f"{root}/sequences")
 
-    rows = blocks(frames.select("sample_id", "t", *sides), sides).join(packed.select("sample_id", "split", "shard", "position", "frame_start"), "sample_id")
+    rows = blocks(frames.select("sample_id", "t", *sides), sides).join(packed.select("sample_id", "split", F.col("shard").alias("number"), "position", "frame_start", F.when(F.col("frames") > cap, F.col("shard")).alias("alone")), "sample_id")
+    many = folder_shards(cap)
     train = F.col("split") == "train"
-    rows = rows.withColumn("stretch", F.floor((F.col("frame_start") + F.col("block") * BLOCK) / cap))
-    rows = rows.repartition("split", "shard", "stretch").sortWithinPartitions("split", "shard", "frame_start", "block")
+    rows = rows.withColumns({"shard": F.floor(F.col("number") / many) * many, "stretch": F.floor((F.col("frame_start") + F.col("block") * BLOCK) / (cap * many))})
+    rows = rows.repartition("split", "shard", "alone", "stretch").sortWithinPartitions("split", "shard", "number", "frame_start", "block")
     rows = rows.withColumns({f"_{s}{p}": F.when(train, total(s, w, p)) for s, w in widths.items() for p in (1, 2)})
     seen = Observation("corpus")
     sums = [F.sum(F.get(f"_{s}{p}", F.lit(k))).alias(f"{s}_{p}_{k}") for s, w in widths.items() for p in (1, 2) for k in range(w)]
     rows = rows.observe(seen, *digest(sides), F.coalesce(F.sum("held"), F.lit(0)).alias("frames"), F.coalesce(F.sum(F.when(train, F.col("held"))), F.lit(0)).alias("train_frames"), *sums)
-    rows.select("sample_id", "position", "frame_start", "block", "held", *sides, "split", "shard").write.partitionBy("split", "shard").parquet(f"{root}/shards")
+    rows.select("number", "sample_id", "position", "frame_start", "block", "held", *sides, "split", "shard").write.partitionBy("split", "shard").parquet(f"{root}/shards")
 
     got = seen.get
     normalizers = {}
@@ -110,7 +119,7 @@ def write(records: DataFrame, frames: DataFrame, rejected: DataFrame, root: str,
     reports = {"schema": schema(widths, fps), "normalizers": normalizers, **describe(accepted, quarantined, fps, metrics or [])}
     spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in reports.items()], "name string, body string").coalesce(1).write.json(f"{root}/reports")
     checksums(spark, root).write.parquet(f"{root}/checksums")
-    marker = {"format": 1, "widths": widths, "cap": cap, "fps": fps, "sequences": reports["summary"]["accepted_sequences"], **{k: got[k] for k in ("blocks", "hash_sum", "hash_xor", "frames", "train_frames")}}
+    marker = {"format": FORMAT, "widths": widths, "cap": cap, "fps": fps, "sequences": reports["summary"]["accepted_sequences"], **{k: got[k] for k in ("blocks", "hash_sum", "hash_xor", "frames", "train_frames")}}
     commit(spark, f"{root}/committed", marker)
     return marker
 
@@ -168,9 +177,13 @@ class Corpus:
         self.marker = committed(spark, f"{root}/committed")
         if self.marker is None:
             raise ValueError(f"no committed corpus at {root}")
+        if self.marker["format"] != FORMAT:
+            raise ValueError(f"the corpus at {root} has format {self.marker['format']}, not {FORMAT}")
 
     def blocks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/shards")
+        """The written blocks, with split, shard and folder, the first shard of the folder that they are in."""
+        held = self.spark.read.parquet(f"{self.root}/shards")
+        return held.withColumnRenamed("shard", "folder").withColumnRenamed("number", "shard")
 
     def report(self, name: str) -> dict:
         return json.loads(self.spark.read.json(f"{self.root}/reports").where(F.col("name") == name).first().body)
@@ -229,7 +242,8 @@ class Corpus:
         held = self.blocks().where(F.col("split") == split)
         shards = [r[0] for r in found.where("reason IS NULL").select("shard").distinct().limit(MANY_SHARDS + 1).collect()]
         if len(shards) <= MANY_SHARDS:  # a filter that reaches the scan; with more, nearly all are read anyway
-            held = held.where(F.col("shard").isin(shards))
+            many = folder_shards(self.marker["cap"])
+            held = held.where(F.col("folder").isin(sorted({k // many * many for k in shards})) & F.col("shard").isin(shards))
         stop = F.least(F.col("start") + size, F.col("n"))
         parts = found.where("reason IS NULL").withColumn("stop", stop).withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("stop") - 1) / BLOCK))))
         held = held.select(F.col("shard").cast("long").alias("shard"), "position", "block", side)

@@ -181,3 +181,24 @@ def test_inventory_of_all_tables(spark, data):
     found = [os.path.join(at, n) for at, _, names in os.walk(data) for n in names if not n.startswith(("_", "."))]
     got = {(r.path, r.length, r.sha256) for r in __spark_entry__.queries()["checksum_inventory"](spark, data).collect()}
     assert got == {(os.path.relpath(p, data), os.path.getsize(p), file_digest(p)) for p in found} and len(got) >= 14
+
+
+def test_folders_do_not_grow_with_the_shards_of_a_small_cap(spark, tmp_path, monkeypatch):
+    """A folder holds as many shards as make up SHARD_FRAMES frames; a sequence longer than the cap is cut into files of that many."""
+    monkeypatch.setattr(corpus.C, "SHARD_FRAMES", 100)
+    monkeypatch.setattr(corpus, "BLOCK", 8)
+    records, frames, data, split = tables(spark, [9] * 60 + [260, 12, 7])
+    root = str(tmp_path / "c")
+    corpus.write(records, frames, no_rejects(spark), root, {"human": 3, "g1": 1}, 20)
+    c = corpus.Corpus(spark, root)
+    shards = {(r.split, r.shard) for r in c.blocks().select("split", "shard").distinct().collect()}
+    folders = {tuple(x.split("=")[1] for x in r.path.split("/")[1:3]) for r in spark.read.parquet(f"{root}/checksums").where("path LIKE 'shards/%'").collect()}
+    assert folders == {(s, str(k // 5 * 5)) for s, k in shards} and len(folders) < 10 < 30 < len(shards)
+    assert c.differences() == [] and len(spark.read.parquet(f"{root}/shards").where("sample_id = 's060'").select(F.input_file_name()).distinct().collect()) <= 3
+    for s in ("train", "val"):
+        place = {r.sample_id: (r.shard, r.position) for r in c.sequences(s).collect()}
+        held = c.blocks().where(F.col("split") == s).orderBy("block").collect()
+        for name in (x for x in data if split[x] == s):
+            own = [r for r in held if r.sample_id == name]
+            assert {(r.shard, r.position) for r in own} == {place[name]} and all(r.folder == r.shard // 5 * 5 for r in own)
+            np.testing.assert_array_equal(np.concatenate([np.array(r.human, np.float32) for r in own]), data[name][:, :3])
