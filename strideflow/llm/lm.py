@@ -1,7 +1,7 @@
 """LM scoring with a causal self-attention model in numpy on subword ids, and a unigram base score.
 
-Words (runs without ASCII white space, A-Z lower-cased) are encoded with a fixed public vocabulary, each distinct word once per
-worker; a text is the ids of its words and an end id. The model has one causal self-attention head with a learned bias for each
+Words (runs without ASCII white space, A-Z lower-cased) are numbered by Arrow in slices of many texts and encoded with a fixed public
+vocabulary, each distinct word once per slice, and ids are gathered by number; a text is the ids of its words and an end id. The model has one causal self-attention head with a learned bias for each
 distance, a residual feed-forward layer and an output in two levels: P(id) = P(group | context) P(member | group, context). Groups
 are clusters of ids that follow similar ids. The `MEMBERS` commonest ids are members; each group has one more member for the others that
 it holds, and they share its probability by the subword counts of all training texts. The score of a text is the sum over its ids.
@@ -24,23 +24,23 @@ length; a very long text makes a slice alone.
 from __future__ import annotations
 
 import copy
-import uuid
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.llm import bpe, textops
-from strideflow.llm.storage import materialise, tidy
+from strideflow.llm.storage import keep_freed, materialise, tidy
 
 FOLDS, HELD_OUT = 7, 2
 COMMON = 1 << 17
-MAX_WORDS = 300_000  # distinct words whose ids a worker keeps
-FLUSH = 300_000  # distinct words that a counting task holds
+MAX_WORDS = 300_000  # distinct words whose ids a table keeps
+SLICE_CHARS, COUNT_CHARS = 2_000_000, 8_000_000  # bytes of text whose words are numbered at once; a longer text is alone
+ROW_WINDOWS = 1 << 14  # windows in a row
 START_DOCS, START_IDS = 600, 600_000
 SEGMENT, ROUNDS = 64, 2
 DRAW = ROUNDS  # rounds a segment may fall in; more than ROUNDS would leave segments out
@@ -66,6 +66,36 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+@dataclass
+class Numbered:
+    """The words of some rows, as numbers in a dictionary of the distinct ones."""
+
+    at: int  # the first of the rows
+    distinct: pa.LargeStringArray
+    number: np.ndarray  # of each word
+    bounds: np.ndarray  # the first word of each row, one more than there are rows
+
+    @property
+    def rows(self) -> int:
+        return len(self.bounds) - 1
+
+
+def numbered(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[Numbered]:
+    """Words of the texts of a column, numbered by Arrow in slices of bounded length."""
+    column = column.cast(pa.large_string())
+    column = column.fill_null("") if column.null_count else column
+    offsets, at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1], 0
+    while at < len(column):
+        stop = min(max(int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1, at + 1), len(column))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(column.slice(at, stop - at)))
+        flat, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+        some = pc.not_equal(pc.binary_length(flat), 0)  # white space at an end of a text gives an empty word
+        before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+        coded = flat.filter(some).dictionary_encode()
+        yield Numbered(at, coded.dictionary, coded.indices.to_numpy().astype(np.int64), before[ends - ends[0]])
+        at = stop
+
+
 class SubwordTable:
     """Subword ids of each distinct word, kept while they are few enough."""
 
@@ -79,15 +109,38 @@ class SubwordTable:
         new = [w for w in distinct if w not in self.known]
         if len(self.known) + len(new) > MAX_WORDS:
             self.known, new = {}, list(distinct)
-        texts = [w.decode("utf-8", "replace") for w in new]
-        joined = " ".join(texts)
-        odd = [t for t in texts if any(x in t for x in self.table.special)] if any(x in joined for x in self.table.special) else []
-        ids = self.table.encode_words([t for t in texts if t not in odd] if odd else texts)
-        for t in odd:  # the string of a special token in a word is ordinary text
-            self.table.tokenizer.encode_special_tokens = True
-            ids |= self.table.encode_words([t])
+        first, length, ids = self.find([w.decode("utf-8", "replace") for w in new])
+        body = ids.tobytes()
+        self.known.update((w, body[4 * f : 4 * (f + n)]) for w, f, n in zip(new, first.tolist(), length.tolist(), strict=True))
+
+    def find(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, length, ids): the ids of each word stand at ids[first : first + length]."""
+        self.table.tokenizer.encode_special_tokens = True  # the string of a special token in a word is ordinary text
+        try:
+            return self.table.find_words(distinct)
+        finally:
             self.table.tokenizer.encode_special_tokens = False
-        self.known.update((w, ids[t]) for w, t in zip(new, texts, strict=True))
+
+    def stream(self, found: Numbered, begin: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """For each row in turn the ids that begin a text, those of its words and the end; and the place of each word, then of each row's end."""
+        first, length, ids = self.find(found.distinct.to_pylist())
+        words, rows = len(found.number), found.rows
+        size, start = np.empty(words + rows, np.int64), np.empty(words + rows, np.int64)  # a row's end counts as a word after its words
+        end = found.bounds[1:] + np.arange(rows)
+        own = np.ones(words + rows, bool)
+        own[end] = False
+        size[own], start[own], size[end], start[end] = length[found.number], first[found.number], 1, len(ids)
+        ids = np.append(ids.astype(np.int32), np.int32(self.end))
+        lead = np.repeat(np.arange(1, rows + 1) * len(begin), np.diff(np.concatenate([[0], end + 1])))
+        stop = np.cumsum(size)
+        place = stop - size + lead
+        out = np.empty(int(stop[-1]) + rows * len(begin) if rows else 0, np.int32)
+        where = np.ones(len(out), bool)
+        heads = (np.concatenate([[0], place[end[:-1]] + 1])[:, None] + np.arange(len(begin))).ravel() if rows and begin else np.zeros(0, np.int64)
+        where[heads] = False
+        out[heads] = np.tile(np.array(begin, np.int32), rows)
+        out[where] = ids[np.repeat(start - (stop - size), size) + np.arange(stop[-1] if rows else 0)]
+        return out, place
 
     def sequence(self, text_words: list[bytes], end: bool = True) -> np.ndarray:
         """Ids of the words, and the end."""
@@ -95,52 +148,6 @@ class SubwordTable:
         return np.append(ids, np.int32(self.end)) if end else ids
 
 
-class Vocabulary:
-    """What scoring needs of each distinct word, found by one lookup: its ids, and its place among the common words (or the last)."""
-
-    def __init__(self, path: str, common: dict[bytes, int]):
-        self.table = SubwordTable(path)
-        self.common = {w: k for k, w in enumerate(common)}
-        self.index: dict[bytes, int] = {}
-        self.ids, self.first, self.place = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
-
-    def find(self, flat: list[bytes]) -> np.ndarray:
-        """The index of each word."""
-        distinct = set(flat)
-        new = [w for w in distinct if w not in self.index]
-        if len(self.index) + len(new) > MAX_WORDS:
-            self.index, new = {}, list(distinct)
-            self.ids, self.first, self.place = self.ids[:0], self.first[:1], self.place[:0]
-        if new:
-            self.table.known = {}
-            self.table.add(set(new))
-            parts = [self.table.known[w] for w in new]
-            lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-            self.index.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(parts), np.uint32).astype(np.int32)])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
-            self.place = np.concatenate([self.place, np.array([self.common.get(w, len(self.common)) for w in new], np.int64)])
-        return np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-
-    def sequences(self, found: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-        """Ids of each text and its end, for texts whose words are found[bounds[k] : bounds[k + 1]]."""
-        length = self.first[found + 1] - self.first[found]
-        stop = np.concatenate([[0], np.cumsum(length)])
-        flat = self.ids[np.repeat(self.first[found] - stop[:-1], length) + np.arange(stop[-1])]
-        return [np.append(flat[stop[s] : stop[e]], np.int32(self.table.end)) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-_worker: dict[tuple, "Vocabulary"] = {}
-
-
-def vocabulary(path: str, name: str, common: dict[bytes, int]) -> Vocabulary:
-    """One per worker process and run; tasks that follow use it on."""
-    if (path, name) not in _worker:
-        _worker.clear()
-        _worker[path, name] = Vocabulary(path, common)
-    return _worker[path, name]
-
-
 class Attention:
     """Weights, class tables, training and scoring. Ids: 0..end, then the padding id."""
 
@@ -163,7 +170,6 @@ class Attention:
         distance = (np.arange(STRIDE) + WINDOW - STRIDE)[:, None] - np.arange(WINDOW)[None]
         self.distance, self.future = np.maximum(distance, 0), distance < 0
         self.prepared: tuple | None = None
-        self.filled = [np.flatnonzero(mass[m] > 0) for m in range(GROUPS)]
 
     def _group(self, counts: np.ndarray, sequences: list[np.ndarray], rng: np.random.Generator) -> None:
         """group and slot of each id: k-means over which ids come before, filled in order of count up to SLOTS - 1 members; the last slot is the others'."""
@@ -230,53 +236,91 @@ class Attention:
         logits /= total
         return logits, total
 
+    def _distinct(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct ids, the place of each input among them, and the order and bounds that bring equal ids together."""
+        flat = inputs.ravel().astype(self.kind)
+        order = np.argsort(flat, kind="stable")
+        ids = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        place = np.empty(len(flat), np.int64)
+        place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(flat)))
+        return ids[first], place.reshape(inputs.shape), order, first
+
     def step(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict]:
-        """Mean loss over the targets and its gradients."""
-        w, n = self.w, len(inputs)
-        g, (qi, ki, vi, score, h, u) = self.forward(inputs)
+        """Mean loss over the targets and its gradients. Logits are not shifted before exp(); a batch where one overflows is done again with shifted ones."""
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            loss, grad = self._step(inputs, targets)
+        return (loss, grad) if np.isfinite(loss) else self._step(inputs, targets, True)
+
+    def _step(self, inputs: np.ndarray, targets: np.ndarray, shift: bool = False) -> tuple[float, dict]:
+        """Queries, keys and values are made once for each distinct id of the batch; from the attention on, targets are in the order of their groups."""
+        w, n, lead, unit = self.w, len(inputs), WINDOW - STRIDE, self.w["e"].dtype.type(1 / np.sqrt(WIDTH))
+        used, place, order, first = self._distinct(inputs)
+        e, last = w["e"][used], place[:, lead:]
+        qi, ki, vi = np.take(e @ (w["q"] * unit), last, 0), np.take(e @ w["k"], place, 0), np.take(e @ w["v"], place, 0)
+        score = qi @ ki.transpose(0, 2, 1)
+        score += np.where(self.future, w["near"].dtype.type(-1e9), w["near"][self.distance])
+        begins = np.flatnonzero(inputs[:, 0] == self.pad)
+        score[begins] -= np.where(inputs[begins] == self.pad, unit.dtype.type(1e9), unit.dtype.type(0))[:, None, :]
+        if shift:
+            score -= score.max(2, keepdims=True)
+        np.exp(score, out=score)
+        weight = (1 / (score.reshape(-1, WINDOW) @ np.ones(WINDOW, unit.dtype)))[:, None]  # scores are left as they are, and what is made of them is divided
+        a = (score @ vi).reshape(-1, WIDTH) * weight
         flat = targets.ravel()
-        real = np.flatnonzero(flat < self.pad)
-        group, slot = self.group[flat[real]], self.slot[flat[real]]
-        d = np.zeros((len(flat), GROUPS), np.float32)
-        p, _ = self._softmax(g[real] @ w["o"] + w["ob"])
-        at = np.arange(len(real))
-        loss = -np.log(np.maximum(p[at, group], 1e-30)).sum()
-        p[at, group] -= 1
-        d[real] = p / len(real)
-        grad = {"o": g.T @ d, "ob": d.sum(0), "p": np.zeros_like(w["p"]), "pb": np.zeros_like(w["pb"])}
-        more = np.zeros_like(g)
-        for k in np.unique(group):
-            rows = real[group == k]
-            slots = slot[group == k]
-            p, _ = self._softmax(g[rows] @ w["p"][k] + w["pb"][k])
-            at = np.arange(len(rows))
-            loss -= np.log(np.maximum(p[at, slots], 1e-30)).sum()
-            p[at, slots] -= 1
-            p /= len(real)
-            grad["p"][k], grad["pb"][k] = g[rows].T @ p, p.sum(0)
-            more[rows] = p @ w["p"][k].T
-        loss /= len(real)
-        dg = d @ w["o"].T + more
+        rows = np.flatnonzero(flat < self.pad)
+        rows = rows[np.argsort(self.group[flat[rows]].astype(np.int16), kind="stable")]
+        group, slot, at, count = self.group[flat[rows]], self.slot[flat[rows]], np.arange(len(rows)), len(rows)
+        bounds = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        parts = [(k, slice(low, high)) for k, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if low < high]
+        h = np.empty((count, 2 * WIDTH), unit.dtype)
+        h[:, :WIDTH], h[:, WIDTH:] = np.take(e, last.ravel()[rows], 0), np.take(a, rows, 0)
+        u = h @ w["f"]
+        u += w["fb"]
+        g = np.empty((count, HIDDEN + WIDTH), unit.dtype)
+        np.maximum(u, 0, out=g[:, :HIDDEN])
+        g[:, HIDDEN:] = h[:, :WIDTH]
+        top, part = g @ w["o"], np.empty((count, SLOTS), unit.dtype)
+        top += w["ob"]
+        for k, own in parts:
+            np.matmul(g[own], w["p"][k], out=part[own])
+            part[own] += w["pb"][k]
+        loss = 0.0
+        for logits, true in ((top, group), (part, slot)):  # which become the gradients of the logits
+            if shift:
+                logits -= logits.max(1, keepdims=True)
+            value = logits[at, true].sum(dtype=np.float64)
+            np.exp(logits, out=logits)
+            total = logits @ np.ones(logits.shape[1], unit.dtype)
+            loss += np.log(total).sum(dtype=np.float64) - value
+            logits *= (1 / (total * count))[:, None]
+            logits[at, true] -= unit.dtype.type(1 / count)
+        grad = {"o": g.T @ top, "ob": np.ones(count, unit.dtype) @ top, "p": np.zeros_like(w["p"]), "pb": np.zeros_like(w["pb"])}
+        dg = top @ w["o"].T
+        for k, own in parts:
+            grad["p"][k], grad["pb"][k] = g[own].T @ part[own], part[own].sum(0)
+            dg[own] += part[own] @ w["p"][k].T
         du = dg[:, :HIDDEN] * (u > 0)
-        grad |= {"f": h.T @ du, "fb": du.sum(0)}
+        grad |= {"f": h.T @ du, "fb": np.ones(count, unit.dtype) @ du}
         dh = du @ w["f"].T
         dh[:, :WIDTH] += dg[:, HIDDEN:]
-        dh = dh.reshape(n, STRIDE, 2 * WIDTH)
-        da = dh[:, :, WIDTH:]
-        dvi = score.transpose(0, 2, 1) @ da
+        back = np.zeros((len(flat), 2 * WIDTH), unit.dtype)
+        back[rows] = dh
+        da = back[:, WIDTH:] * weight
+        fall = np.einsum("ij,ij->i", da, a).reshape(n, STRIDE, 1)
+        da = da.reshape(n, STRIDE, WIDTH)
+        dvi = (score.transpose(0, 2, 1) @ da).reshape(-1, WIDTH)
         ds = da @ vi.transpose(0, 2, 1)
-        ds = score * (ds - (ds * score).sum(2, keepdims=True))
-        grad["near"] = np.bincount(self.distance.ravel(), ds.sum(0).ravel(), WINDOW).astype(np.float32)
-        ds /= np.float32(np.sqrt(WIDTH))
-        dqi, dki = ds @ ki, ds.transpose(0, 2, 1) @ qi
-        x, xq = w["e"][inputs].reshape(-1, WIDTH), w["e"][inputs[:, WINDOW - STRIDE :]].reshape(-1, WIDTH)
-        grad |= {"q": xq.T @ dqi.reshape(-1, WIDTH), "k": x.T @ dki.reshape(-1, WIDTH), "v": x.T @ dvi.reshape(-1, WIDTH)}
-        dx = (dki @ w["k"].T + dvi @ w["v"].T).reshape(n, WINDOW, WIDTH)
-        dx[:, WINDOW - STRIDE :] += dqi @ w["q"].T + dh[:, :, :WIDTH]
-        used, place = np.unique(inputs, return_inverse=True)
-        de = np.zeros((len(used), WIDTH), np.float32)
-        np.add.at(de, place.ravel(), dx.reshape(-1, WIDTH))
-        return float(loss), grad | {"e": (used, de)}
+        ds -= fall
+        ds *= score
+        grad["near"] = np.bincount(self.distance.ravel(), ds.sum(0).ravel(), WINDOW).astype(unit.dtype)
+        dqi, dki = (ds @ ki).reshape(-1, WIDTH) * unit, (ds.transpose(0, 2, 1) @ qi).reshape(-1, WIDTH)
+        x, xq = np.take(e, place.ravel(), 0), np.take(e, last.ravel(), 0)
+        grad |= {"q": xq.T @ dqi, "k": x.T @ dki, "v": x.T @ dvi}
+        dx = dki @ w["k"].T
+        dx += dvi @ w["v"].T
+        dx.reshape(n, WINDOW, WIDTH)[:, lead:] += (dqi @ w["q"].T + back[:, :WIDTH]).reshape(n, STRIDE, WIDTH)
+        return float(loss / count), grad | {"e": (used, np.add.reduceat(np.take(dx, order, 0), first, axis=0))}
 
     def train(self, sequences: list[np.ndarray], steps: int = STEPS, seed: int = SEED) -> list[float]:
         """Steps over windows drawn from a few sequences."""
@@ -295,12 +339,21 @@ class Attention:
         for t, pick in enumerate(picks, 1):
             loss, grad = self.step(inputs[pick], targets[pick])
             losses.append(loss)
-            now = rate * (1 - (t - 1) / steps) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+            now = float(rate * (1 - (t - 1) / steps) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
             for k, g in grad.items():
                 rows, g = g if k == "e" else (slice(None), g)
-                m[k][rows] = 0.9 * m[k][rows] + 0.1 * g
-                v[k][rows] = 0.99 * v[k][rows] + 0.01 * g * g
-                self.w[k][rows] -= (now * m[k][rows] / (np.sqrt(v[k][rows]) + 1e-8)).astype(np.float32)
+                mean, square = m[k][rows], v[k][rows]  # views, except of embeddings
+                mean *= 0.9
+                mean += 0.1 * g
+                square *= 0.99
+                square += 0.01 * g * g
+                if k == "e":
+                    m[k][rows], v[k][rows] = mean, square
+                change = np.sqrt(square)
+                change += 1e-8
+                np.divide(mean, change, out=change)
+                change *= now
+                self.w[k][rows] -= change
         return losses
 
     def flat(self) -> np.ndarray:
@@ -315,13 +368,10 @@ class Attention:
             at += n
 
     def _prepare(self) -> tuple:
-        """What depends on one id alone, for every id, and the members' weights in one piece for each group."""
+        """What depends on one id alone, for every id."""
         w = self.w
-        with_bias = np.concatenate([w["p"], w["pb"][:, None]], 1)
-        return (
-            w["e"] @ w["q"] / np.float32(np.sqrt(WIDTH)), w["e"] @ w["k"], w["e"] @ w["v"], w["e"] @ w["f"][:WIDTH] + w["fb"], w["e"] @ w["o"][HIDDEN:] + w["ob"],
-            np.where(self.future, np.float32(-1e9), w["near"][self.distance]), [np.ascontiguousarray(x[:, f]) for x, f in zip(with_bias, self.filled, strict=True)], np.ascontiguousarray(with_bias.transpose(0, 2, 1)),
-        )
+        bias = np.where(self.future, np.float32(-1e9), w["near"][self.distance])
+        return w["e"] @ w["q"] / np.float32(np.sqrt(WIDTH)), w["e"] @ w["k"], w["e"] @ w["v"], w["e"] @ w["f"][:WIDTH] + w["fb"], bias
 
     def token_logs(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each id, one sequence after another.
@@ -352,62 +402,52 @@ class Attention:
 
     def _block(self, ids_in: np.ndarray, flat: np.ndarray) -> np.ndarray:
         """One block of windows."""
-        q, k, v, x_part, x_group, bias, member, target = self.prepared
+        q, k, v, x_part, bias = self.prepared
         w, lead = self.w, WINDOW - STRIDE
         last = ids_in[:, lead:]
-        score = q[last] @ k[ids_in].transpose(0, 2, 1)
+        score = np.take(q, last, 0) @ np.take(k, ids_in, 0).transpose(0, 2, 1)
         score += bias
         np.exp(score, out=score)
         begins = np.flatnonzero(ids_in[:, 0] == self.pad)
         score[begins] *= (ids_in[begins] != self.pad)[:, None, :]
-        a = score @ v[ids_in]
-        a /= score.sum(2, keepdims=True) + np.float32(1e-30)
+        a = (score @ np.take(v, ids_in, 0)).reshape(-1, WIDTH)
+        a /= (score.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32) + np.float32(1e-30))[:, None]
         real = np.flatnonzero(flat < self.pad)
         group = self.group[flat[real]]
         order = np.argsort(group.astype(np.int16), kind="stable")
         rows = real[order]
-        ids, group, source = flat[rows], group[order], last.ravel()[rows]
-        slot = self.slot[ids]
-        g = np.empty((len(rows), HIDDEN + WIDTH + 1), np.float32)
-        u = a.reshape(-1, WIDTH)[rows] @ w["f"][WIDTH:]
-        u += x_part[source]
+        ids, group, source, at = flat[rows], group[order], last.ravel()[rows], np.arange(len(rows))
+        g = np.empty((len(rows), HIDDEN + WIDTH), np.float32)
+        u = np.take(a, rows, 0) @ w["f"][WIDTH:]
+        u += np.take(x_part, source, 0)
         np.maximum(u, 0, out=g[:, :HIDDEN])
-        g[:, HIDDEN:-1] = w["e"][source]
-        g[:, -1] = 1
-        logits = g[:, :HIDDEN] @ w["o"][:HIDDEN]
-        logits += x_group[source]
-        value = logits[np.arange(len(rows)), group] + np.einsum("ij,ij->i", g, target[group, slot])
-        np.exp(logits, out=logits)
-        total, part_total = logits.sum(1), np.empty(len(rows), np.float32)
+        g[:, HIDDEN:] = np.take(w["e"], source, 0)
+        top, part = g @ w["o"], np.empty((len(rows), SLOTS), np.float32)
+        top += w["ob"]
         bounds = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
         for m in range(GROUPS):
-            low, high = bounds[m], bounds[m + 1]
-            if low < high:
-                logits = g[low:high] @ member[m]
-                np.exp(logits, out=logits)
-                logits.sum(1, out=part_total[low:high])
+            own = slice(bounds[m], bounds[m + 1])
+            if bounds[m] < bounds[m + 1]:
+                np.matmul(g[own], w["p"][m], out=part[own])
+                part[own] += w["pb"][m]
+        value = self.within[ids]
+        for logits, true in ((top, group), (part, self.slot[ids])):
+            value += logits[at, true]
+            np.exp(logits, out=logits)
+            value -= np.log(logits @ np.ones(logits.shape[1], np.float32))
         result = np.empty(len(rows))
-        result[order] = value.astype(np.float64) - np.log(total) - np.log(part_total) + self.within[ids]
+        result[order] = value
         return result
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over a column text: counted in each task, then added up."""
+    """(word, n) over a column text: counted in slices of the texts, then added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-
         for batch in batches:
-            for text in batch.column(0):
-                found.update(words(text.as_py()))
-                if len(found) > FLUSH:
-                    yield rows()
-                    found.clear()
-        if found:
-            yield rows()
+            for found in numbered(batch.column(0), COUNT_CHARS):
+                n = np.bincount(found.number, minlength=len(found.distinct))
+                yield pa.RecordBatch.from_arrays([found.distinct.cast(pa.large_binary()).cast(pa.binary()), pa.array(n)], ["word", "n"])
 
     return texts.mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -419,14 +459,12 @@ def subword_counts(counted: DataFrame, path: str, size: int) -> np.ndarray:
         table = SubwordTable(path)
         total = np.zeros(size, np.int64)
         for batch in batches:
-            distinct = batch.column(0).to_pylist()
-            for at in range(0, len(distinct), 20_000):
-                part = distinct[at : at + 20_000]
-                table.known = {}
-                table.add(set(part))
-                ids = [np.frombuffer(table.known[w], np.uint32) for w in part]
-                weight = np.repeat(batch.column(1).to_numpy()[at : at + 20_000], [len(i) for i in ids])
-                total += np.bincount(np.concatenate(ids), weight, size).astype(np.int64)
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)
+                first, length, ids = table.find(part.column(0).cast(pa.string()).to_pylist())
+                stop = np.cumsum(length)
+                flat = ids[np.repeat(first - stop + length, length) + np.arange(stop[-1])]
+                total += np.bincount(flat, np.repeat(part.column(1).to_numpy(), length), size).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
@@ -451,34 +489,49 @@ def start_model(sample: list[str | None], counts: np.ndarray, path: str) -> Atte
     return model
 
 
+def rounds_of(keys: np.ndarray, numbers: np.ndarray, draw: int) -> np.ndarray:
+    """A round for each numbered segment of a text with that key; from ROUNDS on, none."""
+    return (textops.mix(textops.mix(keys.astype(np.int64).view(np.uint64)) + numbers.astype(np.uint64)) % np.uint64(draw)).astype(np.int64)
+
+
 def drawn_segments(text_words: list[bytes], key: int, draw: int) -> list[tuple[int, int]]:
     """(round, segment) of the segments of a text: with as many rounds as `draw`, each segment is in one."""
-    number = np.arange(len(text_words) // SEGMENT + 1, dtype=np.uint64)  # the last has the end
-    place = textops.mix(textops.mix(np.full(len(number), key, np.int64).view(np.uint64)) + number) % np.uint64(draw)
+    number = np.arange(len(text_words) // SEGMENT + 1)  # the last has the end
+    place = rounds_of(np.full(len(number), key), number, draw)
     some = np.flatnonzero(place < ROUNDS)
     return list(zip(place[some].tolist(), some.tolist(), strict=True))
 
 
 def training_windows(train: DataFrame, model: Attention, path: str, draw: int) -> DataFrame:
     """(round, n, inputs, targets): windows of the drawn segments of every training text, many to a row."""
+    pad, begin, kind = model.pad, model.begin, model.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = SubwordTable(path)
         for batch in batches:
-            for at, texts in bpe.bounded_slices(batch.column(1)):
-                parts: dict[int, list[tuple[list[bytes], list[bytes], bool]]] = {}
-                for key, text in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts, strict=True):
-                    w = words(text)
-                    for k, number in drawn_segments(w, key, draw):
-                        s = number * SEGMENT
-                        parts.setdefault(k, []).append((w[max(s - 1, 0) : s], w[s : s + SEGMENT], s + SEGMENT > len(w)))
-                table.add({x for part in parts.values() for before, w, _ in part for x in (*before, *w)})
-                for k, part in sorted(parts.items()):
-                    before = [int(table.sequence(b, False)[-1]) if b else model.begin for b, _, _ in part]
-                    sequences = [table.sequence(w, last) for _, w, last in part]
-                    inputs, targets, _ = model.windows(sequences, before)
-                    if len(inputs):
-                        yield pa.RecordBatch.from_pylist([{"round": k, "n": len(inputs), "inputs": inputs.astype(model.kind).tobytes(), "targets": targets.astype(model.kind).tobytes()}], schema=packed)
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for found in numbered(batch.column(1)):
+                ids, place = table.stream(found, [begin])
+                segments = np.diff(found.bounds) // SEGMENT + 1
+                row = np.repeat(np.arange(found.rows), segments)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(segments) - segments, segments)
+                low = place[found.bounds[row] + row + number * SEGMENT]  # where its first id stands; place has an end after the words of each row
+                last = number == segments[row] - 1
+                high = np.append(low[1:], len(ids))  # a segment goes on to the next one, or to the end of its text
+                high[last] = place[found.bounds[row[last] + 1] + row[last]] + 1
+                which = rounds_of(keys[found.at + row], number, draw)
+                for k in range(ROUNDS):
+                    own = np.flatnonzero(which == k)
+                    blocks = -(-(high[own] - low[own]) // STRIDE)
+                    of = np.repeat(own, blocks)
+                    base = low[of] + (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STRIDE
+                    for at in range(0, len(of), ROW_WINDOWS):
+                        some, first = of[at : at + ROW_WINDOWS], base[at : at + ROW_WINDOWS, None]
+                        source, target = first - 1 + np.arange(STRIDE - WINDOW, STRIDE), first + np.arange(STRIDE)
+                        before, beyond = low[some, None] - 1, high[some, None]
+                        inputs = np.where((source >= before) & (source < beyond - 1), ids[np.clip(source, 0, len(ids) - 1)], pad)
+                        targets = np.where(target < beyond, ids[np.minimum(target, len(ids) - 1)], pad)
+                        yield pa.RecordBatch.from_pylist([{"round": k, "n": len(some), "inputs": inputs.astype(kind).tobytes(), "targets": targets.astype(kind).tobytes()}], schema=packed)
 
     packed = pa.schema([("round", pa.int32()), ("n", pa.int64()), ("inputs", pa.binary()), ("targets", pa.binary())])
     return train.select(F.xxhash64("doc_id"), "text").mapInArrow(tidy(run), "round int, n long, inputs binary, targets binary")
@@ -491,6 +544,7 @@ def average_round(windows: DataFrame, model: Attention) -> None:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        keep_freed()
         own, rng, n, held = copy.deepcopy(shared.value), np.random.default_rng(SEED + TaskContext.get().partitionId()), 0, []
 
         def pass_over() -> int:
@@ -554,7 +608,6 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     train_tokens, distinct = int(sums.n) + n_texts, int(sums.v) + (n_texts > 0)
     common = {bytes(r.word): r.n for r in counted.orderBy(F.desc("n"), "word").limit(COMMON).select("word", "n").toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON words
-    name = uuid.uuid4().hex
 
     size = SubwordTable(path).size
     model = fit_model(train, np.append(subword_counts(counted, path, size), n_texts).astype(np.float64), n_texts, path)
@@ -566,29 +619,28 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known = vocabulary(path, name, shared.value)
+        keep_freed()
+        table, common = SubwordTable(path), pa.array(list(shared.value), pa.large_binary())
         counts = np.array([*shared.value.values(), 0], np.float64)  # the last is for words that are not common
         log1, model, row_id = np.log10(counts + 1.0), weights.value, TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at, texts in bpe.bounded_slices(batch.column(1), 1_000_000):
-                split = [words(t) for t in texts]
-                rows, flat = len(texts), list(chain.from_iterable(split))
-                length = np.fromiter(map(len, split), np.int64, rows)
-                found, bounds = known.find(flat), np.concatenate([[0], np.cumsum(length)])
-                sequences = known.sequences(found, bounds)
-                first = np.cumsum([0, *map(len, sequences)])[:-1]
-                score = np.add.reduceat(model.token_logs(sequences), first) / LOG10
-                place, doc = known.place[found], np.repeat(np.arange(rows), length)
+            for part in numbered(batch.column(1)):
+                at, rows, length = part.at, part.rows, np.diff(part.bounds)
+                ids, where = table.stream(part, [])
+                stops = where[part.bounds[1:] + np.arange(rows)] + 1
+                score = np.add.reduceat(model.token_logs(np.split(ids, stops[:-1])), np.concatenate([[0], stops[:-1]])) / LOG10
+                known = pc.index_in(part.distinct.cast(pa.large_binary()), common).fill_null(len(counts) - 1).to_numpy()
+                place, doc = known[part.number], np.repeat(np.arange(rows), length)
                 rare = np.flatnonzero(place == len(counts) - 1)
-                pair, where, uses = np.unique(doc[rare] * (len(known.place) + 1) + found[rare], return_index=True, return_counts=True)  # each rare word of each text
-                cut = np.searchsorted(pair // (len(known.place) + 1), np.arange(rows + 1))
-                rare_words, cut = [flat[k] for k in rare[where].tolist()], pa.array(cut, pa.int32())
+                pair, uses = np.unique(doc[rare] * (len(known) + 1) + part.number[rare], return_counts=True)  # each rare word of each text
+                cut = pa.array(np.searchsorted(pair // (len(known) + 1), np.arange(rows + 1)), pa.int32())
+                rare_words = part.distinct.take(pa.array(pair % (len(known) + 1))).cast(pa.large_binary()).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row_id, row_id + rows)), batch.column(0).slice(at, rows), pa.array(length + 1),
                         pa.array(length - np.bincount(doc[rare], minlength=rows) + (n_texts > 0)),
                         pa.array(np.bincount(doc, log1[place], rows) + np.log10(n_texts + 1.0)), pa.array(score),  # rare words add log10(1)
-                        pa.ListArray.from_arrays(cut, pa.array(rare_words, pa.binary())), pa.ListArray.from_arrays(cut, pa.array(uses.astype(np.int64))),
+                        pa.ListArray.from_arrays(cut, rare_words), pa.ListArray.from_arrays(cut, pa.array(uses.astype(np.int64))),
                     ], names,
                 )
                 row_id += rows

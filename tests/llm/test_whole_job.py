@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from strideflow.llm import bpe, decontaminate, lm
 
@@ -65,3 +67,35 @@ def test_every_segment_is_learned_from_once():
     for key in range(50):
         found = lm.drawn_segments([b"x"] * 700, key, lm.DRAW)
         assert sorted(s for _, s in found) == list(range(11)) and {k for k, _ in found} <= set(range(lm.ROUNDS))
+
+
+def test_ids_of_numbered_words_equal_those_of_single_words():
+    texts = ["  A b c \x1c d\x0b", "<|endoftext|> x<|endoftext|>y", None, "", " \n ", "z" * 3000, "É   ß 你好", "w " * 64, "w " * 65 + "A"]
+    table = lm.SubwordTable(bpe.default_vocabulary())
+    table.add({w for t in texts for w in lm.words(t)})
+    for limit in (5, 1 << 20):
+        got = []
+        for part in lm.numbered(pa.array(["cut off", *texts])[1:], limit):
+            ids, place = table.stream(part, [7, 8])
+            assert [len(lm.words(t)) for t in texts[part.at : part.at + part.rows]] == np.diff(part.bounds).tolist()
+            got += np.split(ids, place[part.bounds[1:] + np.arange(part.rows)][:-1] + 1)
+        assert all(np.array_equal(g, [7, 8, *table.sequence(lm.words(t))]) for g, t in zip(got, texts, strict=True))
+
+
+def test_a_learning_step_does_not_grow_with_the_vocabulary():
+    """Only ids of the batch get queries, keys and values."""
+    model = lm.Attention(np.ones(400_000))
+    inputs, targets, _ = model.windows([np.arange(40, dtype=np.int32)])
+    tracemalloc.start()
+    model.step(inputs, targets)
+    assert tracemalloc.get_traced_memory()[1] < model.w["e"].nbytes
+    tracemalloc.stop()
+
+
+def test_a_step_whose_logits_overflow_is_done_with_shifted_ones():
+    model = lm.Attention(np.ones(100))
+    inputs, targets, _ = model.windows([np.arange(40, dtype=np.int32)])
+    expected = model.step(inputs, targets)
+    model.w["ob"] += np.float32(500)  # no probability changes
+    loss, grad = model.step(inputs, targets)
+    assert abs(loss - expected[0]) < 1e-3 and np.abs(grad["p"] - expected[1]["p"]).max() < 1e-4
